@@ -12,6 +12,11 @@ from pageloom.schema import (
 )
 
 PAGE = Window.partitionBy("page_id").orderBy("start")
+# A frame that ends at the last row is quadratic in Spark when its lower bound
+# moves, so looking ahead reads the page backwards instead.
+AHEAD = Window.partitionBy("page_id").orderBy(F.desc("start")).rowsBetween(
+    Window.unboundedPreceding, -1
+)
 SO_FAR = PAGE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 BEFORE = PAGE.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -76,6 +81,16 @@ HIDDEN = any_of(
 )
 
 
+def next_match(pred: Column, value: Column | None = None) -> Column:
+    """Value (the start, by default) of the next matching row after this one."""
+    return F.last(F.when(pred, F.col("start") if value is None else value), ignorenulls=True).over(AHEAD)
+
+
+def contains_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
+    """Flag rows that hold a matching row below them: the next match starts inside."""
+    return nodes.withColumn(name, _sure(next_match(pred) <= F.col("end")))
+
+
 # ---- Intervals as running windows -------------------------------------------
 
 def inside(
@@ -106,6 +121,16 @@ def inside(
     return out if keep_all else out.where(F.col(name).isNotNull())
 
 
+def first_inside(nodes: DataFrame, pred: Column, name: str, within: str, *fields: str) -> DataFrame:
+    """Add ``name``: the first matching element of each ``within`` block, on the rows inside it."""
+    w = Window.partitionBy("page_id", f"{within}.start").orderBy("start").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    hit = F.when(_sure(pred) & F.col(within).isNotNull(), F.struct("start", "end", *fields))
+    nodes = nodes.withColumn(name, F.first(hit, ignorenulls=True).over(w))
+    return nodes.withColumn(name, F.when(F.col("start") <= F.col(f"{name}.end"), F.col(name)))
+
+
 def scope(nodes: DataFrame, pred: Column | None = None, keep_root: bool = False,
           keep_document: bool = False) -> DataFrame:
     """Nodes inside the first matching element of each page.
@@ -132,12 +157,7 @@ def drop_subtrees(nodes: DataFrame, pred: Column, unless_contains: Column | None
     if unless is not None:
         pred = pred & ~unless
     if unless_contains is not None:
-        # The next sparing element in page order decides: it lies inside iff it
-        # starts before the end.
-        ahead = F.first(F.when(unless_contains, F.col("start")), ignorenulls=True).over(
-            PAGE.rowsBetween(1, Window.unboundedFollowing)
-        )
-        nodes = nodes.withColumn("_spare", _sure(ahead <= F.col("end")))
+        nodes = contains_match(nodes, unless_contains, "_spare")
         pred = pred & ~F.col("_spare")
     reach = F.max(F.when(pred, F.col("end"))).over(SO_FAR)
     out = nodes.withColumn("_reach", reach).where(

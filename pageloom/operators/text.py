@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import strip
-from pageloom.operators.select import BEFORE, attr, tag
+from pageloom.operators.select import BEFORE, HIDDEN, SO_FAR, any_of, attr, tag
 
 # A block boundary in the pieces of the ``lines`` form.
 _MARK = "\u0001"
 
 
-def _spaced_piece(run: Column) -> Column:
-    return F.when(run["tag"] == "#text", F.nullif(strip(run["text"]), F.lit("")))
+def _spaced_piece(run: Column, text: Column) -> Column:
+    return F.nullif(strip(text), F.lit(""))
 
 
-def _raw_piece(run: Column) -> Column:
-    return F.when(run["tag"] == "#text", run["text"])
+def _raw_piece(run: Column, text: Column) -> Column:
+    return text
 
 
-def _lines_piece(run: Column) -> Column:
-    shown = F.regexp_replace(run["text"], r"(?U)\s+", " ")
+def _lines_piece(run: Column, text: Column) -> Column:
+    shown = F.regexp_replace(text, r"(?U)\s+", " ")
     return (
         F.when(run["tag"] == "br", F.lit("\n"))
         .when(run["tag"].isin("td", "th"), F.lit(" "))
@@ -37,9 +37,10 @@ def _as_lines(joined: Column) -> Column:
     return strip(F.regexp_replace(text, " +", " "))
 
 
-# Form -> (piece of a row, separator, finish of the joined text).
+# Form -> (piece of a run, separator, finish of the joined text).
 FORMS = {
     "spaced": (_spaced_piece, " ", lambda c: c),
+    "tight": (_spaced_piece, "", lambda c: c),
     "raw": (_raw_piece, "", lambda c: c),
     "lines": (_lines_piece, "", _as_lines),
 }
@@ -60,56 +61,76 @@ def subtree_text(nodes: DataFrame, target: Column, *fields: str, **texts: str) -
     """Matching elements with the text below each of them.
 
     ``texts`` names the text columns and their forms: ``spaced`` (every run
-    trimmed, joined by a space), ``raw`` (runs joined as they are) or ``lines``
-    (as shown, with line breaks).  Result: page_id, start, end, fields, texts.
+    trimmed, joined by a space), ``tight`` (the same without the space),
+    ``raw`` (runs joined as they are) or ``lines`` (as shown, with line
+    breaks).  ``form:column`` reads the runs from another column than ``text``,
+    and ``form:column@field`` takes the text below the element that the struct
+    field (start, end) names instead of the target's own.
+    Result: page_id, start, end, fields, texts.
 
     A page's runs go into one array that is indexed by ``start``, so the text
     of any element, nested or not, is one slice of it.  The array is never
     longer than the page, and a page is one input row.
     """
-    forms = list(dict.fromkeys(texts.values()))
-    is_run = tag("#text", "br", "td", "th") if "lines" in forms else tag("#text")
-    run = F.struct(F.col("start").alias("at"), "tag", "text", "brk")
+    specs = {}
+    for name, spec in texts.items():
+        spec, _, of = spec.partition("@")
+        form, _, source = spec.partition(":")
+        specs[name] = (form, source or "text", of)
+    arrays = list(dict.fromkeys((form, source) for form, source, _ in specs.values()))
+    sources = list(dict.fromkeys(source for _, source in arrays))
+    is_run = any_of(*[F.col(s).isNotNull() for s in sources])
+    if any(form == "lines" for form, _ in arrays):
+        is_run = is_run | tag("br", "td", "th")
+    run = F.struct(F.col("start").alias("at"), "tag", "brk", *sources)
+    dense = [
+        _by_position(
+            F.col("_runs"), lambda r, form=form, source=source: FORMS[form][0](r, r[source])
+        ).alias(f"_{form}_{source}")
+        for form, source in arrays
+    ]
     pages = (
         nodes.where(target | is_run).groupBy("page_id")
         .agg(
             F.collect_list(F.when(target, F.struct("start", "end", *fields))).alias("_targets"),
             F.array_sort(F.collect_list(F.when(is_run, run))).alias("_runs"),
         )
-        .select("page_id", "_targets",
-                *[_by_position(F.col("_runs"), FORMS[f][0]).alias(f"_{f}") for f in forms])
+        .select("page_id", "_targets", *dense)
     )
 
     def with_texts(t: Column) -> Column:
         out = [t[name].alias(name) for name in ("start", "end", *fields)]
-        for name, form in texts.items():
+        for name, (form, source, of) in specs.items():
             _, sep, finish = FORMS[form]
-            below = F.slice(f"_{form}", t["start"] + 2, t["end"] - t["start"])
+            el = t[of] if of else t
+            below = F.slice(f"_{form}_{source}", el["start"] + 2, el["end"] - el["start"])
             out.append(finish(F.array_join(below, sep)).alias(name))
         return F.struct(*out)
 
     return pages.select("page_id", F.inline(F.transform("_targets", with_texts)))
 
 
-def replace_inline(nodes: DataFrame, abbr: Column | None = None, span: Column | None = None) -> DataFrame:
-    """Turn inline elements into the text runs they stand for.
+def with_clean(nodes: DataFrame, name: str = "clean", hidden: bool = True,
+               abbr: Column | None = None, span: Column | None = None,
+               img: bool = True, br: bool = True) -> DataFrame:
+    """Add a column with the text runs as a cell shows them.
 
-    ``br`` becomes a middle dot, ``img`` its alt text or nothing, ``abbr`` its
-    title where ``abbr`` holds, ``span`` its title where ``span`` holds.  What a
-    replaced element contained goes away; the outermost replaced element wins.
+    Runs in hidden elements are null.  ``br`` stands for a middle dot, ``img``
+    for its alt text, ``abbr`` for its title where ``abbr`` holds, ``span`` for
+    its title where ``span`` holds; what a replaced element contains is null,
+    and the outermost replaced element wins.  No row goes away.
     """
     title = F.nullif(strip(attr("title")), F.lit(""))
-    to_text = F.when(tag("br"), F.lit(" · ")).when(tag("img"), F.coalesce(attr("alt"), F.lit("")))
-    if abbr is not None:
-        to_text = to_text.when(tag("abbr") & abbr, title)
-    if span is not None:
-        to_text = to_text.when(tag("span") & span, title)
-    reach = F.max(F.when(F.col("_to").isNotNull(), F.col("end"))).over(BEFORE)
-    turned = F.col("_to").isNotNull()
-    return (
-        nodes.withColumn("_to", to_text).withColumn("_reach", reach)
-        .where(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")))
-        .withColumn("tag", F.when(turned, F.lit("#text")).otherwise(F.col("tag")))
-        .withColumn("text", F.when(turned, F.col("_to")).otherwise(F.col("text")))
-        .drop("_to", "_reach")
+    rules = [(tag("br"), F.lit(" · "), br), (tag("img"), attr("alt"), img)]
+    rules += [(tag("abbr") & abbr, title, True)] if abbr is not None else []
+    rules += [(tag("span") & span, title, True)] if span is not None else []
+    stands_for = F.coalesce(
+        *[F.when(cond, value) for cond, value, use in rules if use], F.lit(None).cast("string")
     )
+    gone = F.max(F.when(HIDDEN, F.col("end"))).over(SO_FAR) if hidden else F.lit(None)
+    nodes = nodes.withColumn("_gone", F.coalesce(F.col("start") <= gone, F.lit(False)))
+    nodes = nodes.withColumn("_for", F.when(~F.col("_gone"), stands_for))
+    reach = F.max(F.when(F.col("_for").isNotNull(), F.col("end"))).over(BEFORE)
+    nodes = nodes.withColumn("_in", F.coalesce(F.col("start") <= reach, F.lit(False)))
+    shown = F.when(~F.col("_gone") & ~F.col("_in"), F.coalesce("_for", "text"))
+    return nodes.withColumn(name, shown).drop("_gone", "_for", "_in")

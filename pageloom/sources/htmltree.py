@@ -104,10 +104,15 @@ class _Nodes(HTMLParser):
         if tag in BLOCK:
             self._close_open(*PARAGRAPH)
             self._break = True
+        if tag == "tr" and self._open[-1][0] == "table":
+            self._enter("tbody", {})
         kept: dict[str, str] = {}
         for name, value in attrs:
             kept.setdefault(name, value or "")
-        at = self._add(tag, kept, None)
+        self._enter(tag, kept)
+
+    def _enter(self, tag, attrs) -> None:
+        at = self._add(tag, attrs, None)
         if tag not in VOID:
             self._open.append((tag, at))
             self._children.append(0)
