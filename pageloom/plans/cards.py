@@ -249,14 +249,14 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
 
 # ---- Lists and status effects of tab blocks ---------------------------------
 
-def bullets(nodes: DataFrame, area: Column) -> DataFrame:
-    """List items inside the first-level matching elements, as Markdown lines.
+def bullets(nodes: DataFrame, area: Column, *fields: str) -> DataFrame:
+    """List items inside the outermost matching elements, as Markdown lines.
 
-    Result: page_id, area (start of the element), area_end, area_path, start,
+    Result: page_id, area struct(start, end, fields) of the element, start,
     level, line.  Only lists that lie in no other ``ul`` start at level 0, only lists directly
     in an item go deeper, and an item's text leaves out the lists in it.
     """
-    marked = inside(nodes, area, "area", "path").where(F.col("area").isNotNull())
+    marked = inside(nodes, area, "area", *fields).where(F.col("area").isNotNull())
     marked = with_clean(marked, "seen", span=has_attr("title"))
     is_list = tag("ul", "ol", "li")
     # One row per (row, list element around it): the path names the candidates.
@@ -291,7 +291,83 @@ def bullets(nodes: DataFrame, area: Column) -> DataFrame:
         .groupBy("page_id", "area", F.col("_item").alias("start"))
         .agg(F.max(F.when(F.col("_ok"), F.col("_level"))).alias("level"), clean_cell(text).alias("_text"))
         .where(F.col("level").isNotNull() & (F.col("_text") != ""))
-        .select("page_id", F.col("area.start").alias("area"), F.col("area.end").alias("area_end"),
-                F.col("area.path").alias("area_path"), "start", "level",
+        .select("page_id", "area", "start", "level",
                 F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("- "), F.col("_text")).alias("line"))
     )
+
+
+def tab_blocks(nodes: DataFrame) -> DataFrame:
+    """Tab blocks with what their panels say.
+
+    Result: page_id, start, path, lines (bullets of all panels), effects
+    (distinct code and description of every box with a code, in order).
+    """
+    marked = inside(nodes, has_class("tabs-dynamic"), "tabs", "path").where(F.col("tabs").isNotNull())
+    marked = first_inside(marked, has_class("tabs-content"), "content", "tabs")
+
+    lines = (
+        bullets(marked, F.col("start") == F.col("content.start"), "tabs")
+        .groupBy("page_id")
+        .agg(F.array_sort(F.collect_list(F.struct("start", F.col("area.tabs.start").alias("of"), "line"))).alias("_lines"))
+    )
+    marked = with_clean(marked, "seen", span=has_attr("title"))
+    in_content = F.coalesce(F.col("start") > F.col("content.start"), F.lit(False))
+    is_block = F.coalesce(F.col("start") == F.col("tabs.start"), F.lit(False))
+    rows = subtree_text(marked, (in_content & tag("div", "tt")) | is_block, "tag", "tabs", seen="spaced:seen")
+    el = F.struct("start", "end", "tag", clean_cell("seen").alias("seen"))
+    inner = F.col("start") > F.col("tabs.start")
+    blocks = rows.groupBy("page_id", "tabs").agg(F.array_sort(F.collect_list(F.when(inner, el))).alias("els"))
+
+    def effect(box: Column) -> Column:
+        within = _below(F.col("els"), box)
+        code = _first(within, lambda t: t["tag"] == "tt")["seen"]
+        last = F.try_element_at(_pick(within, lambda d: d["tag"] == "div"), F.lit(-1))["seen"]
+        return F.struct(code.alias("code"), F.coalesce(last, box["seen"]).alias("text"))
+
+    effects = F.array_distinct(F.filter(
+        F.transform(_pick(F.col("els"), lambda d: d["tag"] == "div"), effect),
+        lambda e: F.coalesce((e["code"] != "") & (e["text"] != ""), F.lit(False)),
+    ))
+    mine = F.filter("_lines", lambda x: x["of"] == F.col("tabs.start"))
+    return blocks.join(lines, "page_id", "left").select(
+        "page_id", F.col("tabs.start").alias("start"), F.col("tabs.path").alias("path"),
+        F.coalesce(F.transform(mine, lambda x: x["line"]), F.array().cast("array<string>")).alias("lines"),
+        effects.alias("effects"),
+    )
+
+
+def card_markdown(props: DataFrame, tabs: DataFrame | None = None) -> DataFrame:
+    """Markdown of every card, with its tab block's content: page_id, start, end, markdown."""
+    empty = F.lit("")
+
+    def when_any(items: Column, text: Column) -> Column:
+        return F.when(F.size(items) > 0, text).otherwise(empty)
+
+    def each(items: Column, line) -> Column:
+        return F.array_join(F.transform(items, line), "")
+
+    parts = [
+        F.coalesce(F.concat(F.lit("#### "), non_empty("title"), F.lit("\n\n")), empty),
+        F.coalesce(F.concat(F.lit("> "), non_empty("description"), F.lit("\n\n")), empty),
+        when_any(F.col("badges"), F.concat(F.lit("*Restrictions:* "), F.array_join("badges", ", "), F.lit("\n\n"))),
+        when_any(F.col("rows"), F.concat(
+            F.lit("| Property | Value |\n|---|---|\n"),
+            each(F.col("rows"), lambda r: F.concat(F.lit("| "), r["label"], F.lit(" | "), dash(r["value"]), F.lit(" |\n"))),
+            F.lit("\n"),
+        )),
+        when_any(F.col("notes"), F.concat(
+            F.lit("**Notes**\n\n"), each(F.col("notes"), lambda n: F.concat(F.lit("- "), n, F.lit("\n"))), F.lit("\n"),
+        )),
+    ]
+    if tabs is not None:
+        props = pair_next(props, tabs, "lines", "effects")
+        lines, effects = F.col("tab.lines"), F.col("tab.effects")
+        boxes = when_any(effects, F.concat(
+            F.lit("\n**Status Effects**\n\n"),
+            each(effects, lambda e: F.concat(F.lit("- `"), e["code"], F.lit("` — "), e["text"], F.lit("\n"))),
+        ))
+        parts.append(F.when(
+            (F.size(lines) > 0) | (F.size(effects) > 0),
+            F.concat(F.lit("**Show All**\n\n"), each(lines, lambda x: F.concat(x, F.lit("\n"))), boxes, F.lit("\n")),
+        ).otherwise(empty))
+    return props.select("page_id", "start", "end", strip(F.concat(*parts)).alias("markdown"))
