@@ -45,7 +45,7 @@ class _Nodes(HTMLParser):
         # Column lists in NODE_SCHEMA order after page_id.
         self.start, self.end, self.depth, self.parent, self.sib = [], [], [], [], []
         self.tag, self.id, self.classes, self.style = [], [], [], []
-        self.attrs, self.text, self.path, self.brk = [], [], [], []
+        self.attrs, self.text, self.path, self.brk, self.parent_tag = [], [], [], [], []
         self._open: list[tuple[str, int]] = []
         self._children = [0]
         self._path: list[int] = []
@@ -60,7 +60,9 @@ class _Nodes(HTMLParser):
         self.start.append(n)
         self.end.append(n)
         self.depth.append(len(self._open) - 1)
-        self.parent.append(self._open[-1][1] if self._open else None)
+        above, at = self._open[-1] if self._open else (None, None)
+        self.parent.append(at)
+        self.parent_tag.append(above)
         self.tag.append(tag)
         self.text.append(text)
         self.path.append(self._path)
@@ -174,6 +176,7 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())),
         ("style", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
         ("text", pa.string()), ("path", pa.list_(pa.int32())), ("brk", pa.bool_()),
+        ("parent_tag", pa.string()),
     ])
     names = NODE_SCHEMA.names
     out = _columns()
