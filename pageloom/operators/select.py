@@ -41,11 +41,11 @@ def has_id(*names: str) -> Column:
 
 
 def attr(name: str) -> Column:
-    return F.get(F.map_values(F.map_filter("attrs", lambda k, v: k == name)), F.lit(0))
+    return F.col("attrs").getItem(name)
 
 
 def has_attr(name: str) -> Column:
-    return _sure(F.map_contains_key("attrs", name))
+    return attr(name).isNotNull()
 
 
 def attr_is(name: str, *values: str) -> Column:
