@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom import markup
@@ -20,7 +20,7 @@ from pageloom.operators.match import (
 )
 from pageloom.operators.order import after_heading, children, with_section
 from pageloom.operators.select import (
-    ad_counts, any_of, attr_is, class_attr_starts, drop_ads, drop_boilerplate, drop_hidden, drop_subtrees,
+    ad_counts, attr_is, class_attr_starts, drop_ads, drop_boilerplate, drop_hidden, drop_subtrees,
     first_in, has_attr, has_class, has_id, href_starts, innermost, outermost, scope, style_has, tag, within,
 )
 from pageloom.operators.text import subtree_text, with_clean
@@ -36,8 +36,13 @@ from pageloom.streaming import messages
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-ARTICLE = tag("article")
-CHROME = tag("nav", "footer") | has_class("ad")
+
+def article() -> Column:
+    return tag("article")
+
+
+def chrome() -> Column:
+    return tag("nav", "footer") | has_class("ad")
 
 
 def query(sql: str | None = None):
@@ -150,7 +155,7 @@ def page_tag_counts(spark, folder):
 
 @query(f"SELECT page_id, {SQL_TITLE} AS title, '# ' || {SQL_TITLE} AS heading FROM pages")
 def page_titles(spark, folder):
-    nodes = scope(page_nodes(spark, folder), ARTICLE)
+    nodes = scope(page_nodes(spark, folder), article())
     titles = first_in(
         subtree_text(nodes, tag("h1"), title="spaced"), F.lit(True), ["page_id"], "title"
     )
@@ -170,8 +175,8 @@ def page_ads(spark, folder):
     SELECT page_id, {sql_collapse(sql_entities(sql_no_tags(f"replace({SQL_ARTICLE}, '<br>', ' · ')", ' ')))} AS text FROM pages
 """)
 def clean_text(spark, folder):
-    nodes = with_clean(drop_subtrees(page_nodes(spark, folder), CHROME))
-    return subtree_text(nodes, ARTICLE, text="spaced:clean").select("page_id", fx.collapse("text").alias("text"))
+    nodes = with_clean(drop_subtrees(page_nodes(spark, folder), chrome()))
+    return subtree_text(nodes, article(), text="spaced:clean").select("page_id", fx.collapse("text").alias("text"))
 
 
 @query(f"""
@@ -180,7 +185,7 @@ def clean_text(spark, folder):
                  unnest(range(1, len(string_split({SQL_ARTICLE}, '<p>')))) AS i FROM pages)
 """)
 def page_sections(spark, folder):
-    nodes = scope(page_nodes(spark, folder), ARTICLE)
+    nodes = scope(page_nodes(spark, folder), article())
     rows = with_section(
         subtree_text(nodes, tag("h1", "p"), "tag", text="raw").withColumn("text", fx.strip("text")),
         F.col("tag") == "h1", F.col("text"),
@@ -196,7 +201,7 @@ def page_sections(spark, folder):
     FROM pages
 """)
 def after_headings(spark, folder):
-    rows = children(page_nodes(spark, folder), ARTICLE, form="raw").withColumn("text", fx.strip("text"))
+    rows = children(page_nodes(spark, folder), article(), form="raw").withColumn("text", fx.strip("text"))
     first = after_heading(rows, F.col("tag") == "h1", 1, keep="last", fields=("text",))
     second = after_heading(rows, F.col("tag") == "h1", 2, keep="first", fields=("text",))
     return first.select("page_id", F.col("text").alias("heading"), F.col("next.text").alias("first_text")).join(
@@ -222,7 +227,7 @@ def nav_bullets(spark, folder):
 """)
 def page_markdown(spark, folder):
     pages = read_pages(spark, f"{folder}/pages.parquet")
-    nodes = drop_subtrees(scope(html_nodes(pages), ARTICLE, keep_root=True, keep_document=True), CHROME)
+    nodes = drop_subtrees(scope(html_nodes(pages), article(), keep_root=True, keep_document=True), chrome())
     docs = documents.page_text(nodes, headings=("h1", *documents.HEADINGS))
     return stores.filled(docs.join(pages.select("page_id", "url"), "page_id")).select(
         "page_id", documents.with_title("url", "markdown").alias("markdown")
@@ -252,18 +257,19 @@ def distinct_links(spark, folder):
     )
 
 
-SQL_BODY = "regexp_extract(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<body>(.*)</body>', 1, 's')"
+SQL_BODY = "regexp_extract(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<body>(.*)', 1, 's')"
 SQL_MARKS = sql_collapse(SQL_BODY)
 for _tag, _mark in (
-    ("</?ul>", r"\n\n"), ("<li>", r"\n- "), ("<h1>", r"\n\n# "), ("</h1>", r"\n\n"), ("</?p>", r"\n\n"),
+    ("</?ul>", "\n\n"), ("<li>", "\n- "), ("<h1>", "\n\n# "), ("</h1>", "\n\n"), ("</?p>", "\n\n"), ("</article>", "\n\n"),
+    # A bold run that is left open ends with its paragraph, right after the break.
+    ("<b>([^<]*)<br>", r"**\1  " + "\n**"),
 ):
     SQL_MARKS = f"regexp_replace({SQL_MARKS}, '{_tag}', '{_mark}', 'g')"
-# A bold run that is left open ends with its paragraph, right after the break.
-SQL_MARKS = rf"regexp_replace({SQL_MARKS}, '<b>([^<]*)<br>', '**\1  \n**', 'g')"
+SQL_BLANKS = r"\n{3,}"
 
 
 @query(f"""
-    SELECT page_id, {sql_strip(f"regexp_replace(replace({sql_entities(sql_no_tags(SQL_MARKS))}, '\\n', chr(10)), '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g')")} AS markdown
+    SELECT page_id, {sql_strip(f"regexp_replace({sql_entities(sql_no_tags(SQL_MARKS))}, '{SQL_BLANKS}', chr(10) || chr(10), 'g')")} AS markdown
     FROM pages
 """)
 def page_to_markdown(spark, folder):
@@ -537,7 +543,7 @@ def card_markdown(spark, folder):
     FROM part
 """)
 def item_documents(spark, folder):
-    return documents.item_markdown(kept(part_nodes(spark, folder, markup.item_page())))
+    return documents.item_markdown(kept(documents.item_body(part_nodes(spark, folder, markup.item_page()))))
 
 
 SQL_TOPIC = """concat_ws(chr(10), '# ' || s_name, '', '', '', '## On ' || s_name, '', 'intro ' || s_suppkey, '', '| K |', '|---|',
@@ -546,14 +552,14 @@ SQL_TOPIC = """concat_ws(chr(10), '# ' || s_name, '', '', '', '## On ' || s_name
 
 @query(f"SELECT s_suppkey AS page_id, {SQL_TOPIC} AS markdown FROM supplier")
 def topic_documents(spark, folder):
-    docs = documents.topic_markdown(kept(supplier_nodes(spark, folder, markup.mechanics_page())))
+    docs = documents.topic_markdown(kept(documents.topic_body(supplier_nodes(spark, folder, markup.mechanics_page()))))
     names = table(spark, folder, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("page_id"), "s_name")
     return docs.join(names, "page_id").select("page_id", documents.with_title("s_name", "markdown").alias("markdown"))
 
 
 @query(f"SELECT 'nation ' || s_nationkey AS category, s_name AS name, {SQL_TOPIC} AS markdown FROM supplier")
 def document_store(spark, folder):
-    docs = documents.topic_markdown(kept(supplier_nodes(spark, folder, markup.mechanics_page())))
+    docs = documents.topic_markdown(kept(documents.topic_body(supplier_nodes(spark, folder, markup.mechanics_page()))))
     names = table(spark, folder, "supplier", "s_suppkey").select(
         F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"),
         F.concat(F.lit("nation "), "s_nationkey").alias("category"))
@@ -727,9 +733,9 @@ def ability_headings(spark, folder):
     FROM part
 """)
 def text_functions(spark, folder):
-    even = markup.SIZE % 2 == 0
+    even = markup.PART.size % 2 == 0
     h = markup.html
-    name, brand, kind, size = markup.NAME, markup.BRAND, markup.TYPE, markup.SIZE
+    name, brand, kind, size = markup.PART.name, markup.PART.brand, markup.PART.type, markup.PART.size
     before, behind = fx.around(F.array(kind, F.lit("x"), name, brand), name)
     cost = F.when(kind == "ECONOMY", "the COOLDOWN and mana").when(kind == "SMALL", "mana").when(kind == "LARGE", "Cost of health").otherwise(brand)
     return table(spark, folder, "part", "p_partkey").select(

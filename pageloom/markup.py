@@ -24,21 +24,30 @@ def content(*parts: str | Column) -> Column:
     return html('<div class="mw-parser-output">', *parts, "</div>")
 
 
-KEY, NAME, BRAND, TYPE, SIZE = (F.col(f"p_{c}") for c in ("partkey", "name", "brand", "type", "size"))
+class _Part:
+    """Columns of ``part`` by short name."""
+
+    columns = {"key": "p_partkey", "name": "p_name", "brand": "p_brand", "type": "p_type", "size": "p_size"}
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(self.columns[name])
+
+
+PART = _Part()
 
 
 def shop_page() -> Column:
-    heading = F.when(TYPE == "ECONOMY", "Consumables").when(TYPE == "SMALL", "Secret Shop").otherwise(TYPE)
+    heading = F.when(PART.type == "ECONOMY", "Consumables").when(PART.type == "SMALL", "Secret Shop").otherwise(PART.type)
     return content(
-        "<h3>", heading, "[edit]</h3><div>", NAME, " (", SIZE, ")<br>", BRAND, " (x)<br>", TYPE, " (12 )</div><p>end</p>",
+        "<h3>", heading, "[edit]</h3><div>", PART.name, " (", PART.size, ")<br>", PART.brand, " (x)<br>", PART.type, " (12 )</div><p>end</p>",
     )
 
 
 def tier_page() -> Column:
-    span = F.when(SIZE % 2 == 0, "2-3").otherwise("7-9")
+    span = F.when(PART.size % 2 == 0, "2-3").otherwise("7-9")
     return content(
-        "<h3>Tier 1</h3><div>too early</div><h2>Active Artifacts[edit]</h2><h3>Tier ", SIZE % 7, "</h3><div> ", NAME,
-        " <br>", BRAND, "</div><h2>Active Enchantments</h2><h3>Tier ", span, "[edit]</h3><div>", TYPE,
+        "<h3>Tier 1</h3><div>too early</div><h2>Active Artifacts[edit]</h2><h3>Tier ", PART.size % 7, "</h3><div> ", PART.name,
+        " <br>", PART.brand, "</div><h2>Active Enchantments</h2><h3>Tier ", span, "[edit]</h3><div>", PART.type,
         "</div><h2>Other</h2><h3>Tier 1</h3><div>skip</div>",
     )
 
@@ -77,45 +86,46 @@ def skill_page() -> Column:
 
 def infobox(*classes: str) -> list[str | Column]:
     return [
-        f'<table class="{" ".join(classes)}"><tr><th><div><div style="text-align:center">', NAME, " ", KEY,
-        '</div></div></th></tr><tr><td style="font-style: italic">A ', TYPE, ' thing.</td></tr><tr><td><table style="text-align:left">'
-        '<tr><th colspan="2">Costs</th></tr><tr><th>Stock</th><td>', SIZE, "</td></tr><tr><th>Brand</th><td>", BRAND,
-        "</td></tr><tr><td>+", SIZE, '</td></tr><tr><th colspan="2">Stats</th></tr><tr><td>more ', KEY,
-        '</td></tr><tr><th colspan="2">Recipe</th></tr><tr><td><a title="Great ', NAME, ' (900)">g</a></td></tr><tr><td><a title="',
-        NAME, " ", KEY, '">s</a></td></tr><tr><td><a title="Hilt ', SIZE, '">h</a><a title="Recipe (650)">r</a></td></tr>'
-        '<tr><th>Type</th><td><abbr title="Type ', TYPE, '">t</abbr><br><span title="Yes"><img></span></td></tr></table></td></tr></table>',
+        f'<table class="{" ".join(classes)}"><tr><th><div><div style="text-align:center">', PART.name, " ", PART.key,
+        '</div></div></th></tr><tr><td style="font-style: italic">A ', PART.type, ' thing.</td></tr><tr><td><table style="text-align:left">'
+        '<tr><th colspan="2">Costs</th></tr><tr><th>Stock</th><td>', PART.size, "</td></tr><tr><th>Brand</th><td>", PART.brand,
+        "</td></tr><tr><td>+", PART.size, '</td></tr><tr><th colspan="2">Stats</th></tr><tr><td>more ', PART.key,
+        '</td></tr><tr><th colspan="2">Recipe</th></tr><tr><td><a title="Great ', PART.name, ' (900)">g</a></td></tr><tr><td><a title="',
+        PART.name, " ", PART.key, '">s</a></td></tr><tr><td><a title="Hilt ', PART.size, '">h</a><a title="Recipe (650)">r</a></td></tr>'
+        '<tr><th>Type</th><td><abbr title="Type ', PART.type, '">t</abbr><br><span title="Yes"><img></span></td></tr></table></td></tr></table>',
     ]
 
 
-def card(name: str | Column = NAME, wrapper_id: str | Column | None = None, tabs: bool = True) -> list[str | Column]:
+def card(name: str | Column | None = None, wrapper_id: str | Column | None = None, tabs: bool = True) -> list[str | Column]:
+    name = PART.name if name is None else name
     out: list[str | Column] = ['<div class="spellcard-wrapper"', *([] if wrapper_id is None else [' id="', wrapper_id, '"'])]
     out += [
         '><div class="spellcard"><div style="border-bottom:1px solid"><span style="font-weight:bold">', name,
-        '</span><img alt="', BRAND, '"><img alt="', BRAND, '"><div title="Default Hotkey"><span>Q', SIZE % 9, '</span></div></div>'
-        '<div><div class="spelltad">Ability</div><div class="spelltad_value">', TYPE,
-        '</div><div class="spelltad">Affects</div><div class="spelltad_value"><abbr title="Enemies ', SIZE, '">En</abbr></div></div>'
-        '<div style="display:flex;font-size:12px"><div class="target_x"><img alt=""></div><div>Moves ', SIZE, ' far</div></div>'
-        '<div class="spelltrait_value"><b>Radius:</b> ', SIZE, '</div><div class="spelltrait_value">radius : 400</div>'
-        '<div class="spelltrait_value">Radius: 5', SIZE, '</div><div class="spellcost_icon"><a title="Cooldown Time">c</a></div>'
-        '<div class="spellcost_value">', SIZE, '</div><div class="spellcost_icon"><a title="Mana">m</a></div><div class="spellcost_value">60</div>'
-        '<div class="spellcost_icon"><a title="Health">m</a></div><div class="spelldesc"><div>one</div><div>note ', KEY,
-        '</div></div><div class="spelllore">Lore of ', TYPE, "</div></div>",
+        '</span><img alt="', PART.brand, '"><img alt="', PART.brand, '"><div title="Default Hotkey"><span>Q', PART.size % 9, '</span></div></div>'
+        '<div><div class="spelltad">Ability</div><div class="spelltad_value">', PART.type,
+        '</div><div class="spelltad">Affects</div><div class="spelltad_value"><abbr title="Enemies ', PART.size, '">En</abbr></div></div>'
+        '<div style="display:flex;font-size:12px"><div class="target_x"><img alt=""></div><div>Moves ', PART.size, ' far</div></div>'
+        '<div class="spelltrait_value"><b>Radius:</b> ', PART.size, '</div><div class="spelltrait_value">radius : 400</div>'
+        '<div class="spelltrait_value">Radius: 5', PART.size, '</div><div class="spellcost_icon"><a title="Cooldown Time">c</a></div>'
+        '<div class="spellcost_value">', PART.size, '</div><div class="spellcost_icon"><a title="Mana">m</a></div><div class="spellcost_value">60</div>'
+        '<div class="spellcost_icon"><a title="Health">m</a></div><div class="spelldesc"><div>one</div><div>note ', PART.key,
+        '</div></div><div class="spelllore">Lore of ', PART.type, "</div></div>",
     ]
     if tabs:
         out += [
             '<div class="tabs-dynamic navigation-not-searchable"><ul class="nav nav-tabs"><li data-count="1">Details</li><li data-count="2">Show All</li>'
-            '<li data-count="3">Misc</li></ul><div class="tabs-content"><div class="content1"><ul><li>', BRAND, "<ul><li>deep ", SIZE,
-            '</li></ul></li></ul></div><div class="content2"><div><tt>mod_', SIZE, '</tt><div>effect</div></div></div></div></div>',
+            '<li data-count="3">Misc</li></ul><div class="tabs-content"><div class="content1"><ul><li>', PART.brand, "<ul><li>deep ", PART.size,
+            '</li></ul></li></ul></div><div class="content2"><div><tt>mod_', PART.size, '</tt><div>effect</div></div></div></div></div>',
         ]
     return [*out, "</div>"]
 
 
 def item_page() -> Column:
-    missing = F.when(TYPE == "PROMO", F.lit("")).otherwise("mw-parser-output")
+    missing = F.when(PART.type == "PROMO", F.lit("")).otherwise("mw-parser-output")
     return html(
         '<div class="', missing, '"><div id="toc">contents</div>', *infobox("fo-nttax-infobox-wrapper", "fo-nttax-infobox"),
-        *infobox("fo-nttax-infobox"), *card(wrapper_id="Card"), "<h2>About ", NAME,
-        '<span class="mw-editsection">[edit]</span></h2><p>Body ', KEY, '</p><div class="navigation-not-searchable">ad</div></div>',
+        *infobox("fo-nttax-infobox"), *card(wrapper_id="Card"), "<h2>About ", PART.name,
+        '<span class="mw-editsection">[edit]</span></h2><p>Body ', PART.key, '</p><div class="navigation-not-searchable">ad</div></div>',
     )
 
 
@@ -132,47 +142,47 @@ def mechanics_page() -> Column:
 def entity_page() -> Column:
     """Entity page of a part; some parts lack a biography or carry bad values."""
     value = '<div style="color:#FFF; text-shadow:1px 1px 2px #000;">'
-    mana = F.when(SIZE % 5 == 0, F.lit("n/a")).otherwise(F.concat(SIZE.cast("string"), F.lit("7 + 0.5")))
-    radius = F.when(SIZE % 3 == 0, F.lit("bad")).otherwise(SIZE.cast("string"))
-    bio = F.when(TYPE == "PROMO", F.lit("")).otherwise(html(
-        '<h2>Bio[edit]</h2><div><span class="quote-source">The ', NAME, ' </span></div><div><div style="display:table-row">x</div>'
-        '<div style="display:table-row">Lore: Born in ', BRAND, ".</div></div>"))
+    mana = F.when(PART.size % 5 == 0, F.lit("n/a")).otherwise(F.concat(PART.size.cast("string"), F.lit("7 + 0.5")))
+    radius = F.when(PART.size % 3 == 0, F.lit("bad")).otherwise(PART.size.cast("string"))
+    bio = F.when(PART.type == "PROMO", F.lit("")).otherwise(html(
+        '<h2>Bio[edit]</h2><div><span class="quote-source">The ', PART.name, ' </span></div><div><div style="display:table-row">x</div>'
+        '<div style="display:table-row">Lore: Born in ', PART.brand, ".</div></div>"))
     return content(
         '<div style="float:right; border:1px; float:right;border:1px solid grey;"><div style="color:white; text-align:center; font-weight:bold; text-shadow:1px 1px 2px #000;">'
         '<div id="primaryAttribute"><a title="Strength "></a></div><div id="second"><a title="Agility"></a></div>',
-        value, SIZE, " + 2.8</div>", value, "20 + ", SIZE, "</div></div>",
-        '<table><tr><td><a title="Health"></a>6', SIZE, " + 2.5</td></tr><tr><td><a title=\"Mana\"></a>", mana,
-        '</td></tr><tr><td>', SIZE, '<br><a title="Armor">Armor</a><br>x</td></tr><tr><td>25%<br><a title="Magic Resistance"></a>Magic Resist<br>y</td></tr>'
-        "<tr><td>", SIZE, '-99<br><a title="Main Attack Damage"></a>Damage<br>(', SIZE, ' Avg)</td></tr><tr><td><a title="Projectile Speed">9', SIZE,
-        '</a></td></tr><tr><td><a title="Melee"></a>150<br>Attack Range<br>5', SIZE, '</td></tr><tr><td><a title="Attack Speed"></a><b>', SIZE,
+        value, PART.size, " + 2.8</div>", value, "20 + ", PART.size, "</div></div>",
+        '<table><tr><td><a title="Health"></a>6', PART.size, " + 2.5</td></tr><tr><td><a title=\"Mana\"></a>", mana,
+        '</td></tr><tr><td>', PART.size, '<br><a title="Armor">Armor</a><br>x</td></tr><tr><td>25%<br><a title="Magic Resistance"></a>Magic Resist<br>y</td></tr>'
+        "<tr><td>", PART.size, '-99<br><a title="Main Attack Damage"></a>Damage<br>(', PART.size, ' Avg)</td></tr><tr><td><a title="Projectile Speed">9', PART.size,
+        '</a></td></tr><tr><td><a title="Melee"></a>150<br>Attack Range<br>5', PART.size, '</td></tr><tr><td><a title="Attack Speed"></a><b>', PART.size,
         '</b> 1.7</td></tr><tr><td>0.4<br>Animation<a title="Attack Animation"></a></td></tr><tr><td>310/315<br>Move Speed</td></tr>'
-        '<tr><td><a title="m"></a>3', SIZE, '/315<br>Move Speed</td></tr><tr><td>0.', SIZE, '<br>Turn Rate<a title="Turn Rate"></a></td></tr>'
+        '<tr><td><a title="m"></a>3', PART.size, '/315<br>Move Speed</td></tr><tr><td>0.', PART.size, '<br>Turn Rate<a title="Turn Rate"></a></td></tr>'
         '<tr><td>0.9<br>Turn Rate<a title="Turn Rate"></a></td></tr><tr><td><a title="Collision Size"></a>24<br>Collision Size</td></tr>'
-        '<tr><td><a title="Bound Radius"></a>', radius, '<br>Bound Radius</td></tr><tr><td><a title="q"></a>18', SIZE, '/800<br>Vision Range</td></tr></table></div>'
-        '<div class="table-responsive"><table><tr><td>Roles <a title="Role">', TYPE, '</a> <a title="Role">Durable</a><a title="x">no</a></td></tr>'
-        "<tr><th>Complexity</th><td>a</td><td>b</td></tr><tr><th>Adjectives</th><td>", BRAND, ", Mean Legs 2</td></tr><tr><td>First ", KEY,
-        '</td></tr><tr><td>Second line</td></tr><tr><td><a href="#a" title="', NAME, '"><img></a><a href="#b" title="Helix"><img></a><a href="#a" title="', NAME,
+        '<tr><td><a title="Bound Radius"></a>', radius, '<br>Bound Radius</td></tr><tr><td><a title="q"></a>18', PART.size, '/800<br>Vision Range</td></tr></table></div>'
+        '<div class="table-responsive"><table><tr><td>Roles <a title="Role">', PART.type, '</a> <a title="Role">Durable</a><a title="x">no</a></td></tr>'
+        "<tr><th>Complexity</th><td>a</td><td>b</td></tr><tr><th>Adjectives</th><td>", PART.brand, ", Mean Legs 2</td></tr><tr><td>First ", PART.key,
+        '</td></tr><tr><td>Second line</td></tr><tr><td><a href="#a" title="', PART.name, '"><img></a><a href="#b" title="Helix"><img></a><a href="#a" title="', PART.name,
         '"><img></a></td></tr></table></div><div class="facetBox" id="f1"><span class="facetLink">One</span><div class="facetCell">old</div></div>'
-        '<div class="facetBox" id="f2"><span class="facetLink">One</span><div class="facetCell">new ', KEY, '</div></div>'
+        '<div class="facetBox" id="f2"><span class="facetLink">One</span><div class="facetCell">new ', PART.key, '</div></div>'
         '<div class="facetBox"><span class="facetLink">No id</span><div class="facetCell">skip</div></div>'
-        "<h3>Aghanim's upgrades</h3><div><div class=\"aghupgTitle\">Scepter</div><div class=\"aghupgShadow\"><div class=\"aghupgDesc\">s ", KEY,
-        '</div></div><div class="aghupgTitle">Shard</div><div class="aghupgShadow"><div class="aghupgDesc">h1</div><div class="aghupgDesc">h ', SIZE,
+        "<h3>Aghanim's upgrades</h3><div><div class=\"aghupgTitle\">Scepter</div><div class=\"aghupgShadow\"><div class=\"aghupgDesc\">s ", PART.key,
+        '</div></div><div class="aghupgTitle">Shard</div><div class="aghupgShadow"><div class="aghupgDesc">h1</div><div class="aghupgDesc">h ', PART.size,
         '</div></div></div><h2>Talents</h2><div><table class="wikitable"><tr><td>x</td><th>9</th><td>y</td></tr></table></div>'
-        '<h3>Talents tree</h3><div><table class="wikitable"><tr><th colspan="3">All</th></tr><tr><td>L', SIZE, '</td><th>25</th><td>R', KEY,
+        '<h3>Talents tree</h3><div><table class="wikitable"><tr><th colspan="3">All</th></tr><tr><td>L', PART.size, '</td><th>25</th><td>R', PART.key,
         '</td></tr><tr><td>a</td><th>5</th><td>b</td><td>c</td></tr></table></div>', bio, "<h2>Innate</h2><p>t</p>",
-        *card(F.concat(F.lit("Inn "), TYPE), tabs=False), "<h2>Abilities</h2><h3>", F.upper(NAME), " II</h3>", *card(),
+        *card(F.concat(F.lit("Inn "), PART.type), tabs=False), "<h2>Abilities</h2><h3>", F.upper(PART.name), " II</h3>", *card(),
         "<h3>Other</h3><p>z</p><h3>helix</h3>", *card("Helix", tabs=False),
     )
 
 
 def choice_page() -> Column:
     """A page with several tables, the one to read told by class, head or place."""
-    kind = SIZE % 4
+    kind = PART.size % 4
     cls = F.when(kind == 0, "mw-datatable").when(kind == 1, "sortable").otherwise("plain")
     head = F.when(kind == 2, "<thead><tr><th>h</th></tr></thead>").otherwise("")
     return content(
-        '<table><tr><td>first</td></tr></table><table class="', cls, '">', head, "<tbody><tr><td>second ", KEY,
-        "</td></tr></tbody></table><table><tr><td>third<table><tr><td>inner ", SIZE, "</td></tr></table></td></tr></table>",
+        '<table><tr><td>first</td></tr></table><table class="', cls, '">', head, "<tbody><tr><td>second ", PART.key,
+        "</td></tr></tbody></table><table><tr><td>third<table><tr><td>inner ", PART.size, "</td></tr></table></td></tr></table>",
         "<ul><li>a<ul><li>b</li></ul></li></ul>",
     )
 
@@ -180,8 +190,8 @@ def choice_page() -> Column:
 def noisy_page() -> Column:
     """Hidden parts, ads and navigation blocks around the text of a part."""
     return content(
-        '<div id="toc">t</div><div class="toc"><div class="navbox">n</div></div><p>keep ', NAME, '</p><div class="navigation-not-searchable">drop</div>'
-        '<div class="navigation-not-searchable tabs-dynamic">tabs ', BRAND, '</div><div class="navigation-not-searchable"><div class="tabs-content">panel ', SIZE,
-        '</div></div><span class="sortkey">k</span><span style="display:none">h</span><span style="display: none">shown ', KEY,
+        '<div id="toc">t</div><div class="toc"><div class="navbox">n</div></div><p>keep ', PART.name, '</p><div class="navigation-not-searchable">drop</div>'
+        '<div class="navigation-not-searchable tabs-dynamic">tabs ', PART.brand, '</div><div class="navigation-not-searchable"><div class="tabs-content">panel ', PART.size,
+        '</div></div><span class="sortkey">k</span><span style="display:none">h</span><span style="display: none">shown ', PART.key,
         '</span><iframe></iframe><div class="sponsored">ad</div><div id="top-ad">ad</div><div class="sponsored"><iframe></iframe></div>',
     )

@@ -4,21 +4,36 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pageloom.schema import (
     AD_CLASSES, AD_IDS, BOILERPLATE_CLASSES, BOILERPLATE_IDS, CONTENT_CLASS, NAVIGATION_CLASS,
 )
 
-PAGE = Window.partitionBy("page_id").orderBy("start")
-# A frame that ends at the last row is quadratic in Spark when its lower bound
-# moves, so looking ahead reads the page backwards instead.
-AHEAD = Window.partitionBy("page_id").orderBy(F.desc("start")).rowsBetween(
-    Window.unboundedPreceding, -1
-)
-SO_FAR = PAGE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = PAGE.rowsBetween(Window.unboundedPreceding, -1)
+
+def page_order() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("start")
+
+
+def so_far() -> WindowSpec:
+    """The page's rows up to this one."""
+    return page_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before() -> WindowSpec:
+    """The page's rows ahead of this one."""
+    return page_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def behind() -> WindowSpec:
+    """The page's rows after this one, nearest last.
+
+    A frame that ends at the last row is quadratic in Spark when its lower bound
+    moves, so looking ahead reads the page backwards instead.
+    """
+    return Window.partitionBy("page_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+
 
 
 # ---- Predicates over a node row; never null ---------------------------------
@@ -70,20 +85,24 @@ def any_of(*preds: Column) -> Column:
     return reduce(lambda a, b: a | b, preds, F.lit(False))
 
 
-IS_TEXT = tag("#text")
-IS_ELEMENT = ~tag("#text", "#document")
+def content() -> Column:
+    """The element that holds a page's content."""
+    return has_class(CONTENT_CLASS)
 
-BOILERPLATE = has_id(*BOILERPLATE_IDS) | has_class(*BOILERPLATE_CLASSES)
-HIDDEN = any_of(
-    style_has("display:none"),
-    style_has("visibility:hidden"),
-    tag("span") & has_class("sortkey"),
-)
+
+def boilerplate() -> Column:
+    return has_id(*BOILERPLATE_IDS) | has_class(*BOILERPLATE_CLASSES)
+
+
+def is_hidden() -> Column:
+    return any_of(
+        style_has("display:none"), style_has("visibility:hidden"), tag("span") & has_class("sortkey")
+    )
 
 
 def next_match(pred: Column, value: Column | None = None) -> Column:
     """Value (the start, by default) of the next matching row after this one."""
-    return F.last(F.when(pred, F.col("start") if value is None else value), ignorenulls=True).over(AHEAD)
+    return F.last(F.when(pred, F.col("start") if value is None else value), ignorenulls=True).over(behind())
 
 
 def contains_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
@@ -93,42 +112,70 @@ def contains_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
 
 # ---- Intervals as running windows -------------------------------------------
 
-def inside(
-    nodes: DataFrame, pred: Column, name: str, *fields: str | Column, keep_all: bool = True,
-    within: Column | None = None,
-) -> DataFrame:
-    """Add ``name``: the outermost matching element around each row, else null.
+def _covering(pred: Column, fields: tuple[str, ...]) -> Column:
+    """Outermost matching interval around the row, if its end reaches the row.
 
-    The struct holds ``start``, ``end`` and the chosen fields; the matching
-    element's own row carries it too.  ``within`` restarts the rule inside
-    another interval column, so the match is the outermost one in there.
-    One window in page order, no interval join.
+    Intervals nest or are apart, so of all matches so far the one with the
+    largest end (the earliest start among equals) is the outermost around the
+    row.  A running maximum finds it in one pass.
     """
-    w = Window.partitionBy("page_id").orderBy("start")
-    pred = _sure(pred)
-    if within is not None:
-        pred = pred & within.isNotNull()
-    reach = F.max(F.when(pred, F.col("end"))).over(
-        w.rowsBetween(Window.unboundedPreceding, -1)
+    found = F.struct("end", (-F.col("start")).alias("_from"), *fields)
+    return F.max(F.when(_sure(pred), found)).over(so_far())
+
+
+def _interval(name: str, fields: tuple[str, ...], valid: Column) -> Column:
+    found = F.struct(
+        (-F.col(f"{name}._from")).alias("start"), F.col(f"{name}.end").alias("end"),
+        *[F.col(f"{name}.{f}").alias(f) for f in fields],
     )
-    nodes = nodes.withColumn("_outer", pred & F.coalesce(F.col("start") > reach, F.lit(True)))
-    last = F.last(
-        F.when(F.col("_outer"), F.struct("start", "end", *fields)), ignorenulls=True
-    ).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = nodes.withColumn(name, last).withColumn(
-        name, F.when(F.col("start") <= F.col(f"{name}.end"), F.col(name))
-    ).drop("_outer")
-    return out if keep_all else out.where(F.col(name).isNotNull())
+    return F.when(valid, found)
+
+
+def inside_all(nodes: DataFrame, **matches: Column | tuple) -> DataFrame:
+    """Add an interval column for each of several independent matches.
+
+    A match is a predicate, or a tuple of it and the fields to carry.  Each
+    column holds struct(start, end, fields) of the outermost matching element
+    around the row (the row itself included), or null.  All share one window in
+    page order; there is no interval join.
+    """
+    specs = {n: m if isinstance(m, tuple) else (m,) for n, m in matches.items()}
+    nodes = nodes.withColumns({n: _covering(m[0], m[1:]) for n, m in specs.items()})
+    return nodes.withColumns({
+        n: _interval(n, m[1:], F.col("start") <= F.col(f"{n}.end")) for n, m in specs.items()
+    })
+
+
+def inside(nodes: DataFrame, pred: Column, name: str, *fields: str, within: Column | None = None) -> DataFrame:
+    """Add one interval column, as ``inside_all`` does.
+
+    ``within`` asks for an enclosing interval column, so the match is the
+    outermost one in there.
+    """
+    pred = _sure(pred)
+    return inside_all(nodes, **{name: (pred if within is None else pred & within.isNotNull(), *fields)})
 
 
 def first_inside(nodes: DataFrame, pred: Column, name: str, within: str, *fields: str) -> DataFrame:
-    """Add ``name``: the first matching element of each ``within`` block, on the rows inside it."""
-    w = Window.partitionBy("page_id", f"{within}.start").orderBy("start").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    hit = F.when(_sure(pred) & F.col(within).isNotNull(), F.struct("start", "end", *fields))
-    nodes = nodes.withColumn(name, F.first(hit, ignorenulls=True).over(w))
-    return nodes.withColumn(name, F.when(F.col("start") <= F.col(f"{name}.end"), F.col(name)))
+    """Add ``name``: the first matching element of each ``within`` block, on the rows inside it.
+
+    Blocks follow each other, so the match with the latest block and the
+    earliest start is the running maximum as well.
+    """
+    found = F.struct(
+        F.col(f"{within}.start").alias("_of"), (-F.col("start")).alias("_from"), "end", *fields)
+    hit = F.when(_sure(pred) & F.col(within).isNotNull(), found)
+    nodes = nodes.withColumn(name, F.max(hit).over(so_far()))
+    mine = (F.col(f"{name}._of") == F.col(f"{within}.start")) & (F.col("start") <= F.col(f"{name}.end"))
+    return nodes.withColumn(name, _interval(name, fields, mine))
+
+
+def first_of_page(nodes: DataFrame, **preds: Column) -> DataFrame:
+    """Add interval columns of the first matching element of the page, on the rows inside it."""
+    nodes = nodes.withColumns({
+        n: F.first(F.when(_sure(p), F.struct("start", "end")), ignorenulls=True).over(so_far()) for n, p in preds.items()
+    })
+    return nodes.withColumns({n: F.when(F.col("start") <= F.col(f"{n}.end"), F.col(n)) for n in preds})
 
 
 def scope(nodes: DataFrame, pred: Column | None = None, keep_root: bool = False,
@@ -138,8 +185,8 @@ def scope(nodes: DataFrame, pred: Column | None = None, keep_root: bool = False,
     ``keep_document`` keeps the document row too, so pages without the element
     stay in the result.
     """
-    pred = has_class(CONTENT_CLASS) if pred is None else pred
-    root = F.first(F.when(pred, F.struct("start", "end")), ignorenulls=True).over(SO_FAR)
+    pred = content() if pred is None else pred
+    root = F.first(F.when(pred, F.struct("start", "end")), ignorenulls=True).over(so_far())
     low = F.col("start") >= F.col("_root.start") if keep_root else F.col("start") > F.col("_root.start")
     keep = low & (F.col("start") <= F.col("_root.end"))
     if keep_document:
@@ -159,7 +206,7 @@ def drop_subtrees(nodes: DataFrame, pred: Column, unless_contains: Column | None
     if unless_contains is not None:
         nodes = contains_match(nodes, unless_contains, "_spare")
         pred = pred & ~F.col("_spare")
-    reach = F.max(F.when(pred, F.col("end"))).over(SO_FAR)
+    reach = F.max(F.when(pred, F.col("end"))).over(so_far())
     out = nodes.withColumn("_reach", reach).where(
         F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))
     )
@@ -172,10 +219,10 @@ def drop_boilerplate(nodes: DataFrame, keep_tabs: bool = False) -> DataFrame:
     With ``keep_tabs`` a navigation block that is, or holds, a tab block stays.
     """
     if not keep_tabs:
-        return drop_subtrees(nodes, BOILERPLATE | has_class(NAVIGATION_CLASS))
+        return drop_subtrees(nodes, boilerplate() | has_class(NAVIGATION_CLASS))
     tab_parts = has_class("tabs-content", "show-all") | (has_class("nav") & has_class("nav-tabs"))
     return drop_subtrees(
-        drop_subtrees(nodes, BOILERPLATE),
+        drop_subtrees(nodes, boilerplate()),
         has_class(NAVIGATION_CLASS),
         unless=has_class("tabs-dynamic"),
         unless_contains=tab_parts,
@@ -183,7 +230,7 @@ def drop_boilerplate(nodes: DataFrame, keep_tabs: bool = False) -> DataFrame:
 
 
 def drop_hidden(nodes: DataFrame) -> DataFrame:
-    return drop_subtrees(nodes, HIDDEN)
+    return drop_subtrees(nodes, is_hidden())
 
 
 def _ad_kinds(classes: tuple[str, ...], ids: tuple[str, ...]) -> Column:
@@ -218,7 +265,7 @@ def first_in(nodes: DataFrame, pred: Column, by: list[str], *fields: str) -> Dat
 
 def innermost(nodes: DataFrame, pred: Column) -> DataFrame:
     """Matching elements that contain no other match."""
-    ahead = F.lead("start").over(PAGE)
+    ahead = F.lead("start").over(page_order())
     return (
         nodes.where(pred).withColumn("_ahead", ahead)
         .where(F.col("_ahead").isNull() | (F.col("_ahead") > F.col("end"))).drop("_ahead")
@@ -227,7 +274,7 @@ def innermost(nodes: DataFrame, pred: Column) -> DataFrame:
 
 def outermost(nodes: DataFrame, pred: Column) -> DataFrame:
     """Matching elements that lie in no other match."""
-    reach = F.max("end").over(BEFORE)
+    reach = F.max("end").over(before())
     return (
         nodes.where(pred).withColumn("_reach", reach)
         .where(F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))).drop("_reach")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import strip
-from pageloom.operators.select import BEFORE, HIDDEN, SO_FAR, any_of, attr, tag
+from pageloom.operators.select import any_of, attr, before, is_hidden, so_far, tag
 
 # A block boundary in the pieces of the ``lines`` form.
 _MARK = "\u0001"
@@ -127,10 +127,12 @@ def with_clean(nodes: DataFrame, name: str = "clean", hidden: bool = True,
     stands_for = F.coalesce(
         *[F.when(cond, value) for cond, value, use in rules if use], F.lit(None).cast("string")
     )
-    gone = F.max(F.when(HIDDEN, F.col("end"))).over(SO_FAR) if hidden else F.lit(None)
-    nodes = nodes.withColumn("_gone", F.coalesce(F.col("start") <= gone, F.lit(False)))
-    nodes = nodes.withColumn("_for", F.when(~F.col("_gone"), stands_for))
-    reach = F.max(F.when(F.col("_for").isNotNull(), F.col("end"))).over(BEFORE)
-    nodes = nodes.withColumn("_in", F.coalesce(F.col("start") <= reach, F.lit(False)))
-    shown = F.when(~F.col("_gone") & ~F.col("_in"), F.coalesce("_for", "text"))
-    return nodes.withColumn(name, shown).drop("_gone", "_for", "_in")
+    # A replaced element in a hidden one covers hidden rows only, so both are
+    # running maxima of one window.
+    nothing = F.lit(None).cast("int")
+    nodes = nodes.withColumn("_for", stands_for).withColumns({
+        "_gone": F.max(F.when(is_hidden(), F.col("end"))).over(so_far()) if hidden else nothing,
+        "_in": F.max(F.when(F.col("_for").isNotNull(), F.col("end"))).over(before()),
+    })
+    out = F.coalesce(F.col("start") <= F.greatest("_gone", "_in"), F.lit(False))
+    return nodes.withColumn(name, F.when(~out, F.coalesce("_for", "text"))).drop("_for", "_gone", "_in")

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import (
-    after_label, clean_cell, cost_label, dash, first_filled, label_of, non_empty, strip, strip_sort_code,
-    value_of,
+    after_label, clean_cell, cost_label, dash, first_filled, label_of, non_empty, strip, value_of,
 )
 from pageloom.operators.order import pair_next
 from pageloom.operators.select import (
-    PAGE, any_of, attr, class_attr_starts, first_inside, has_attr, has_class, inside, tag,
+    attr, first_inside, has_attr, has_class, inside, tag,
 )
 from pageloom.operators.text import subtree_text, with_clean
 from pageloom.schema import SPELLCARD

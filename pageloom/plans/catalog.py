@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import heading_key, heading_title, non_empty, priced_name, strip, title_parts
 from pageloom.operators.match import last_per, ordered_list
 from pageloom.operators.order import after_heading, children, with_keyed_section, with_section
-from pageloom.operators.select import SO_FAR, attr, has_class, inside, tag
+from pageloom.operators.select import attr, content, has_class, inside, so_far, tag
 from pageloom.operators.text import subtree_text
-from pageloom.schema import CONTENT_CLASS, SHOP_CATEGORIES, TIER_SECTIONS
-
-CONTENT = has_class(CONTENT_CLASS)
-
+from pageloom.schema import SHOP_CATEGORIES, TIER_SECTIONS
 
 def link_texts(nodes: DataFrame, around: Column | None = None) -> DataFrame:
     """Links inside the matching elements: page_id, start, href, text."""
@@ -27,10 +24,10 @@ def _lines(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select("page_id", "start", *keep, F.posexplode(F.split("next.text", "\n")).alias("pos", "line"))
 
 
-def shop_catalog(nodes: DataFrame, root: Column = CONTENT,
+def shop_catalog(nodes: DataFrame, root: Column | None = None,
                  categories: tuple[str, ...] = SHOP_CATEGORIES) -> DataFrame:
     """Priced names in the element after each allowed ``h3``: page_id, start, category, pos, name."""
-    rows = children(nodes, root).withColumn("category", heading_key("text"))
+    rows = children(nodes, content() if root is None else root).withColumn("category", heading_key("text"))
     found = after_heading(
         rows, (F.col("tag") == "h3") & F.col("category").isin(*categories), fields=("text",)
     )
@@ -40,10 +37,10 @@ def shop_catalog(nodes: DataFrame, root: Column = CONTENT,
     )
 
 
-def tier_catalog(nodes: DataFrame, root: Column = CONTENT,
+def tier_catalog(nodes: DataFrame, root: Column | None = None,
                  sections: dict[str, tuple[str, tuple[str, ...]]] = TIER_SECTIONS) -> DataFrame:
     """Names by tier inside the named sections: page_id, start, category, tier, pos, name."""
-    rows = children(nodes, root).withColumn("tier", heading_key("text"))
+    rows = children(nodes, content() if root is None else root).withColumn("tier", heading_key("text"))
     rows = with_keyed_section(rows, F.col("tag") == "h2", F.col("tier"), list(sections))
     allowed, category = F.lit(False), F.lit(None).cast("string")
     for key, (name, tiers) in sections.items():
@@ -57,14 +54,14 @@ def tier_catalog(nodes: DataFrame, root: Column = CONTENT,
     return _lines(found, "category", "tier").withColumn("name", strip("line")).drop("line")
 
 
-def topic_catalog(nodes: DataFrame, root: Column = CONTENT) -> DataFrame:
+def topic_catalog(nodes: DataFrame, root: Column | None = None) -> DataFrame:
     """Main and sub titles from the table of each section.
 
     Result: page_id, category, title, parent_title, pos.  The latest table of a
     section replaces earlier ones, a row without a bold title is skipped, and a
     title with ``/`` stands for several that share the sub titles.
     """
-    first = F.first(F.when(root, F.col("start")), ignorenulls=True).over(SO_FAR)
+    first = F.first(F.when(content() if root is None else root, F.col("start")), ignorenulls=True).over(so_far())
     marked = nodes.withColumn("is_child", F.coalesce(F.col("parent") == first, F.lit(False)) & ~tag("#text"))
     marked = inside(marked, F.col("is_child") & F.col("tag").startswith("table"), "tab")
     marked = inside(marked, tag("tr"), "tr", within=F.col("tab"))

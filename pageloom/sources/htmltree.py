@@ -152,6 +152,9 @@ class _Nodes(HTMLParser):
     def handle_comment(self, data) -> None:
         self._split = True
 
+    def updatepos(self, i, j) -> int:
+        return j  # line numbers are not wanted
+
     def finish(self) -> None:
         self.close()
         self._pop_to(0)
