@@ -43,6 +43,8 @@ def resolve_url(base: Column | str, ref: Column | str) -> Column:
 
     ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
     ref_tail = F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    # Joining drops empty segments; an absolute path keeps its own.
+    joined = F.regexp_replace(F.concat(folder, ref_path), "/+", "/")
     return (
         F.when(ref == "", base)
         .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
@@ -50,5 +52,5 @@ def resolve_url(base: Column | str, ref: Column | str) -> Column:
         .when(ref.startswith("/"), F.concat(origin, _drop_dots(ref_path), ref_tail))
         .when(ref.startswith("?"), F.concat(no_query, ref))
         .when(ref.startswith("#"), F.concat(no_fragment, ref))
-        .otherwise(F.concat(origin, _drop_dots(F.concat(folder, ref_path)), ref_tail))
+        .otherwise(F.concat(origin, _drop_dots(joined), ref_tail))
     )
