@@ -110,6 +110,18 @@ def contains_match(nodes: DataFrame, pred: Column, name: str) -> DataFrame:
     return nodes.withColumn(name, _sure(next_match(pred) <= F.col("end")))
 
 
+CORE = ("page_id", "start", "end", "depth", "parent", "tag", "text", "brk")
+
+
+def narrow(nodes: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Nodes cut down to their place, text and the given columns.
+
+    Windows copy whole rows, so a plan takes what it needs from the attributes,
+    classes and paths once, up front, and leaves the rest behind.
+    """
+    return nodes.select(*CORE, *keep, *[c.alias(n) for n, c in columns.items()])
+
+
 # ---- Intervals as running windows -------------------------------------------
 
 def _covering(pred: Column, fields: tuple[str, ...]) -> Column:

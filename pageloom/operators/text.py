@@ -110,18 +110,22 @@ def subtree_text(nodes: DataFrame, target: Column, *fields: str, **texts: str) -
     return pages.select("page_id", F.inline(F.transform("_targets", with_texts)))
 
 
-def with_clean(nodes: DataFrame, name: str = "clean", hidden: bool = True,
+def with_clean(nodes: DataFrame, name: str = "clean", hidden: Column | None = None,
                abbr: Column | None = None, span: Column | None = None,
-               img: bool = True, br: bool = True) -> DataFrame:
+               img: bool = True, br: bool = True,
+               title: Column | None = None, alt: Column | None = None) -> DataFrame:
     """Add a column with the text runs as a cell shows them.
 
     Runs in hidden elements are null.  ``br`` stands for a middle dot, ``img``
     for its alt text, ``abbr`` for its title where ``abbr`` holds, ``span`` for
     its title where ``span`` holds; what a replaced element contains is null,
-    and the outermost replaced element wins.  No row goes away.
+    and the outermost replaced element wins.  No row goes away.  ``hidden``,
+    ``title`` and ``alt`` stand in for the style and attributes of nodes that no
+    longer carry them.
     """
-    title = F.nullif(strip(attr("title")), F.lit(""))
-    rules = [(tag("br"), F.lit(" · "), br), (tag("img"), attr("alt"), img)]
+    hidden = is_hidden() if hidden is None else hidden
+    title = F.nullif(strip(attr("title") if title is None else title), F.lit(""))
+    rules = [(tag("br"), F.lit(" · "), br), (tag("img"), attr("alt") if alt is None else alt, img)]
     rules += [(tag("abbr") & abbr, title, True)] if abbr is not None else []
     rules += [(tag("span") & span, title, True)] if span is not None else []
     stands_for = F.coalesce(
@@ -129,9 +133,8 @@ def with_clean(nodes: DataFrame, name: str = "clean", hidden: bool = True,
     )
     # A replaced element in a hidden one covers hidden rows only, so both are
     # running maxima of one window.
-    nothing = F.lit(None).cast("int")
     nodes = nodes.withColumn("_for", stands_for).withColumns({
-        "_gone": F.max(F.when(is_hidden(), F.col("end"))).over(so_far()) if hidden else nothing,
+        "_gone": F.max(F.when(hidden, F.col("end"))).over(so_far()),
         "_in": F.max(F.when(F.col("_for").isNotNull(), F.col("end"))).over(before()),
     })
     out = F.coalesce(F.col("start") <= F.greatest("_gone", "_in"), F.lit(False))

@@ -10,7 +10,7 @@ from pageloom.functions.text import (
 )
 from pageloom.operators.order import pair_next
 from pageloom.operators.select import (
-    attr, first_inside, has_attr, has_class, inside, tag,
+    attr, first_inside, has_attr, has_class, inside, is_hidden, narrow, tag,
 )
 from pageloom.operators.text import subtree_text, with_clean
 from pageloom.schema import SPELLCARD
@@ -70,16 +70,18 @@ def _elements(nodes: DataFrame, wrap: Column, more: Column | None = None) -> Dat
     inside the first card of the wrapper, ``all`` those of the whole wrapper.
     A wrapper without a card is left out.
     """
-    marked = inside(nodes, wrap, "wrap", "id", "parent", "path").where(F.col("wrap").isNotNull())
+    marked = narrow(
+        nodes, "id", "path", "classes", "style", _wrap=wrap, title=attr("title"), alt=attr("alt"), cls=attr("class"),
+        count=attr("data-count"), _hidden=is_hidden(),
+    )
+    marked = inside(marked, F.col("_wrap"), "wrap", "id", "parent", "path").where(F.col("wrap").isNotNull())
     marked = first_inside(
         marked, has_class("spellcard") & (F.col("start") > F.col("wrap.start")), "card", "wrap"
-    ).where(F.col("wrap").isNotNull())
-    marked = with_clean(marked, "seen", span=has_attr("title"))
-    marked = with_clean(marked, "meant", span=has_attr("title"), abbr=has_attr("title"))
-    marked = marked.withColumns({
-        "title": attr("title"), "alt": attr("alt"), "cls": attr("class"), "count": attr("data-count"),
-        "in_card": F.coalesce(F.col("start") > F.col("card.start"), F.lit(False)),
-    })
+    )
+    shown = {"hidden": F.col("_hidden"), "title": F.col("title"), "alt": F.col("alt"), "span": F.lit(True)}
+    marked = with_clean(marked, "seen", **shown)
+    marked = with_clean(marked, "meant", abbr=F.lit(True), **shown)
+    marked = marked.withColumn("in_card", F.coalesce(F.col("start") > F.col("card.start"), F.lit(False)))
     target = tag(*MARKUP) | has_class(*PARTS, "tabs-dynamic", "tabs-content", "nav-tabs")
     rows = subtree_text(
         marked, target, "parent", "tag", "classes", "style", "wrap", "card", "title", "alt", "cls", "count", "in_card",
