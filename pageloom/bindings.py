@@ -62,6 +62,11 @@ def table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet", key)
 
 
+def plain(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as it lies; only tables that feed the parse are worth spreading."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def part_nodes(spark: SparkSession, folder: str, page) -> DataFrame:
     return html_nodes(markup.pages_from(table(spark, folder, "part", "p_partkey"), "p_partkey", page))
 
@@ -238,7 +243,7 @@ def page_markdown(spark, folder):
     SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)
 """)
 def pending_pages(spark, folder):
-    done = table(spark, folder, "labels", "doc_id").select(F.col("doc_id").alias("page_id"))
+    done = plain(spark, folder, "labels").select(F.col("doc_id").alias("page_id"))
     return pending(read_pages(spark, f"{folder}/pages.parquet").select("page_id", "url"), done, "page_id")
 
 
@@ -553,14 +558,14 @@ SQL_TOPIC = """concat_ws(chr(10), '# ' || s_name, '', '', '', '## On ' || s_name
 @query(f"SELECT s_suppkey AS page_id, {SQL_TOPIC} AS markdown FROM supplier")
 def topic_documents(spark, folder):
     docs = documents.topic_markdown(kept(documents.topic_body(supplier_nodes(spark, folder, markup.mechanics_page()))))
-    names = table(spark, folder, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("page_id"), "s_name")
+    names = plain(spark, folder, "supplier").select(F.col("s_suppkey").alias("page_id"), "s_name")
     return docs.join(names, "page_id").select("page_id", documents.with_title("s_name", "markdown").alias("markdown"))
 
 
 @query(f"SELECT 'nation ' || s_nationkey AS category, s_name AS name, {SQL_TOPIC} AS markdown FROM supplier")
 def document_store(spark, folder):
     docs = documents.topic_markdown(kept(documents.topic_body(supplier_nodes(spark, folder, markup.mechanics_page()))))
-    names = table(spark, folder, "supplier", "s_suppkey").select(
+    names = plain(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"),
         F.concat(F.lit("nation "), "s_nationkey").alias("category"))
     path = stores.scratch_dir(spark, "docs")
@@ -625,7 +630,7 @@ def biography_and_blocks(spark, folder):
 
 def _records(spark, folder):
     nodes = kept(part_nodes(spark, folder, markup.entity_page()))
-    names = table(spark, folder, "part", "p_partkey").select(
+    names = plain(spark, folder, "part").select(
         F.col("p_partkey").alias("page_id"), F.concat("p_name", F.lit(" "), "p_partkey").alias("name"))
     return records.entity_records(nodes, names)
 
@@ -678,9 +683,9 @@ def record_store(spark, folder):
     FROM customer LEFT JOIN nation ON replace(lower('Nation ' || (c_nationkey + 3)), ' ', '_') = lower(n_name)
 """)
 def entity_lookup(spark, folder):
-    asked = table(spark, folder, "customer", "c_custkey").select(
+    asked = plain(spark, folder, "customer").select(
         "c_custkey", fx.slug(F.concat(F.lit("Nation "), F.col("c_nationkey") + 3)).alias("slug"))
-    known = table(spark, folder, "nation", "n_nationkey").select(F.lower("n_name").alias("slug"), F.col("n_regionkey").alias("region"))
+    known = plain(spark, folder, "nation").select(F.lower("n_name").alias("slug"), F.col("n_regionkey").alias("region"))
     return lookup(asked, known, "slug").select("c_custkey", "slug", "region")
 
 
@@ -695,7 +700,7 @@ DISPLAY = ("Axe", "Keeper of the Light", "Anti-Mage", "Nature's Prophet", "Kez",
 """)
 def entity_domain(spark, folder):
     name = F.element_at(F.array(*map(F.lit, DISPLAY)), F.col("c_nationkey") % 6 + 1)
-    return table(spark, folder, "customer", "c_custkey").select(
+    return plain(spark, folder, "customer").select(
         "c_custkey", fx.slug(name).alias("exact"), in_domain(fx.slug(name), ENTITY_NAMES).alias("exact_group"),
         in_domain(fx.slug(name, loose=True), ENTITY_NAMES).alias("loose_group"),
     )
@@ -738,7 +743,7 @@ def text_functions(spark, folder):
     name, brand, kind, size = markup.PART.name, markup.PART.brand, markup.PART.type, markup.PART.size
     before, behind = fx.around(F.array(kind, F.lit("x"), name, brand), name)
     cost = F.when(kind == "ECONOMY", "the COOLDOWN and mana").when(kind == "SMALL", "mana").when(kind == "LARGE", "Cost of health").otherwise(brand)
-    return table(spark, folder, "part", "p_partkey").select(
+    return plain(spark, folder, "part").select(
         "p_partkey", fx.collapse(h(" \t", name, " \n  ", size, " ")).alias("collapsed"),
         fx.strip_sort_code(F.when(even, h("b", size, " ", name)).otherwise(h("a", size, "x"))).alias("_code"),
         h(size, " ").alias("left_side_untrimmed"), fx.split_side(h(size, " + ", kind), "+", 0).alias("left_side"),
@@ -798,7 +803,7 @@ def _runs(spark, folder):
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
     keys = (F.when(F.col("event_type") == "click", "session_id").when(F.col("event_type") == "view", "conversation_id")
             .when(F.col("event_type") == "error", "other_id").otherwise("thread_id"))
-    return table(spark, folder, "events", "event_id").select(
+    return plain(spark, folder, "events").select(
         F.col("event_id").alias("run_id"), F.when(F.col("event_type") == "signup", "other").otherwise("wiki").alias("project"),
         F.lit("llm").alias("run_type"), F.create_map(keys, user).alias("metadata"), F.col("ts").cast("timestamp").alias("start_time"),
         F.array(message("system", F.lit("hello")), message("user", F.col("props"))).alias("messages"),
@@ -837,8 +842,8 @@ def _model_events(events):
 
 
 def _registry(spark, folder):
-    nation = table(spark, folder, "nation", "n_nationkey").select("n_nationkey", "n_name")
-    part = table(spark, folder, "part", "p_partkey").select("p_partkey", "p_name")
+    nation = plain(spark, folder, "nation").select("n_nationkey", "n_name")
+    part = plain(spark, folder, "part").select("p_partkey", "p_name")
     return {"get_nation": (nation, "n_nationkey"), "get_part": (part, "p_partkey")}
 
 
@@ -861,13 +866,13 @@ def _found(responses):
 
 @query(SQL_RESPONSES)
 def tool_responses(spark, folder):
-    calls = chat.tool_calls(_model_events(table(spark, folder, "events", "event_id")))
+    calls = chat.tool_calls(_model_events(plain(spark, folder, "events")))
     return _found(chat.dispatch(calls, _registry(spark, folder)))
 
 
 @query(f"SELECT DISTINCT run_id FROM ({SQL_CALLS}) WHERE name <> 'get_region'")
 def continued_runs(spark, folder):
-    events = _model_events(table(spark, folder, "events", "event_id"))
+    events = _model_events(plain(spark, folder, "events"))
     responses = chat.dispatch(chat.tool_calls(events), _registry(spark, folder))
     return chat.with_tools(events.select("run_id").distinct(), responses)
 
@@ -881,7 +886,7 @@ def continued_runs(spark, folder):
     GROUP BY conv_id, run_id
 """)
 def answers(spark, folder):
-    return chat.answers(_model_events(table(spark, folder, "events", "event_id")))
+    return chat.answers(_model_events(plain(spark, folder, "events")))
 
 
 # ---- Streams ---------------------------------------------------------------------------
