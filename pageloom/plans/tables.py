@@ -11,6 +11,7 @@ from pageloom.operators.select import (
     attr, contains_match, has_attr, has_class, inside, tag,
 )
 from pageloom.operators.text import subtree_text, with_clean
+from pageloom.schema import INNER_LINK
 
 TABLE_KEY = ["page_id", "table_id"]
 
@@ -43,7 +44,7 @@ def _first_column_names(by_cell: Window) -> Column:
     titles = F.collect_list(F.when(is_link, non_empty(strip("title")))).over(by_cell)
     alts = F.collect_list(F.when(is_img, non_empty(strip("alt")))).over(by_cell)
     shown = is_link & (F.col("tight") != "")
-    inner = shown & F.col("title").isNotNull() & F.col("href").startswith("/dota2/")
+    inner = shown & F.col("title").isNotNull() & F.col("href").startswith(INNER_LINK)
     named = F.first(F.when(inner, F.col("tight")), ignorenulls=True).over(by_cell)
     last = F.last(F.when(shown, F.col("tight")), ignorenulls=True).over(by_cell)
     names = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -40,6 +41,7 @@ PARAGRAPH = (frozenset(("p",)), frozenset(("table", "td", "th", "caption", "butt
 CELL_SCOPE = frozenset(("table",))
 
 ROWS_PER_BATCH = 8192
+NONE: tuple = ()
 
 
 class _Nodes(HTMLParser):
@@ -74,16 +76,16 @@ class _Nodes(HTMLParser):
         if attrs is None:
             self.sib.append(None)
             self.id.append(None)
-            self.classes.append(None)
+            self.classes.append(NONE)
             self.style.append(None)
-            self.attrs.append(None)
+            self.attrs.append(NONE)
         else:
             self.sib.append(self._children[-1])
             self._children[-1] += 1
             self.id.append(attrs.get("id"))
-            self.classes.append(attrs["class"].split() if "class" in attrs else [])
+            self.classes.append(attrs["class"].split() if "class" in attrs else NONE)
             self.style.append(attrs.get("style"))
-            self.attrs.append(list(attrs.items()))
+            self.attrs.append(attrs.items())
         self.brk.append(self._break if tag == "#text" else None)
         return n
 
@@ -173,21 +175,32 @@ def _parse(html: str | None) -> _Nodes:
     return tree
 
 
-def _columns():
-    return {name: [] for name in NODE_SCHEMA.names}
+FLAT = {
+    "page_id": pa.int64(), "start": pa.int32(), "end": pa.int32(), "depth": pa.int32(), "parent": pa.int32(),
+    "sib": pa.int32(), "tag": pa.string(), "id": pa.string(), "style": pa.string(), "text": pa.string(),
+    "brk": pa.bool_(), "parent_tag": pa.string(),
+}
+
+
+def _batch(out: dict[str, list]) -> pa.RecordBatch:
+    """Column lists as one Arrow batch; nested columns go over as flat values and offsets."""
+    def offsets(values):
+        return pa.array(list(accumulate(map(len, values), initial=0)), pa.int32())
+
+    columns = {name: pa.array(out[name], kind) for name, kind in FLAT.items()}
+    for name, kind in (("classes", pa.string()), ("path", pa.int32())):
+        values = pa.array(list(chain.from_iterable(out[name])), kind)
+        columns[name] = pa.ListArray.from_arrays(offsets(out[name]), values)
+    pairs = list(chain.from_iterable(out["attrs"]))
+    columns["attrs"] = pa.MapArray.from_arrays(
+        offsets(out["attrs"]), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())
+    )
+    return pa.RecordBatch.from_arrays([columns[n] for n in NODE_SCHEMA.names], names=NODE_SCHEMA.names)
 
 
 def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([
-        ("page_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()),
-        ("depth", pa.int32()), ("parent", pa.int32()), ("sib", pa.int32()),
-        ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())),
-        ("style", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
-        ("text", pa.string()), ("path", pa.list_(pa.int32())), ("brk", pa.bool_()),
-        ("parent_tag", pa.string()),
-    ])
     names = NODE_SCHEMA.names
-    out = _columns()
+    out: dict[str, list] = {name: [] for name in names}
     for batch in batches:
         ids, pages = batch.column("page_id"), batch.column("html")
         for i in range(batch.num_rows):
@@ -196,10 +209,10 @@ def _node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for name in names[1:]:
                 out[name].extend(getattr(tree, name))
             if len(out["start"]) >= ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-                out = _columns()
+                yield _batch(out)
+                out = {name: [] for name in names}
     if out["start"]:
-        yield pa.RecordBatch.from_pydict(out, schema=schema)
+        yield _batch(out)
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
