@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing, quality
+from pageloom.llm import mixing, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,11 @@ def op3_quality_rules(spark, folder):
 def op4_source_mixing(spark, folder):
     mix = mixing.mixed_copies(documents(spark, folder))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query()
+def op2_substring_dedup(spark, folder):
+    kept = substrings.without_repeats(documents(spark, folder))
+    # The words that are left, joined by one space.
+    words = F.regexp_replace(F.col("kept"), r"[\x20\x09-\x0D]+", " ")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.trim(words).cast("binary"), 256).alias("kept_sha256"))
