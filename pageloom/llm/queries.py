@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing, quality, substrings
+from pageloom.llm import mixing, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op2_substring_dedup(spark, folder):
     # The words that are left, joined by one space.
     words = F.regexp_replace(F.col("kept"), r"[\x20\x09-\x0D]+", " ")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.trim(words).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op10_suffix_array_dedup(spark, folder):
+    return suffixes.without_repeated_bytes(documents(spark, folder)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
