@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing, quality, substrings, suffixes
+from pageloom.llm import mixing, neardup, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op2_substring_dedup(spark, folder):
 def op10_suffix_array_dedup(spark, folder):
     return suffixes.without_repeated_bytes(documents(spark, folder)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_near_dedup(spark, folder):
+    return neardup.near_duplicates(documents(spark, folder), percent=85)

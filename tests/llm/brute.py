@@ -48,3 +48,32 @@ def without_repeated_bytes(rows, window=100):
         spans = len(re.findall(b"\x01+", bytes(gone)))
         out[i] = (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+def near_components(rows, size=5, percent=85):
+    """{doc_id: (n_shingles, component_id)} by comparing all documents that share a shingle."""
+    sets = {}
+    for i, t in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = words_of(lowered)
+        sets[i] = {tuple(w[j:j + size]) for j in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    holders = {}
+    for i in sorted(sets):
+        shared = {}
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[s].append(i)
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
