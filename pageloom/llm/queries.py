@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing, neardup, quality, substrings, suffixes
+from pageloom.llm import mixing, neardup, packing, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op10_suffix_array_dedup(spark, folder):
 @query()
 def op8_near_dedup(spark, folder):
     return neardup.near_duplicates(documents(spark, folder), percent=85)
+
+
+@query()
+def op1_packing(spark, folder):
+    return packing.packed(documents(spark, folder)).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
