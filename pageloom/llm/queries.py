@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing, neardup, packing, quality, substrings, suffixes
+from pageloom.llm import mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
+from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +90,10 @@ def op8_near_dedup(spark, folder):
 def op1_packing(spark, folder):
     return packing.packed(documents(spark, folder)).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op6_token_files(spark, folder):
+    out = scratch_dir(spark, "token-files")
+    tokenfiles.write_token_files(documents(spark, folder), out)
+    return tokenfiles.read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
