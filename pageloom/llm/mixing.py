@@ -48,11 +48,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def mixed_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
-                 weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+                 weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """How often each document goes into the mix: one row a document.
 
-    Returns ``(doc_id, source, size, source_size, target, copies)`` under the
-    names given.  ``copies`` is the whole number of times that the source fits
+    Returns the id, the source, the columns named in ``carry``, ``size``, ``source_size``,
+    ``target`` and ``copies``.  ``copies`` is the whole number of times that the source fits
     its target, plus one for documents whose hash lies at or below the source's
     threshold.  Words are summed by source and hash bucket, the bucket in which
     the rest of the budget runs out is refined ``LEVELS`` - 1 times, and the
@@ -63,10 +63,12 @@ def mixed_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", source
     in, no rows out.  Other columns are ignored.
     """
     digest = F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
-    sized = stored(docs.select(
+    others = [c for c in carry if c not in (id, source)]
+    every = docs.select(
         F.col(id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"),
-        F.substring(digest, 1, DIGITS * LEVELS).alias("hash"),
-    ), "sized")
+        F.substring(digest, 1, DIGITS * LEVELS).alias("hash"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)],
+    )
+    sized = stored(every.select("doc_id", "source", "size", "hash"), "sized")
     by_source = stored(
         targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
         .withColumn("whole_copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -96,9 +98,11 @@ def mixed_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", source
     limits = by_source.join(_named(limits, "bound"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     limits = stored(limits, "limits")
     extra = F.coalesce((F.col("hash") <= F.col("bound")).cast("long"), F.lit(0))
+    # What is carried stays where it lies: a row's copies follow from its own hash and its source's limits.
     return (
-        sized.join(_named(limits, "bound", "whole_copies", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
-        .select(F.col("doc_id").alias(id), F.col("source").alias(source), "size", "source_size", "target",
+        (every if others else sized).join(_named(limits, "bound", "whole_copies", "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
+        .select(F.col("doc_id").alias(id), F.col("source").alias(source), *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)],
+                "size", "source_size", "target",
                 F.when(F.col("source_size") > 0, F.col("whole_copies") + extra).otherwise(0).cast("long").alias("copies"))
     )
 

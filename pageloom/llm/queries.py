@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
+from pageloom.llm import classifier, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
 from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,10 @@ def op6_token_files(spark, folder):
     out = scratch_dir(spark, "token-files")
     tokenfiles.write_token_files(documents(spark, folder), out)
     return tokenfiles.read_token_files(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op5_quality_classifier(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = classifier.quality_scores(documents(spark, folder), labels)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
