@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import classifier, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
+from pageloom.llm import ann, classifier, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
 from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op5_quality_classifier(spark, folder):
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scored = classifier.quality_scores(documents(spark, folder), labels)
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query()
+def op7_nearest_neighbours(spark, folder):
+    return ann.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), every=50)
