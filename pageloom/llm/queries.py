@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, classifier, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
+from pageloom.llm import ann, classifier, language, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
 from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op5_quality_classifier(spark, folder):
 @query()
 def op7_nearest_neighbours(spark, folder):
     return ann.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), every=50)
+
+
+@query()
+def op9_lm_scoring(spark, folder):
+    return language.scores(documents(spark, folder))

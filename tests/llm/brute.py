@@ -77,3 +77,24 @@ def near_components(rows, size=5, percent=85):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def word_scores(rows, folds=5, held_out=1):
+    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)} by smoothed word frequencies."""
+    import math
+    import zlib
+    from collections import Counter
+
+    end = object()
+    tokens, held = {}, {}
+    for i, t in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        tokens[i] = [*words_of(lowered), end]
+        held[i] = zlib.crc32(("" if i is None else str(i)).encode()) % folds == held_out
+    counts = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    out = {}
+    for i, ws in tokens.items():
+        score = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        out[i] = (held[i], len(ws), sum(counts[w] > 0 for w in ws), n, score)
+    return out
