@@ -1,7 +1,7 @@
 """Language-model scores: online logistic mixing of hashed-context bit predictors, and a word-count base.
 
-A byte is eight binary decisions along a tree.  Each predictor hashes a context (the last two bytes, the last
-four, the word so far) to a row of bit predictions learned from all training documents.
+A byte is two half-bytes of four binary decisions each.  Each predictor hashes a context (the last two bytes, the last
+four, the word so far; for the second half with the first) to a row of bit predictions learned from all training documents.
 For each document, weights start alike and are refined as its bytes go by: the predictions, in the
 logistic domain, are added by a set of weights that the bit's position and
 the place in the word select, and each block's errors correct the weights used for the next.
@@ -20,24 +20,24 @@ from pageloom.llm.repeats import bucket_of, chunk_rows, chunk_table, pack, unpac
 
 CHUNK_MB = 4
 #: Rows of the predictors' tables: last two bytes, last four bytes, word so far.
-ROWS = (1 << 13, 1 << 14, 1 << 15)
+ROWS = (1 << 16, 1 << 18, 1 << 19)
 #: Parts in which counts meet.
 RANGES = 56
 #: Steps of a stored logit in a unit, and what is added to counts.
-SCALE, ADDED = 12.0, 0.4
+SCALE, ADDED = 12.0, 0.1
 #: Bytes between corrections of the weights, first weights, and how fast they move.
 BLOCK, FIRST, RATE = 256, (0.25, 0.45, 0.55), 0.0015
 #: Stands for the end of a text among word hashes.
 END_WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
-_STARTS = np.append(0, np.cumsum(ROWS)) * 256
+_STARTS = np.append(0, np.cumsum(ROWS)) * 16
 _SHIFT = tuple(np.uint64(64 - r.bit_length() + 1) for r in ROWS)
-_NODES = np.array([[1] + [(1 << k) | (v >> (8 - k)) for k in range(1, 8)] for v in range(256)])
+_NODES = np.array([[1] + [(1 << k) | (v >> (4 - k)) for k in range(1, 4)] for v in range(16)])
 _BITS = np.array([[(v >> (7 - k)) & 1 for k in range(8)] for v in range(256)], np.float32)
 _models: dict[int, tuple] = {}
 
 
-def contexts(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(places in the tables by predictor, whether a word has begun) for every byte of rows that begin at ``at``."""
+def contexts(data: np.ndarray, at: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(places of both half-bytes in the tables by predictor, whether a word has begun) for every byte of rows that begin at ``at``."""
     n = len(data)
     place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
     value = _BYTE[data]
@@ -56,10 +56,10 @@ def contexts(data: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.nda
     word = (total[:-1] - total[begin]) * down[begin]
     inside = begin < np.arange(n)
     found = []
+    high, low = (data >> 4).astype(np.uint64), (data & 15).astype(np.int64)
     for h, shift, first in zip((two, four, word), _SHIFT, _STARTS):
-        h = h ^ (h >> np.uint64(29))
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        found.append((h >> shift).astype(np.int64) * 256 + data + first)
+        row = lambda x: (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64) * 16 + first
+        found.append((row(h) + high.astype(np.int64), row(h + (high + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) + low))
     return found, inside
 
 
@@ -88,9 +88,9 @@ def pieces_of(texts: Texts, size: int = 1 << 20):
 
 
 def logits(counts: np.ndarray) -> np.ndarray:
-    """Stored logits of the decision tree from byte counts, a row a context."""
+    """Stored logits of the decision tree from counts of half-bytes, a row a context."""
     out = np.zeros(counts.shape, np.int8)
-    level, width = counts.astype(np.float64), 128
+    level, width = counts.astype(np.float64), counts.shape[1] // 2
     while width:
         left, right = level[:, ::2], level[:, 1::2]
         out[:, width:2 * width] = np.clip(np.rint(SCALE * np.log((right + ADDED) / (left + ADDED))), -127, 127)
@@ -99,14 +99,14 @@ def logits(counts: np.ndarray) -> np.ndarray:
 
 
 def model(data: bytes) -> np.ndarray:
-    """For each context and byte, the eight stored logits along the byte's path, as one 64-bit value."""
+    """For each context and half-byte, the four stored logits along its path, as one 32-bit value."""
     key = crc(data)
     if key not in _models:
         _models.clear()
-        table = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int8).reshape(-1, 256)
-        paths = np.empty((len(table), 256), np.uint64)
-        for a in range(0, len(table), 1024):
-            paths[a:a + 1024] = np.ascontiguousarray(table[a:a + 1024][:, _NODES]).view(np.uint64)[:, :, 0]
+        table = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int8).reshape(-1, 16)
+        paths = np.empty((len(table), 16), np.uint32)
+        for a in range(0, len(table), 1 << 14):
+            paths[a:a + (1 << 14)] = np.ascontiguousarray(table[a:a + (1 << 14)][:, _NODES]).view(np.uint32)[:, :, 0]
         _models[key] = paths.reshape(-1)
     return _models[key]
 
@@ -128,8 +128,8 @@ def mixed_bits(data: np.ndarray, at: np.ndarray, paths: np.ndarray, block: int =
         w = weights[live]
         x = np.zeros((*spot.shape, 8), np.float32)
         seen = []
-        for i, place in enumerate(found):
-            s = paths[place[spot]].view(np.int8).reshape(*spot.shape, 8).astype(np.float32)
+        for i, halves in enumerate(found):
+            s = np.stack([paths[place[spot]] for place in halves], -1).view(np.int8).astype(np.float32)
             s *= np.float32(1 / SCALE)
             seen.append(s)
             x += np.where(gate[:, :, None], w[:, i, 1, None], w[:, i, 0, None]) * s
@@ -187,9 +187,10 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
                     yield line(0, b, chunk, pack(every[s], times[s].astype(np.uint32)))
                 taught = part_of(texts, np.flatnonzero(~held))
                 for group in pieces_of(taught):
-                    for place in contexts(*with_ends(part_of(taught, group)))[0]:
-                        np.add.at(sums, place, np.uint32(1))
-        edges = np.linspace(0, len(sums) // 256, RANGES + 1).astype(np.int64) * 256
+                    for halves in contexts(*with_ends(part_of(taught, group)))[0]:
+                        for place in halves:
+                            np.add.at(sums, place, np.uint32(1))
+        edges = np.linspace(0, sum(ROWS), RANGES + 1).astype(np.int64) * 16
         for r, (a, b) in enumerate(zip(edges, edges[1:])):
             used = np.flatnonzero(sums[a:b])
             if len(used):
@@ -215,16 +216,16 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
             gaps, times, size = unpack(x.as_py())
             total = np.zeros(size, np.int64) if total is None else total
             total[np.cumsum(gaps, dtype=np.int64)] += times
-        return pa.table({"bucket": table.column("bucket")[:1], "data": pa.array([logits(total.reshape(-1, 256)).tobytes()], pa.binary())})
+        return pa.table({"bucket": table.column("bucket")[:1], "data": pa.array([logits(total.reshape(-1, 16)).tobytes()], pa.binary())})
 
     parts = stored(chunks.mapInArrow(count, "kind int, bucket int, chunk long, data binary"), "counts")
     answers = stored(parts.where("kind = 0").groupBy("bucket").applyInArrow(meet, "chunk long, bucket int, n long, v long, data binary"), "words")
     whole = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     edges = np.linspace(0, sum(ROWS), RANGES + 1).astype(np.int64)
     # The tables' size is fixed by ROWS, whatever the corpus.
-    table = np.zeros((sum(ROWS), 256), np.int8)
+    table = np.zeros((sum(ROWS), 16), np.int8)
     for r in parts.where("kind = 1").groupBy("bucket").applyInArrow(add, "bucket int, data binary").collect():
-        table[edges[r["bucket"]]:edges[r["bucket"] + 1]] = np.frombuffer(r["data"], np.int8).reshape(-1, 256)
+        table[edges[r["bucket"]]:edges[r["bucket"] + 1]] = np.frombuffer(r["data"], np.int8).reshape(-1, 16)
     data = zstandard.ZstdCompressor(3).compress(table.tobytes())
     norm = np.log10(whole["n"] + 0.5 * (whole["v"] + 1))
     train_tokens = whole["n"]
