@@ -48,6 +48,8 @@ class Method:
     solve: Callable
     #: Whether an earlier place in the same document counts.
     within: bool
+    #: Bytes of segments solved together, all those of an anchor at least; a bucket is a series of such shards.
+    shard: int
 
 
 def pack(*arrays) -> bytes:
@@ -217,11 +219,13 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
         group = (np.cumsum(new_key) - 1)[fresh]
         hard = np.bincount(group)[group] > 1
         # A segment alone with its anchor: all its windows begin where it is first.
-        where = np.flatnonzero(hard)
-        runs = method.solve([text[place[i]:place[i] + length[i]] for i in lead[where].tolist()], size[lead[where]], doc[lead[where]], start[lead[where]])
-        runs = [np.concatenate(x) for x in zip(
-            (where[runs[0]], *runs[1:]),
-            (np.flatnonzero(~hard), np.zeros(np.sum(~hard), np.int64), size[lead[~hard]] - 1, doc[lead[~hard]], start[lead[~hard]]))]
+        alone = np.flatnonzero(~hard)
+        solved = [(alone, np.zeros(len(alone), np.int64), size[lead[alone]] - 1, doc[lead[alone]], start[lead[alone]])]
+        for where in shards(np.flatnonzero(hard), group, length[lead]):
+            own = lead[where]
+            runs = method.solve([text[place[i]:place[i] + length[i]] for i in own.tolist()], size[own], doc[own], start[own])
+            solved.append((where[runs[0]], *runs[1:]))
+        runs = [np.concatenate(x) for x in zip(*solved)]
         by = np.argsort(runs[0], kind="stable")
         runs = [x[by] for x in runs]
         span = np.searchsorted(runs[0], np.arange(len(lead) + 1))
@@ -235,6 +239,14 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
             out.append(pack(np.repeat(number[mine], count), *(x[pick] for x in runs[1:])))
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "runs": pa.array(out, pa.binary())})
 
+    def shards(hard, group, length):
+        """Parts of ``hard`` of about ``method.shard`` bytes that leave groups whole."""
+        if not len(hard):
+            return []
+        begins = np.append(0, np.flatnonzero(np.diff(group[hard])) + 1)
+        shard = (np.cumsum(length[hard]) - length[hard])[begins] // method.shard
+        return np.split(hard, begins[np.flatnonzero(np.diff(shard)) + 1])
+
     def mark(batches):
         for batch in batches:
             for rows, seen, runs in zip(batch.column("rows"), batch.column("payload"), batch.column("runs")):

@@ -13,6 +13,8 @@ from pageloom.llm.repeats import Method, marked
 WINDOW = 13
 #: Words of an anchor.
 GRAM = 5
+#: Bytes of segments in one automaton.
+SHARD = 200_000
 
 
 class SuffixAutomaton:
@@ -150,5 +152,5 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", car
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns if c != "text") + ", n_words long, n_removed long, kept string"
-    out = marked(rows, Method(WINDOW, GRAM, _units, _solve, within=False), "doc_id", finish, schema)
+    out = marked(rows, Method(WINDOW, GRAM, _units, _solve, within=False, shard=SHARD), "doc_id", finish, schema)
     return out.select(F.col("doc_id").alias(id), *[F.col(f"_{i}").alias(c) for i, c in enumerate(others)], "n_words", "n_removed", "kept")
