@@ -71,7 +71,8 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.
     near = np.argpartition(partial, probe - 1, axis=1)[:, :probe]
     full = part(np.repeat(np.arange(len(q)), probe), near.ravel(), 0, size).reshape(len(q), probe)
     bound = np.sqrt(np.partition(full, min(k, probe) - 1, axis=1)[:, min(k, probe) - 1]) + 1e-9
-    limit = lambda p: ((1 + DEVIATIONS / np.sqrt(p)) * bound) ** 2 * p / size
+    # The slack is for rounding: equal vectors may differ by it.
+    limit = lambda p: ((1 + DEVIATIONS / np.sqrt(p)) * bound) ** 2 * p / size + 1e-12
     i, j = np.nonzero(partial <= limit(step)[:, None])
     seen = partial[i, j]
     for a in range(step, size, step):
