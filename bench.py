@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -13,7 +14,8 @@ from pageloom.bindings import QUERIES
 
 HEADLINE = (
     "page_tag_counts", "page_links", "clean_text", "page_sections", "nav_bullets", "page_markdown", "page_to_markdown",
-    "price_names", "topics", "grid_markdown", "infobox_rows", "card_struct", "stats", "pending_pages", "entity_lookup",
+    "price_names", "topics", "grid_markdown", "infobox_rows", "card_struct", "stats", "records_typed", "item_documents",
+    "card_markdown", "pending_pages", "entity_lookup",
     "history", "prompts", "latest_state", "tool_responses", "answers", "stream_messages",
 )
 
@@ -27,6 +29,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED", f"file://{tempfile.mkdtemp(prefix='bench-')}"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -54,17 +54,22 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks of a parse: the session's shuffle partitions, which are set to the size of the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def page_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return html_nodes(read_pages(spark, f"{folder}/pages.parquet"))
+    return html_nodes(read_pages(spark, f"{folder}/pages.parquet", spread(spark)))
 
 
 def table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    return read_table(spark, f"{folder}/{name}.parquet", key)
+    return read_table(spark, f"{folder}/{name}.parquet", key, spread(spark))
 
 
 def plain(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as it lies; only tables that feed the parse are worth spreading."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_table(spark, f"{folder}/{name}.parquet")
 
 
 def part_nodes(spark: SparkSession, folder: str, page) -> DataFrame:
@@ -789,7 +794,7 @@ def history_append(spark, folder):
 
 
 @query(f"""
-    SELECT conv_id, 0 AS part, 'System: {PROMPT_SYSTEM.replace("'", "''")}' || chr(10) || 'Human: User message: '
+    SELECT conv_id, 'System: {PROMPT_SYSTEM.replace("'", "''")}' || chr(10) || 'Human: User message: '
         || coalesce(max_by(text, turn) FILTER (kind = 'human'), '') || ' ' || chr(10) || chr(10) || ' Chat History: '
         || string_agg(kind || ': ' || text, chr(10) ORDER BY turn) AS prompt
     FROM ({SQL_HISTORY}) GROUP BY conv_id
@@ -877,16 +882,20 @@ def continued_runs(spark, folder):
     return chat.with_tools(events.select("run_id").distinct(), responses)
 
 
-@query("""
-    SELECT conv_id, run_id, 0 AS part, coalesce(string_agg(c, '' ORDER BY seq) FILTER (p = 1), '')
+# Only a call of a known tool starts the second pass; get_region is none.
+SQL_ANSWERS = """
+    SELECT conv_id, run_id, coalesce(string_agg(c, '' ORDER BY seq) FILTER (p = 1), '')
         || CASE WHEN bool_or(called) THEN coalesce(string_agg(c, '' ORDER BY seq) FILTER (p = 2), '') ELSE '' END AS text
     FROM (SELECT user_id AS conv_id, strftime(ts, '%Y%m%d') || '-' || user_id AS run_id, event_id AS seq,
                  CASE event_type WHEN 'purchase' THEN 2 ELSE 1 END AS p, CASE WHEN event_type NOT IN ('view', 'signup') THEN event_type || ' ' END AS c,
-                 event_type = 'view' AND value > 5 AS called FROM events)
+                 event_type = 'view' AND value > 5 AND value <= 30 AS called FROM events)
     GROUP BY conv_id, run_id
-""")
+"""
+
+
+@query(SQL_ANSWERS)
 def answers(spark, folder):
-    return chat.answers(_model_events(plain(spark, folder, "events")))
+    return chat.answers(_model_events(plain(spark, folder, "events")), tuple(_registry(spark, folder)))
 
 
 # ---- Streams ---------------------------------------------------------------------------
@@ -894,16 +903,21 @@ def answers(spark, folder):
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+def _stream_table(spark, folder, name, schema):
+    """A table as a stream, whether it is one file or a folder of part files; a source takes a file by a pattern only."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def _event_stream(spark, folder):
-    return _model_events(spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder))
+    return _model_events(_stream_table(spark, folder, "events", EVENTS))
 
 
-@query("""
-    SELECT strftime(ts, '%Y%m%d') || '-' || user_id AS run_id, 0 AS part, string_agg(event_type || ' ', '' ORDER BY event_id) AS text
-    FROM events WHERE event_type NOT IN ('view', 'signup') GROUP BY ALL
-""")
+@query(SQL_ANSWERS.replace("FROM events)", "FROM events WHERE event_type <> 'signup')"))
 def stream_messages(spark, folder):
-    return messages.assemble_finite(spark, _event_stream(spark, folder))
+    out = stores.scratch_dir(spark, "messages")
+    events = _event_stream(spark, folder)
+    messages.land_events(events, f"{out}/table", f"{out}/checkpoint")
+    return messages.read_messages(spark, f"{out}/table", events.schema, tuple(_registry(spark, folder)))
 
 
 @query(SQL_RESPONSES)
@@ -917,7 +931,6 @@ def stream_tools(spark, folder):
 @query(SQL_HISTORY)
 def stream_history(spark, folder):
     out = stores.scratch_dir(spark, "history")
-    steps = (spark.readStream.schema("conv_id long, turn long, role string, text string")
-             .option("pathGlobFilter", "conversations.parquet").parquet(folder))
+    steps = _stream_table(spark, folder, "conversations", "conv_id long, turn long, role string, text string")
     messages.session_history(steps, f"{out}/table", f"{out}/checkpoint")
     return chat.rebuild_history(stores.read_conversations(spark, f"{out}/table"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.schema import PROMPT_SYSTEM
@@ -12,14 +13,6 @@ from pageloom.schema import PROMPT_SYSTEM
 # Step kind in the store -> message kind in a history; other steps are left out.
 KINDS = {"user": "human", "assistant": "ai"}
 STREAM, END = "on_chat_model_stream", "on_chat_model_end"
-# Steps or chunks of one group that are joined in one go.  What is longer comes
-# as several parts, told by position, so one huge thread spreads over tasks.
-PART = 1_000_000
-
-
-def part_of(position: Column | str, size: int = PART) -> Column:
-    position = F.col(position) if isinstance(position, str) else position
-    return F.floor(position / size).cast("long")
 
 
 def joined(text: Column | str, *order: str, sep: str = "") -> Column:
@@ -60,28 +53,35 @@ def append_turns(history: DataFrame, user: DataFrame, tools: DataFrame, answers:
     return reduce(DataFrame.unionByName, parts)
 
 
-def prompts(history: DataFrame, size: int = PART) -> DataFrame:
-    """Prompt of the latest user message of every thread: conv_id, part, prompt.
+def _line() -> Column:
+    return F.concat("kind", F.lit(": "), "text")
+
+
+def _head(said: Column, system: str) -> Column:
+    return F.concat(F.lit(f"System: {system}\nHuman: User message: "), F.coalesce(said, F.lit("")), F.lit(" \n\n Chat History: "))
 
-    The history in the prompt already holds that message.  Only a thread of more
-    than ``size`` turns takes more than one part.
+
+def prompts(history: DataFrame, system: str = PROMPT_SYSTEM) -> DataFrame:
+    """Prompt of the latest user message of every thread: conv_id, prompt.
+
+    The history in the prompt already holds that message.  A prompt is one string, so it
+    is for threads that fit a model; ``prompt_lines`` serves threads of any length.
     """
-    parts = history.groupBy("conv_id", part_of("turn", size).alias("part")).agg(
-        joined(F.concat("kind", F.lit(": "), "text"), "turn", sep="\n").alias("_lines"),
-        F.max_by("text", F.when(F.col("kind") == "human", F.col("turn"))).alias("_said"),
-    )
-    thread = Window.partitionBy("conv_id").orderBy("part")
-    whole = thread.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    said = F.coalesce(F.last("_said", ignorenulls=True).over(whole), F.lit(""))
-    head = F.concat(
-        F.lit(f"System: {PROMPT_SYSTEM}\nHuman: User message: "), F.col("_said"),
-        F.lit(" \n\n Chat History: "),
-    )
-    return (
-        parts.withColumn("_first", F.row_number().over(thread) == 1).withColumn("_said", said)
-        .select("conv_id", "part", F.when(F.col("_first"), F.concat(head, "_lines"))
-                .otherwise(F.concat(F.lit("\n"), "_lines")).alias("prompt"))
-    )
+    said = F.max_by("text", F.when(F.col("kind") == "human", F.col("turn")))
+    return history.groupBy("conv_id").agg(
+        F.concat(_head(said, system), joined(_line(), "turn", sep="\n")).alias("prompt"))
+
+
+def prompt_lines(history: DataFrame, system: str = PROMPT_SYSTEM) -> DataFrame:
+    """The same prompts as rows: conv_id, pos, line; the head has no ``pos`` and comes first.
+
+    The lines after the head, in order and joined by line breaks, follow it directly.
+    Nothing but the latest user message is gathered.
+    """
+    said = F.max_by("text", F.when(F.col("kind") == "human", F.col("turn")))
+    heads = history.groupBy("conv_id").agg(_head(said, system).alias("line"))
+    return history.select("conv_id", F.col("turn").alias("pos"), _line().alias("line")).unionByName(
+        heads.select("conv_id", F.lit(None).cast("long").alias("pos"), "line"))
 
 
 def latest_run(runs: DataFrame, by: str = "thread", tie: str = "run_id") -> DataFrame:
@@ -137,20 +137,15 @@ def with_tools(runs: DataFrame, responses: DataFrame, key: str = "run_id") -> Da
     return runs.join(answered, key, "left_semi")
 
 
-def answers(events: DataFrame, size: int = PART) -> DataFrame:
-    """Answer text of every run: conv_id, run_id, part, text.
+def answers(events: DataFrame, tools: Sequence[str] | None = None) -> DataFrame:
+    """Answer text of every run: conv_id, run_id, text.
 
-    The chunks of the first pass, then those of the second pass if any tool was
-    called.  Only a run of more than ``size`` chunks takes more than one part.
+    The chunks of the first pass in order, then those of the second pass if a known tool was
+    called, as in ``with_tools``; without ``tools`` every name is known.
     """
     is_chunk = F.col("event") == STREAM
-    called = (F.col("event") == END) & (F.col("pass") == 1) & (F.coalesce(F.size("tool_calls"), F.lit(0)) > 0)
-    parts = events.groupBy("conv_id", "run_id", part_of("seq", size).alias("part")).agg(
-        joined(F.when(is_chunk & (F.col("pass") == 1), F.col("chunk")), "seq").alias("_one"),
-        joined(F.when(is_chunk & (F.col("pass") == 2), F.col("chunk")), "seq").alias("_two"),
-        F.max(called).alias("_called"),
-    )
-    ran = F.max("_called").over(Window.partitionBy("conv_id", "run_id"))
-    return parts.withColumn("_ran", ran).select(
-        "conv_id", "run_id", "part", F.concat("_one", F.when(F.col("_ran"), F.col("_two")).otherwise("")).alias("text")
-    )
+    known = lambda call: call["name"].isin(*tools) if tools is not None else F.lit(True)
+    called = (F.col("event") == END) & (F.col("pass") == 1) & F.coalesce(F.exists("tool_calls", known), F.lit(False))
+    piece = lambda p: joined(F.when(is_chunk & (F.col("pass") == p), F.col("chunk")), "seq")
+    return events.groupBy("conv_id", "run_id").agg(
+        F.concat(piece(1), F.when(F.max(F.coalesce(called, F.lit(False))), piece(2)).otherwise("")).alias("text"))

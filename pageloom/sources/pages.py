@@ -1,38 +1,20 @@
-"""Page tables in, spread over the cluster before the parse."""
+"""Page tables in."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def _megabytes(setting: str) -> int:
-    digits = "".join(c for c in setting if c.isdigit())
-    unit = setting[len(digits):].lower().rstrip("b")
-    return int(digits) * {"": 1, "k": 2**10, "m": 2**20, "g": 2**30}[unit]
+def read_table(spark: SparkSession, path: str, key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """A parquet table as it lies, or hashed by ``key`` into ``partitions``.
 
-
-def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Read a parquet table; spread it by ``key`` only when it is too few splits.
-
-    A table of many files or many row groups already keeps every core busy and
-    is left as it lies.  One small file is one task, so it is hashed by ``key``
-    (not round robin: a lost task is redone with the same rows).
+    Parsing is the costly step, so a table of few files is worth spreading ahead of it; how far is the
+    caller's choice and does not depend on the data.
     """
     table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    files = table.inputFiles()
-    if len(files) >= cores:
-        return table
-    split = _megabytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    splits = (
-        spark.read.format("binaryFile").load(list(files))
-        .agg(F.sum(F.ceil(F.col("length") / split)))
-        .first()[0]
-    )
-    return table if splits >= cores else table.repartition(cores, key)
+    return table if partitions is None else table.repartition(partitions, key)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Crawled pages ``(page_id, url, html)``."""
-    return read_table(spark, path, "page_id").select("page_id", "url", "html")
+    return read_table(spark, path, "page_id", partitions).select("page_id", "url", "html")

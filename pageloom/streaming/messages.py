@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
-from pageloom.plans.chat import END, PART, STREAM, dispatch, joined, part_of, tool_calls
-from pageloom.sources.stores import scratch_dir
-
-# The end marker's time: later than any run, so it closes every window.
-END_OF_STREAM = "2200-01-01 00:00:00"
+from pageloom.plans.chat import END, STREAM, answers, dispatch, tool_calls
 
 
 def route(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -19,20 +18,19 @@ def route(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks, calls
 
 
-def assemble_stream(events: DataFrame, window: str = "1 day", delay: str = "1 day", size: int = PART) -> DataFrame:
-    """Whole messages from their chunks: run_id, part, text.
+def land_events(events: DataFrame, path: str, checkpoint: str) -> None:
+    """Append the events that make up messages to a table, each exactly once.
 
-    ``run_started_at`` is the same on every event of a run, so a window never
-    splits a message; the watermark only bounds the state.  Chunks of a run that
-    come later than window plus delay are dropped.
+    Rows are kept as they come, so nothing has to wait for a run to end and no run is too late:
+    ``read_messages`` puts together what has landed so far.
     """
-    chunks, _ = route(events)
-    return (
-        chunks.withWatermark("run_started_at", delay)
-        .groupBy(F.window("run_started_at", window), "run_id", part_of("seq", size).alias("part"))
-        .agg(joined("chunk", "seq").alias("text"))
-        .select("run_id", "part", "text")
-    )
+    kept = events.where(F.col("event").isin(STREAM, END))
+    run_available(kept.select("conv_id", "run_id", "seq", "pass", "event", "chunk", "tool_calls"), path, checkpoint)
+
+
+def read_messages(spark: SparkSession, path: str, schema: StructType | str, tools: Sequence[str] | None = None) -> DataFrame:
+    """Whole messages of the landed events, by the rule of both passes: conv_id, run_id, text."""
+    return answers(spark.read.schema(schema).parquet(path), tools)
 
 
 def stream_responses(events: DataFrame, registry: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -57,31 +55,3 @@ def session_history(messages: DataFrame, path: str, checkpoint: str) -> None:
     the table is read back by ``read_conversations``.
     """
     run_available(messages.select("conv_id", "turn", "role", "text"), path, checkpoint)
-
-
-def assemble_finite(spark: SparkSession, events: DataFrame, window: str = "1 day", delay: str = "1 day",
-                    size: int = PART) -> DataFrame:
-    """Messages of a finite event stream as a table, the last open windows included.
-
-    The stream runs to its end first; then an end marker moves the watermark past
-    every window, so append mode gives out what was still held.  Results go to
-    files of the shared folder, never through the driver.
-    """
-    folder = scratch_dir(spark, "messages")
-    marks = f"{folder}/marks"
-    mark = spark.range(1).select(*[
-        {
-            "run_started_at": F.lit(END_OF_STREAM).cast("timestamp"),
-            "event": F.lit(STREAM),
-        }.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in events.schema
-    ])
-    mark.where("false").write.parquet(marks)
-    both = events.unionByName(spark.readStream.schema(events.schema).parquet(marks))
-    out = assemble_stream(both, window, delay, size)
-    run_available(out, f"{folder}/out", f"{folder}/checkpoint")
-    mark.write.mode("append").parquet(marks)
-    run_available(out, f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.schema("run_id string, part long, text string").parquet(f"{folder}/out").where(
-        F.col("run_id").isNotNull()
-    )

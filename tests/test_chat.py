@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from pageloom.plans import chat
@@ -9,8 +11,6 @@ EVENT = ("conv_id long, run_id string, run_started_at timestamp, seq long, pass
 
 
 def events(spark):
-    from datetime import datetime
-
     at = datetime(2024, 1, 1)
     end = lambda seq, p, *calls: (1, "r1", at, seq, p, chat.END, None, list(calls))
     text = lambda run, seq, p, c: (1, run, at, seq, p, chat.STREAM, c, None)
@@ -35,22 +35,30 @@ def test_history(spark):
     assert [r.kind for r in longer.collect()] == ["human", "ai", "human", "tool", "ai"]
     one = chat.prompts(history).first().prompt
     assert "Human: User message: q \n\n Chat History: human: q\nai: a" in one
-    parts = chat.prompts(history, size=2).orderBy("part").collect()
-    assert len(parts) == 2 and "".join(p.prompt for p in parts) == one
+    lines = chat.prompt_lines(history).orderBy(F.col("pos").asc_nulls_first()).collect()
+    assert lines[0].line + "\n".join(x.line for x in lines[1:]) == one
+    assert chat.prompts(history, system="Be brief.").first().prompt.startswith("System: Be brief.\nHuman: ")
 
 
 def test_tool_calls_and_answers(spark):
     ev = events(spark)
     got = {r.tool_call_id: (r.content, r.error) for r in chat.dispatch(chat.tool_calls(ev), registry(spark)).collect()}
     assert got == {"c1": ('{"name":"Axe","n":1}', None), "c2": (None, "unknown tool none"), "c3": (None, None)}
-    for size in (chat.PART, 2):
-        rows = chat.answers(ev, size).orderBy("run_id", "part").collect()
-        text = {run: "".join(r.text for r in rows if r.run_id == run) for run in ("r1", "r2")}
-        assert text == {"r1": "abcd", "r2": "x"}
+    assert {r.run_id: r.text for r in chat.answers(ev).collect()} == {"r1": "abcd", "r2": "x"}
+    # A run that only called unknown tools does not go on, here as in with_tools.
+    assert {r.run_id: r.text for r in chat.answers(ev, ["other"]).collect()} == {"r1": "ab", "r2": "x"}
     runs = chat.with_tools(ev.select("run_id").distinct(), chat.dispatch(chat.tool_calls(ev), registry(spark)))
     assert [r.run_id for r in runs.collect()] == ["r1"]
 
 
+def test_answers_of_interleaved_passes_at_high_places(spark):
+    base = 10_000_000
+    rows = [(1, "r", None, base + i, 1 + i % 2, chat.STREAM, f"{i},", None) for i in range(1000)]
+    rows.append((1, "r", None, base + 5000, 1, chat.END, None, [("c", "get", "Axe")]))
+    got = chat.answers(spark.createDataFrame(rows, EVENT).repartition(5)).collect()
+    assert [r.text for r in got] == ["".join(f"{i}," for i in (*range(0, 1000, 2), *range(1, 1000, 2)))]
+
+
 def test_thread_state(spark):
     rows = [(i, p, "llm", {k: v}, f"2024-01-0{i} 00:00:00", [("user", f"m{i}")], ("assistant", f"o{i}")) for i, p, k, v in [
         (1, "wiki", "session_id", "t"), (3, "wiki", "conversation_id", "t"), (2, "wiki", "thread_id", "t"), (4, "wiki", "other", "t"), (5, "x", "thread_id", "t")]]
@@ -65,11 +73,18 @@ def test_streams_equal_batch(spark, tmp_path):
     ev = events(spark)
     ev.write.parquet(f"{tmp_path}/events")
     stream = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/events")
-    got = {r.run_id: r.text for r in messages.assemble_finite(spark, stream).collect()}
-    assert got == {"r1": "abcd", "r2": "xnever"}
+    land = lambda: messages.land_events(stream, f"{tmp_path}/landed", f"{tmp_path}/land-cp")
+    read = lambda: {r.run_id: r.text for r in messages.read_messages(spark, f"{tmp_path}/landed", ev.schema).collect()}
+    land()
+    assert read() == {"r1": "abcd", "r2": "x"} == {r.run_id: r.text for r in chat.answers(ev).collect()}
+    # A run of years before that comes last is there all the same.
+    old = [(7, "r0", datetime(2020, 1, 1), 1, 1, chat.STREAM, "late", None)]
+    spark.createDataFrame(old, EVENT).write.mode("append").parquet(f"{tmp_path}/events")
+    land()
+    assert read() == {"r0": "late", "r1": "abcd", "r2": "x"}
     responses = messages.stream_responses(stream, registry(spark))
     messages.run_available(responses, f"{tmp_path}/out", f"{tmp_path}/cp")
-    batch = chat.dispatch(chat.tool_calls(ev), registry(spark))
+    batch = chat.dispatch(chat.tool_calls(spark.read.parquet(f"{tmp_path}/events")), registry(spark))
     back = spark.read.parquet(f"{tmp_path}/out").select(*batch.columns)
     assert back.exceptAll(batch).count() == 0 and back.count() == batch.count()
 
@@ -84,3 +99,20 @@ def test_session_history_is_written_once(spark, tmp_path):
         step(n)
     messages.session_history(source(), f"{tmp_path}/t", f"{tmp_path}/cp")
     assert sorted(r.turn for r in stores.read_conversations(spark, f"{tmp_path}/t").collect()) == [0, 1, 2]
+
+
+def test_streams_read_files_and_folders(spark, tmp_path):
+    """The stream queries give their batch rows whether a table is a file or a folder of part files."""
+    from pageloom.bindings import QUERIES
+
+    given = "/root/testdata/sf0.001"
+    for name in ("events", "conversations", "nation", "part"):
+        spark.read.parquet(f"{given}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for stream, batch in (("stream_tools", "tool_responses"), ("stream_history", "history")):
+        for folder in (given, str(tmp_path)):
+            got, want = QUERIES[stream](spark, folder), QUERIES[batch](spark, folder)
+            assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
+    said = QUERIES["answers"](spark, given).where("text != ''")
+    for folder in (given, str(tmp_path)):
+        got = QUERIES["stream_messages"](spark, folder).where("text != ''")
+        assert got.count() == said.count() and got.exceptAll(said.select(*got.columns)).count() == 0

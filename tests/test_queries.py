@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pageloom.bindings import ORACLE, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,10 +25,10 @@ def normal(value):
     return str(float(value)) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, database, name):
-    got = entry.queries()[name](spark, FOLDER)
-    want = database.execute(entry.oracle_sql()[name])
+    got = QUERIES[name](spark, FOLDER)
+    want = database.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(names)
     shape = lambda rows: sorted(tuple(normal(v) for v in r) for r in rows)
@@ -37,3 +38,4 @@ def test_query(spark, database, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
