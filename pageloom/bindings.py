@@ -633,6 +633,18 @@ def biography_and_blocks(spark, folder):
     )
 
 
+@query("""
+    SELECT p_partkey AS page_id, concat_ws(';', CASE p_size % 4
+        WHEN 2 THEN 'summary without its abilities' WHEN 0 THEN 'base_health_regeneration could not be read'
+        WHEN 1 THEN 'attack_range could not be read;acquisition_range could not be read' END,
+        CASE WHEN p_type = 'PROMO' THEN 'no biography' END) AS errors
+    FROM part
+""")
+def record_errors(spark, folder):
+    b = records.entity_blocks(part_nodes(spark, folder, markup.flawed_entity_page()))
+    return b.select("page_id", F.array_join("errors", ";").alias("errors"))
+
+
 def _records(spark, folder):
     nodes = kept(part_nodes(spark, folder, markup.entity_page()))
     names = plain(spark, folder, "part").select(
@@ -666,14 +678,19 @@ def records_typed(spark, folder):
 
 
 @query("""
-    SELECT p_name || ' ' || p_partkey AS name, '6' || p_size AS base_health, 2 AS n_abilities, p_type || ',Durable' AS roles,
+    SELECT p_name || ' ' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'run 1: ' END || '6' || p_size AS base_health,
+           2 AS n_abilities, p_type || ',Durable' AS roles,
            'L' || p_size AS talent_left, '' AS main_attribute
     FROM part WHERE p_type <> 'PROMO'
 """)
 def record_store(spark, folder):
     path = stores.scratch_dir(spark, "records")
-    good = _records(spark, folder).where(F.size("errors") == 0).drop("page_id", "errors")
-    stores.write_records(good, path)
+    _records(spark, folder).where(F.size("errors") == 0).drop("page_id", "errors").write.parquet(f"{path}-extracted")
+    good = spark.read.parquet(f"{path}-extracted")
+    # The second run holds the records of even sizes only; its files sort before or after by chance.
+    first = F.col("basic_stats").withField("base_health", F.concat(F.lit("run 1: "), F.col("basic_stats.base_health")))
+    stores.write_records(good.withColumn("basic_stats", first), path)
+    stores.write_records(good.where(F.col("basic_stats.base_health").substr(2, 9).cast("int") % 2 == 0), path)
     back = stores.read_records(spark, path)
     return back.select(
         "name", F.col("basic_stats.base_health").alias("base_health"), F.size("abilities").alias("n_abilities"),
@@ -765,6 +782,17 @@ def text_functions(spark, folder):
     ).withColumnRenamed("_code", "uncoded")
 
 
+@query("""
+    SELECT p_partkey AS page_id, 'Part ' || p_partkey || chr(10) || chr(10) || '1. ' || p_name || chr(10) || '2. ' || p_brand || chr(10) || '  - deep'
+        || chr(10) || chr(10) || '| Size | Type |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_size || ' | ' || p_type || ' |' || chr(10) || chr(10)
+        || '> said ' || p_size || chr(10) || '> ' || chr(10) || '> again' || chr(10) || chr(10) || '```' || chr(10) || '  a  b' || chr(10) || '   ' || p_size || chr(10)
+        || '```' || chr(10) || chr(10) || 'end' AS markdown
+    FROM part
+""")
+def rich_markdown(spark, folder):
+    return documents.html_to_markdown(part_nodes(spark, folder, markup.rich_page())).select("page_id", "markdown")
+
+
 # ---- Conversations ---------------------------------------------------------------------
 
 SQL_HISTORY = """

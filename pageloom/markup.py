@@ -195,3 +195,22 @@ def noisy_page() -> Column:
         '</div></div><span class="sortkey">k</span><span style="display:none">h</span><span style="display: none">shown ', PART.key,
         '</span><iframe></iframe><div class="sponsored">ad</div><div id="top-ad">ad</div><div class="sponsored"><iframe></iframe></div>',
     )
+
+
+def rich_page() -> Column:
+    """Page of a part with a numbered list, a table, a quote and preformatted text."""
+    return html(
+        "<p>Part ", PART.key, "</p><ol><li>", PART.name, "</li><li>", PART.brand, "<ul><li>deep</li></ul></li></ol><table><tr><th>Size</th><th>Type</th></tr><tr><td>",
+        PART.size, "</td><td>", PART.type, "</td></tr></table><blockquote><p>said ", PART.size, "</p><p>again</p></blockquote><pre>  a  b\n   ", PART.size, "</pre><p>end</p>",
+    )
+
+
+def flawed_entity_page() -> Column:
+    """Entity page of a part on which, by its size, a statistic cannot be split or the row of abilities is missing."""
+    page = entity_page()
+    return (
+        F.when(PART.size % 4 == 0, F.replace(page, F.lit(" + 2.5</td>"), F.lit("</td>")))
+        .when(PART.size % 4 == 1, F.replace(page, F.lit("150<br>Attack Range<br>"), F.lit("150<br>Reach<br>")))
+        .when(PART.size % 4 == 2, F.regexp_replace(page, '<tr><td><a href="#a".*?</td></tr>', ""))
+        .otherwise(page)
+    )

@@ -19,12 +19,12 @@ def lookup(requests: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return requests.join(records, key, "left")
 
 
-def in_domain(name: Column | str, groups: dict[str, str] = ENTITY_NAMES) -> Column:
+def in_domain(name: Column | str, groups: dict[str, tuple[str, ...]] = ENTITY_NAMES) -> Column:
     """Group of a known entity name, null for an unknown one (a fixed, small list)."""
     name = F.col(name) if isinstance(name, str) else name
     group = F.lit(None).cast("string")
     for label, names in groups.items():
-        group = F.when(name.isin(*names.split()), label).otherwise(group)
+        group = F.when(name.isin(*names), label).otherwise(group)
     return group
 
 

@@ -62,7 +62,7 @@ def _place_spans(rows: Column) -> Column:
     """
     cell = "struct<row:int,col:int,text:string,left:int>"
     start = F.struct(
-        F.array().cast(f"array<{cell}>").alias("open"), F.array().cast(f"array<{cell}>").alias("done"),
+        F.array().cast(f"array<{cell}>").alias("open"), F.array().cast(f"array<array<{cell}>>").alias("done"),
         F.lit(0).alias("row"),
     )
 
@@ -82,10 +82,10 @@ def _place_spans(rows: Column) -> Column:
         cells = F.concat(own, kept)
         return F.struct(
             F.filter(cells, lambda c: c["left"] > 0).alias("open"),
-            F.concat(acc["done"], cells).alias("done"), (acc["row"] + 1).alias("row"),
+            F.concat(acc["done"], F.array(cells)).alias("done"), (acc["row"] + 1).alias("row"),
         )
 
-    return F.aggregate(rows, start, add, lambda acc: acc["done"])
+    return F.aggregate(rows, start, add, lambda acc: F.flatten(acc["done"]))
 
 
 def _place_rows(rows: Column) -> Column:

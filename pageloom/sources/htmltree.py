@@ -41,6 +41,10 @@ PARAGRAPH = (frozenset(("p",)), frozenset(("table", "td", "th", "caption", "butt
 CELL_SCOPE = frozenset(("table",))
 
 ROWS_PER_BATCH = 8192
+# Every node lists the elements around it, and a cell is repeated over its span: a page beyond these is an
+# error of that page.  Browsers stop nesting at the same depth and spans at these values.
+MAX_DEPTH = 512
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
 NONE: tuple = ()
 
 
@@ -118,11 +122,16 @@ class _Nodes(HTMLParser):
         kept: dict[str, str] = {}
         for name, value in attrs:
             kept.setdefault(name, value or "")
+        for name, most in MAX_SPAN.items():
+            if kept.get(name, "").strip().isdigit() and int(kept[name]) > most:
+                raise ValueError(f"{name} is over {most}")
         self._enter(tag, kept)
 
     def _enter(self, tag, attrs) -> None:
         at = self._add(tag, attrs, None)
         if tag not in VOID:
+            if len(self._open) > MAX_DEPTH:
+                raise ValueError(f"page nests deeper than {MAX_DEPTH} elements")
             self._open.append((tag, at))
             self._children.append(0)
             self._path = [*self._path, at]
