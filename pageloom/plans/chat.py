@@ -110,25 +110,29 @@ def tool_calls(events: DataFrame, final_pass: int = 1) -> DataFrame:
 
 
 def registry_rows(registry: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """All tools' records as one table (name, arg, content), content as JSON."""
+    """All tools' records as one table (name, arg, and a column of records for each tool)."""
+    kinds = [df.schema for df, _ in registry.values()]
     parts = [
-        df.select(F.lit(tool).alias("name"), F.col(key).cast("string").alias("arg"),
-                  F.to_json(F.struct("*")).alias("content"))
-        for tool, (df, key) in registry.items()
+        df.select(F.lit(tool).alias("name"), F.col(key).cast("string").alias("arg"), *[
+            (F.struct("*") if i == at else F.lit(None).cast(kind)).alias(f"_record_{i}") for i, kind in enumerate(kinds)])
+        for at, (tool, (df, key)) in enumerate(registry.items())
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def dispatch(calls: DataFrame, registry: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Responses to tool calls: the call with ``content`` and ``error``.
+    """Responses to tool calls: the call with ``content`` (the record as JSON) and ``error``.
 
-    One left join for all tools.  A name that is no tool is an error, an
-    argument without a record gives a null content.  Works on a stream of calls
+    One left join for all tools; only records that were asked for become JSON.  A name that is
+    no tool is an error, an argument without a record gives a null content.  Works on a stream of calls
     as a stream-static join; no broadcast is forced.
     """
     out = calls.join(registry_rows(registry), ["name", "arg"], "left")
+    records = [f"_record_{i}" for i in range(len(registry))]
+    content = F.coalesce(*[F.when(F.col(r).isNotNull(), F.to_json(r)) for r in records])
     known = F.coalesce(F.col("name").isin(*registry), F.lit(False))
-    return out.withColumn("error", F.when(~known, F.concat(F.lit("unknown tool "), F.coalesce("name", F.lit("")))))
+    error = F.when(~known, F.concat(F.lit("unknown tool "), F.coalesce("name", F.lit(""))))
+    return out.withColumn("content", content).withColumn("error", error).drop(*records)
 
 
 def with_tools(runs: DataFrame, responses: DataFrame, key: str = "run_id") -> DataFrame:
