@@ -83,6 +83,20 @@ def distinct_ordered(value: Column | str, order: Column | str = "start") -> Colu
     return F.array_distinct(ordered_list(value, order))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, also where ``use`` reads it inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def last_of_keys(pairs: Column, key: str, value: str) -> Column:
+    """Map of an array of structs in which the last value of a key stays, keys in order of appearance; null when empty."""
+    def build(rows: Column) -> Column:
+        last = lambda k: F.element_at(F.filter(rows, lambda e: e[key] == k), -1)[value]
+        return let(F.array_distinct(F.transform(rows, lambda e: e[key])), lambda keys: F.when(
+            F.size(keys) > 0, F.map_from_arrays(keys, F.transform(keys, last))))
+    return let(pairs, build)
+
+
 def last_map(key: Column, value: Column, order: Column | str = "start") -> Column:
     """Aggregate: map from each key to its last value; null for no entries.
 
@@ -90,9 +104,7 @@ def last_map(key: Column, value: Column, order: Column | str = "start") -> Colum
     page only.
     """
     entries = ordered_list(F.when(key.isNotNull(), F.struct(key.alias("k"), value.alias("v"))), order)
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last = lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]
-    return F.when(F.size(keys) > 0, F.map_from_arrays(keys, F.transform(keys, last)))
+    return last_of_keys(entries, "k", "v")
 
 
 def empty_columns(rows: DataFrame, by: list[str], names: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.functions.text import (
     after_label, clean_cell, cost_label, dash, first_filled, label_of, non_empty, strip, value_of,
 )
+from pageloom.operators.match import last_of_keys, let
 from pageloom.operators.order import pair_next
 from pageloom.operators.select import (
     attr, first_inside, has_attr, has_class, inside, is_hidden, narrow, tag,
@@ -50,9 +51,7 @@ def _styled(e: Column, *parts: str) -> Column:
 
 def _last_map(pairs: Column) -> Column:
     """Map of an array of (k, v) in which the last value of a key stays; null when empty."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
-    return F.when(F.size(keys) > 0, F.map_from_arrays(keys, values))
+    return last_of_keys(pairs, "k", "v")
 
 
 def _pair(k: Column, v: Column) -> Column:
@@ -117,8 +116,8 @@ def spellcards(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     els, every = F.col("els"), F.col("all")
 
     bars = _pick(els, lambda e: (e["tag"] == "div") & _styled(e, "border-bottom"))
-    name = _first(els, lambda s: (s["tag"] == "span") & _styled(s, "font-weight:bold")
-                  & F.exists(bars, lambda b: b["start"] == s["parent"]))["lines"]
+    name = let(bars, lambda bars: _first(els, lambda s: (s["tag"] == "span") & _styled(s, "font-weight:bold")
+                                         & F.exists(bars, lambda b: b["start"] == s["parent"]))["lines"])
     hotkeys = F.transform(
         _pick(els, lambda e: (e["tag"] == "div") & e["title"].isin(*HOTKEYS)),
         lambda h: F.struct(h["title"].alias("type"),
@@ -142,33 +141,31 @@ def spellcards(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     ))
     extras = F.flatten(F.transform(
         _pick(els, lambda e: _is(e, "spelldesc")),
-        lambda b: F.transform(
-            _pick(_below(els, b), lambda d: (d["tag"] == "div")
-                  & (F.size(_pick(_below(els, b), lambda x: x["tag"] == "div")) >= 2) & (d["lines"] != "")),
-            lambda d: d["lines"],
-        ),
+        lambda b: let(_pick(_below(els, b), lambda d: d["tag"] == "div"), lambda divs: F.when(
+            F.size(divs) >= 2, F.transform(F.filter(divs, lambda d: d["lines"] != ""), lambda d: d["lines"]),
+        ).otherwise(F.array().cast("array<string>"))),
     ))
     icons = _pick(els, lambda e: _is(e, "spellcost_icon"))
     amounts = _pick(els, lambda e: _is(e, "spellcost_value"))
-    linked = F.transform(icons, lambda i, n: F.struct(
-        _first(_below(els, i), lambda a: a["tag"] == "a").alias("a"), F.get(amounts, n).alias("amount")))
+    linked = let(amounts, lambda amounts: F.transform(icons, lambda i, n: F.struct(
+        _first(_below(els, i), lambda a: a["tag"] == "a").alias("a"), F.get(amounts, n).alias("amount"))))
     costs = _last_map(F.transform(
         F.filter(linked, lambda c: c["a"].isNotNull() & c["amount"].isNotNull()),
         lambda c: _pair(F.coalesce(c["a"]["title"], F.lit("")), c["amount"]["lines"]),
     ))
     lore = _first(els, lambda e: _is(e, "spelllore"))["lines"]
 
+    within = lambda e, outer: F.exists(outer, lambda o: F.coalesce((e["start"] > o["start"]) & (e["start"] <= o["end"]), F.lit(False)))
     blocks = _pick(every, lambda e: _is(e, "tabs-dynamic"))
-    navs = _pick(every, lambda e: _is(e, "nav-tabs") & F.exists(blocks, lambda b: F.coalesce(
-        (e["start"] > b["start"]) & (e["start"] <= b["end"]), F.lit(False))))
-    heads = _pick(every, lambda e: (e["tag"] == "li") & F.exists(navs, lambda n: F.coalesce(
-        (e["start"] > n["start"]) & (e["start"] <= n["end"]), F.lit(False))))
-    stop = F.array_position(F.transform(heads, lambda h: F.lower(h["lines"])), F.lit("show all"))
-    heads = F.when(stop > 0, F.slice(heads, F.lit(1), (stop - 1).cast("int"))).otherwise(heads)
+    navs = let(blocks, lambda blocks: _pick(every, lambda e: _is(e, "nav-tabs") & within(e, blocks)))
+    heads = let(navs, lambda navs: _pick(every, lambda e: (e["tag"] == "li") & within(e, navs)))
+    stop = lambda heads: F.array_position(F.transform(heads, lambda h: F.lower(h["lines"])), F.lit("show all"))
+    shown = let(heads, lambda heads: F.when(
+        stop(heads) > 0, F.slice(heads, F.lit(1), (stop(heads) - 1).cast("int"))).otherwise(heads))
     contents = _pick(every, lambda e: _is(e, "tabs-content"))
-    tabs = _last_map(F.transform(heads, lambda h: _pair(h["lines"], _first(every, lambda p: F.array_contains(
-        p["classes"], F.concat(F.lit("content"), h["count"])) & F.exists(contents, lambda c: F.coalesce(
-            (p["start"] > c["start"]) & (p["start"] <= c["end"]), F.lit(False))))["lines"])))
+    panels = let(contents, lambda contents: _pick(every, lambda p: within(p, contents)))
+    tabs = _last_map(let(panels, lambda panels: F.transform(shown, lambda h: _pair(
+        h["lines"], _first(panels, lambda p: F.array_contains(p["classes"], F.concat(F.lit("content"), h["count"])))["lines"]))))
 
     card = F.struct(
         name.alias("name"), _list(hotkeys).alias("hotkeys"), metadata.alias("metadata"),
@@ -192,15 +189,16 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     bar = _first(els, lambda e: (e["tag"] == "div") & _styled(e, "border-bottom"))
     title = first_filled(
         strip("wrap_id"),
-        _first(_below(els, bar), lambda s: s["tag"] == "span")["seen"],
+        let(bar, lambda bar: _first(_below(els, bar), lambda s: s["tag"] == "span")["seen"]),
         _first(els, lambda b: b["tag"].isin("b", "strong"))["seen"],
     )
     badges = F.array_distinct(F.filter(
-        F.transform(_pick(_below(els, bar), lambda i: i["tag"] == "img"), lambda i: strip(i["alt"])),
+        F.transform(let(bar, lambda bar: _pick(_below(els, bar), lambda i: i["tag"] == "img")), lambda i: strip(i["alt"])),
         lambda a: F.coalesce(a != "", F.lit(False)),
     ))
     aim = _first(els, lambda e: (e["tag"] == "div") & e["cls"].startswith("target_"))
-    beside = _first(els, lambda d: (d["tag"] == "div") & (d["parent"] == aim["parent"]) & (d["start"] > aim["start"]))
+    beside = let(aim, lambda aim: _first(
+        els, lambda d: (d["tag"] == "div") & (d["parent"] == aim["parent"]) & (d["start"] > aim["start"])))
     flex = F.transform(
         _pick(els, lambda e: (e["tag"] == "div") & F.lower(e["style"]).contains("display:flex")
               & F.lower(e["style"]).contains("font-size")),
@@ -225,16 +223,17 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
 
     traits = F.filter(F.transform(_pick(els, lambda e: _is(e, "spelltrait_value")), trait),
                       lambda p: F.coalesce(p["label"] != "", F.lit(False)))
-    keys = F.transform(traits, lambda p: F.lower(p["label"]))
-    traits = F.filter(traits, lambda p, i: F.array_position(keys, F.lower(p["label"])) == i + 1)
+    traits = let(traits, lambda traits: let(
+        F.transform(traits, lambda p: F.lower(p["label"])),
+        lambda keys: F.filter(traits, lambda p, i: F.array_position(keys, F.lower(p["label"])) == i + 1)))
 
     amounts = _pick(els, lambda e: _is(e, "spellcost_value"))
-    costs = F.transform(_pick(els, lambda e: _is(e, "spellcost_icon")), lambda i, n: F.struct(
+    costs = let(amounts, lambda amounts: F.transform(_pick(els, lambda e: _is(e, "spellcost_icon")), lambda i, n: F.struct(
         cost_label(first_filled(
             strip(_first(_below(els, i), lambda a: (a["tag"] == "a") & a["title"].isNotNull())["title"]), i["meant"]
         )).alias("label"),
         F.get(amounts, n)["meant"].alias("value"),
-    ))
+    )))
     costs = F.filter(costs, lambda c: c["value"].isNotNull() & (c["label"] != ""))
 
     notes = F.filter(

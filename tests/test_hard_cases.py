@@ -46,3 +46,27 @@ def test_an_empty_table_is_read(spark, tmp_path):
 def test_domain_names(spark):
     got = spark.sql("SELECT explode(array('axe', 'zeus', 'nobody')) AS n").select(in_domain("n").alias("g")).collect()
     assert [r.g for r in got] == ["strength", "intelligence", None]
+
+
+def test_cards_take_time_in_proportion_to_their_page(spark):
+    """Ten times the list items of a tab must not take a hundred times as long."""
+    import time
+
+    from pageloom.plans.cards import card_props, spellcards
+
+    def seconds(items):
+        tab = "".join(f"<li>item {i}</li>" for i in range(items))
+        page = ('<div class="spellcard-wrapper" id="A"><div class="spellcard"><div style="border-bottom"><span style="font-weight:bold">A</span></div>'
+                '<div class="tabs-dynamic"><ul class="nav-tabs"><li data-count="1">One</li><li data-count="2">Two</li></ul><div class="tabs-content">'
+                f'<div class="content1"><ul>{tab}</ul></div><div class="content2">two</div></div></div></div></div>')
+        nodes = html_nodes(spark.createDataFrame([(1, page)], "page_id long, html string")).cache()
+        nodes.count()
+        begin = time.time()
+        card = spellcards(nodes).first().card
+        assert card.name == "A" and set(card.tabs) == {"One", "Two"} and card.tabs["Two"] == "two"
+        assert card_props(nodes).count() == 1
+        return time.time() - begin
+
+    seconds(40)
+    few, many = seconds(400), seconds(4000)
+    assert many < 4 * few + 10
