@@ -349,3 +349,31 @@ def test_mixed_bits_is_a_distribution():
     whole = language.mixed_bits(data, at, paths)
     before = language.mixed_bits(np.frombuffer(prefix, np.uint8), np.array([0, len(prefix)]), paths)[0]
     assert np.exp(before - whole).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_components(spark):
+    from pageloom.llm.graph import components, merged
+
+    rng = np.random.default_rng(8)
+    chain = [(i, i + 1) for i in range(200)]  # a long path
+    star = [(300, i) for i in range(301, 900)]  # a node with many links
+    loose = [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 400, (250, 2))]
+    later = [(150, 320), (1001, 5000), (7000, 7001)]
+
+    def model(links):
+        root = {}
+        find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    links = chain + star + loose
+    rng.shuffle(links)
+    frame = lambda rows: spark.createDataFrame([tuple(map(int, r)) for r in rows], "a long, b long").repartition(3)
+    got = components(frame(links))
+    plain = {a: b for a, b in model(links).items() if any(a in r and r[0] != r[1] for r in links)}
+    assert {r.id: r.component for r in got.collect()} == plain
+    whole = {r.id: r.component for r in merged(got, frame(later)).collect()}
+    assert whole == {a: b for a, b in model(links + later).items() if a in plain or any(a in r for r in later)}
+    assert components(frame(links).limit(0)).count() == 0
