@@ -27,10 +27,38 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-@query()
+@query(r"""
+    WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    words AS (SELECT doc_id, lang, unnest(ws) AS word FROM docs),
+    grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 2], ' ')) AS n FROM docs, unnest(range(1, len(ws) - 1)) t(i)),
+    inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams, range(0, 3) r(k) WHERE n > 1 GROUP BY doc_id),
+    lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM docs),
+    same_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    patterns AS (SELECT * FROM (VALUES (0, '[^a-z]'), (1, '[^A-Z]'), (2, '[^0-9]'), (3, '[^\x20\x09\x0B\x0C\x0D]'), (4, '[^\n]'), (5, '[^.,:;!?''"()\-]'),
+                 (6, '[^#*$%&|<>]'), (7, '[\x{80}-\x{10FFFF}a-zA-Z0-9\x20\x09-\x0D.,:;!?''"()\-#*$%&|<>]'), (8, '[\x00-\x7F]')) v(class, other)),
+    chars AS (SELECT doc_id, lang, class, length(regexp_replace(t, other, '', 'g')) AS n FROM docs, patterns),
+    common AS (SELECT lang, word, sum(1) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(word)) AS place FROM words GROUP BY lang, word
+               QUALIFY place <= 40),
+    places AS (SELECT lang, word, place, n FROM common
+               UNION ALL SELECT lang, NULL, 41, count(*) - (SELECT sum(c.n) FROM common c WHERE c.lang IS NOT DISTINCT FROM w.lang) FROM words w GROUP BY lang),
+    own AS (SELECT doc_id, w.lang, coalesce(place, 41) AS place, count(*) AS n FROM words w LEFT JOIN common c ON c.lang IS NOT DISTINCT FROM w.lang AND c.word = w.word GROUP BY ALL),
+    bins AS (SELECT doc_id, 'c' AS kind, n, sum(n) OVER (PARTITION BY lang, class) AS ref FROM chars
+             UNION ALL SELECT d.doc_id, 'w', coalesce(o.n, 0), p.n FROM docs d JOIN places p ON p.lang IS NOT DISTINCT FROM d.lang
+             LEFT JOIN own o ON o.doc_id = d.doc_id AND o.place = p.place),
+    shares AS (SELECT doc_id, kind, n / nullif(sum(n) OVER (PARTITION BY doc_id, kind), 0) AS p, ref / nullif(sum(ref) OVER (PARTITION BY doc_id, kind), 0) AS q FROM bins),
+    far AS (SELECT doc_id, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
+            FROM shares GROUP BY doc_id, kind),
+    counted AS (
+        SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+               length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(i.n, 0)::BIGINT AS n_repeat_words
+        FROM docs LEFT JOIN same_lines l USING (doc_id) LEFT JOIN inside i USING (doc_id))
+    SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(x.d <= 0.30 AND y.d <= 0.43, false) AS kept
+    FROM counted c LEFT JOIN far x ON x.doc_id = c.doc_id AND x.kind = 'c' LEFT JOIN far y ON y.doc_id = c.doc_id AND y.kind = 'w'
+""")
 def op3_quality_rules(spark, folder):
     return quality.quality_verdicts(documents(spark, folder)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_chars", "js_words")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query(r"""
@@ -67,7 +95,17 @@ def op4_source_mixing(spark, folder):
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query()
+@query(r"""
+    WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM docs, unnest(range(1, len(ws) - 11)) t(i)),
+    least AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+    gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN least USING (win), range(0, 13) r(k) WHERE least < doc_id),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM docs),
+    kept AS (SELECT words.doc_id, count(gone.p) AS n, string_agg(word, ' ' ORDER BY words.p) FILTER (gone.p IS NULL) AS rest
+             FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY words.doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)
+""")
 def op2_substring_dedup(spark, folder):
     kept = substrings.without_repeats(documents(spark, folder))
     # The words that are left, joined by one space.
@@ -75,13 +113,39 @@ def op2_substring_dedup(spark, folder):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.trim(words).cast("binary"), 256).alias("kept_sha256"))
 
 
-@query()
+@query("""
+    WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    strings AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS m FROM docs, unnest(range(0, len(x) // 2 - 99)) t(i)),
+    firsts AS (SELECT m, min({'d': doc_id, 'i': i}) AS f FROM strings GROUP BY m),
+    hits AS (SELECT doc_id, i, CASE WHEN i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS fresh
+             FROM strings JOIN firsts USING (m) WHERE f.d < doc_id OR f.d = doc_id AND f.i < i),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+    pieces AS (SELECT doc_id, a, b, substr(x, 2 * lag(b, 1, 0) OVER w + 1, 2 * (a - lag(b, 1, 0) OVER w)) AS piece
+               FROM spans JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+    rest AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS head FROM pieces GROUP BY doc_id)
+    SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM docs LEFT JOIN rest USING (doc_id)
+""")
 def op10_suffix_array_dedup(spark, folder):
     return suffixes.without_repeated_bytes(documents(spark, folder)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE docs AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM docs, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) t(i)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+    both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT doc_id, doc_id AS c FROM docs UNION SELECT b, c FROM reach JOIN both_ways ON a = doc_id WHERE c < b)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+    FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+""")
 def op8_near_dedup(spark, folder):
     return neardup.near_duplicates(documents(spark, folder), percent=85)
 

@@ -183,7 +183,7 @@ def test_quality_verdict_is_the_distance(spark, given):
     for r in table:
         words.setdefault(r.lang, Counter()).update(brute.words_of(r.text))
         chars[r.lang] = chars.get(r.lang, 0) + of(r.text)
-    got = {r.doc_id: r for r in QUERIES["op3_quality_rules"](spark, FOLDER).collect()}
+    got = {r.doc_id: r for r in quality.quality_verdicts(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
     for r in table:
         top = sorted(words[r.lang].items(), key=lambda x: (-x[1], x[0].encode()))[:quality.COMMON]
         known = Counter(brute.words_of(r.text))
@@ -377,3 +377,15 @@ def test_components(spark):
     whole = {r.id: r.component for r in merged(got, frame(later)).collect()}
     assert whole == {a: b for a, b in model(links + later).items() if a in plain or any(a in r for r in later)}
     assert components(frame(links).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    out = con.execute(ORACLE[name])
+    names = [d[0] for d in out.description]
+    got = QUERIES[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(names)
+    order = lambda rows: sorted(tuple(rows_) for rows_ in rows)
+    assert order(got.select(*names).collect()) == order(out.fetchall())
