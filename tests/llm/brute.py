@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+#: The smallest given tables.
+FOLDER = "/root/testdata/sf0.001"
+
 
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")

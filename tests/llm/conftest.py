@@ -5,7 +5,8 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-FOLDER = "/root/testdata/sf0.001"
+from brute import FOLDER  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hash int, chunk int, id int, h1 long"
 
 

@@ -13,7 +13,7 @@ from pageloom.llm.queries import ORACLE, QUERIES
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from conftest import FOLDER
+from brute import FOLDER
 
 
 @pytest.fixture(scope="module")

@@ -6,11 +6,10 @@ import brute
 import corpus_pipeline as pipeline
 import pyarrow as pa
 import pytest
+from brute import FOLDER
 from pageloom.llm.common import stored
 from test_operators import check_packs, plain_tokenizer, sql  # noqa: F401
 
-from conftest import FOLDER
-
 NAMES = [name for name, _ in pipeline.STAGES]
 
 
