@@ -18,7 +18,7 @@ WORDS, PERCENT = 5, 80
 #: At a similarity of 0.8 a pair misses all orders with probability (1 - 0.8**4)**16 = 0.0002, at 0.85 with 0.00001.
 TREES, DEPTH, BASE = 16, 8, 4
 #: Members of a region that meet in one task when neighbours alone have not joined it.
-TILE = 256
+TILE = 512
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 2**32, TREES * DEPTH, np.uint32) | np.uint32(1)
@@ -92,7 +92,7 @@ def batches_of(spark, rows: int):
 
 
 def forest(sets: DataFrame) -> DataFrame:
-    """``(region, label, id)``: a row of ``(id, sig)`` in each order; a region shares the first ``BASE`` values of an order."""
+    """``(tree, region, label, id)``: a row of ``(id, sig)`` in each order; a region shares the first ``BASE`` values of an order."""
     def grow(batches):
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
@@ -106,9 +106,9 @@ def forest(sets: DataFrame) -> DataFrame:
             label = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), label.size, [None, pa.py_buffer(label.tobytes())]).cast(pa.binary())
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_pydict({
-                "region": pa.array(region.reshape(-1).view(np.int64)), "label": label, "id": pa.array(np.repeat(ids, TREES), pa.int64())})
+                "tree": pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(ids))), "region": pa.array(region.reshape(-1).view(np.int64)), "label": label, "id": pa.array(np.repeat(ids, TREES), pa.int64())})
 
-    return sets.select("id", "sig").mapInArrow(grow, "region long, label binary, id long")
+    return sets.select("id", "sig").mapInArrow(grow, "tree int, region long, label binary, id long")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             yield row(2, last)
 
     order = ["region", "label", "id"]
-    found = stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = stored(rows.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order)
                    .mapInArrow(walk, "kind int, part int, region long, a long, b long"), "neighbours")
     tasks = Window.orderBy("part", "kind")
     seams = (
@@ -162,11 +162,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             (g, at), (k, to) = (shingle_sets(Texts.of(batch.column(c)), size) for c in ("left", "right"))
             linked = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = g[at[i]:at[i + 1]], k[to[i]:to[i + 1]]
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked[i] = shared and 100 * shared >= percent * (len(both) - shared)
+                linked[i] = alike(g[at[i]:at[i + 1]], k[to[i]:to[i + 1]], percent)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
     wide = (
@@ -186,43 +182,79 @@ def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     )
 
 
-def unjoined(rows: DataFrame, sets: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside one region that neighbours alone did not bring together.
+def unjoined(rows: DataFrame, texts: DataFrame, component: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that share a region and that neighbours alone did not join.
 
-    Only regions of three or more that still hold several components.  Members are
-    dealt into tiles, each pair of tiles is one task's block, and only pairs whose signatures agree
-    within six deviations of the threshold leave it.
+    Only regions of three or more that still hold several components.  Members are dealt into
+    tiles and each pair of tiles is one task's block; pairs never leave it.  There, pairs whose signatures agree within six
+    deviations of the threshold are compared in full, those in the first order that they share only, the
+    likeliest first and only while they still lie in different components, so the links that leave are fewer than the block's members.
     """
-    placed = rows.select("region", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = rows.select("tree", "region", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    held = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = stored(
-        placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("n > 2 AND low != high").select("region", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "open-regions")
+        held.groupBy("region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("components"), F.max(F.struct("n", "component")).alias("most"))
+        .where("n > 2 AND components > 1")
+        .select("region", F.col("most.component").alias("bulk"), tiles(F.col("n") - F.col("most.n")).alias("few"), tiles(F.col("most.n")).alias("many")),
+        "open-regions")
     if open_.isEmpty():
         return open_.select(F.col("region").alias("a"), F.col("region").alias("b"))
+    # The largest component's members meet the others, not each other: its tiles come after theirs.
+    inner = F.col("component") == F.col("bulk")
     dealt = (
-        placed.join(open_, "region").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("region", "id", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-        .join(sets.select("id", "sig"), "id")
+        placed.join(open_, "region")
+        .withColumn("tile", F.when(inner, F.col("few") + F.pmod(F.xxhash64("id"), "many")).otherwise(F.pmod(F.xxhash64("id"), "few")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inner, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+        .select("region", "tree", "id", "component", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        .join(texts.select("id", "sig", "text"), "id")
     )
     p = percent / 100
     least = int(TREES * DEPTH * p - 6 * (TREES * DEPTH * p * (1 - p)) ** 0.5)
 
     def meet(table: pa.Table) -> pa.Table:
-        ids, comp, tile = (table.column(c).to_numpy() for c in ("id", "component", "tile"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, component, tile = (table.column(c).to_numpy() for c in ("id", "component", "tile"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), TREES, DEPTH)
+        i, j, tree = (table.column(c)[0].as_py() for c in ("i", "j", "tree"))
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        a, b = [], []
+        pairs = []
         for x in left.tolist():
-            y = right[comp[right] != comp[x]]
-            y = y[np.count_nonzero(sig[y] == sig[x], axis=1) >= least]
-            a.append(np.full(len(y), ids[x]))
-            b.append(ids[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
-    return stored(dealt.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long").distinct(), "unjoined")
+            y = right[(component[right] != component[x]) & ((right > x) | (i != j))]
+            same = sig[y] == sig[x]
+            agree = np.count_nonzero(same, axis=(1, 2))
+            good = (agree >= least) & (same[:, :, :BASE].all(2).argmax(1) == tree)
+            pairs.append(np.column_stack([agree[good], np.full(np.sum(good), x), y[good]]))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        sets, root, found = {}, {}, []
+
+        def set_of(x):
+            if x not in sets:
+                sets[x] = shingle_sets(Texts.of(table.column("text").slice(x, 1)), size)[0]
+            return sets[x]
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c] = root.get(root[c], root[c])
+            return c
+
+        for _, x, y in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+            a, b = find(component[x]), find(component[y])
+            if a != b and alike(set_of(x), set_of(y), percent):
+                root[max(a, b)] = min(a, b)
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    with batches_of(rows.sparkSession, 500):
+        return stored(dealt.groupBy("region", "i", "j").applyInArrow(meet, "a long, b long"), "unjoined")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union."""
+    both = np.concatenate((x, y))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return bool(shared) and 100 * shared >= percent * (len(both) - shared)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -249,7 +281,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     pairs = stored(neighbours(trees).groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")), "pairs")
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = stored(rows.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "candidates")
+    wanted = sets.join(ids, F.col("id") == F.col("doc_id"), "left_semi")
+    texts = stored(rows.join(wanted, F.col("doc_id") == F.col("id")).select("id", "text", "sig"), "candidates")
     best = stored(pairs.groupBy("b").agg(F.max_by("a", F.struct("orders", -F.col("a"))).alias("a")).select("a", "b"), "best")
     # An id with several texts joins their sets.
     least = members.groupBy("doc_id").agg(F.min("lead").alias("a"), F.max("lead").alias("b")).where("a != b").select("doc_id", "a")
@@ -261,10 +294,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     if not rest.isEmpty():
         links = links.unionByName(confirmed(rest, texts, size, percent))
         component = components(links)
-    rest = unjoined(trees, sets, component, percent)
+    rest = unjoined(trees, texts, component, size, percent)
     if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest.join(pairs, ["a", "b"], "left_anti"), texts, size, percent))
-        component = components(links)
+        component = components(links.unionByName(rest))
 
     found = (
         members.select("doc_id", F.col("lead").alias("id")).distinct().join(component, "id", "left")
