@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import Texts, buckets, gram_hashes, mixed, per_batch, shipped, slices, stored
-from pageloom.llm.graph import components
+from pageloom.llm.graph import components, merged
 
 WORDS, PERCENT = 5, 80
 #: Orders of the forest, values of a label in each, and how many of them neighbours share at least.
@@ -287,16 +287,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     # An id with several texts joins their sets.
     least = members.groupBy("doc_id").agg(F.min("lead").alias("a"), F.max("lead").alias("b")).where("a != b").select("doc_id", "a")
     same = members.join(least, "doc_id").select("a", F.col("lead").alias("b")).where("a != b")
-    links = same.unionByName(confirmed(best, texts, size, percent))
-    component = components(links)
+    component = components(same.unionByName(confirmed(best, texts, size, percent)))
 
     rest = stored(apart(pairs.join(best, ["a", "b"], "left_anti"), component), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, texts, size, percent))
-        component = components(links)
+        component = merged(component, confirmed(rest, texts, size, percent))
     rest = unjoined(trees, texts, component, size, percent)
     if not rest.isEmpty():
-        component = components(links.unionByName(rest))
+        component = merged(component, rest)
 
     found = (
         members.select("doc_id", F.col("lead").alias("id")).distinct().join(component, "id", "left")
