@@ -7,9 +7,9 @@ anchor's bucket is the only place where their copies need to meet:
 1. Texts lie in chunk rows in the shared folder.  Each chunk sends the distinct
    hashes of its anchors to their buckets; a bucket answers which ones other chunks hold too.
 2. Each chunk sends its distinct segments (the windows of one anchor, with the
-   units they need) once, with their earliest place, and writes down where they occur.
+   units they need) once, with their earliest place and a list of where they occur.
 3. A bucket works out the earliest place of every window of every distinct segment
-   (``solve``, the method proper) and answers each chunk with runs of windows.
+   (``solve``, the method proper) and answers each chunk with runs of windows and the list.
 4. Each chunk marks its windows that begin earlier elsewhere.
 
 A passage in a third of all documents is one segment of a chunk however often it
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import NO_ID, Texts, buckets, gram_hashes, mixed, powers, shipped, slices, stored
 
-CHUNK_MB = 2
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
@@ -50,6 +49,9 @@ class Method:
     within: bool
     #: Bytes of segments solved together, all those of an anchor at least; a bucket is a series of such shards.
     shard: int
+    #: Buckets for each of the session's shuffle partitions, and megabytes of a chunk: less of either, less memory in a task.
+    fold: int = 1
+    chunk: float = 2
 
 
 def pack(*arrays) -> bytes:
@@ -60,7 +62,7 @@ def unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def chunk_rows(docs: DataFrame, megabytes: float = CHUNK_MB) -> DataFrame:
+def chunk_rows(docs: DataFrame, megabytes: float) -> DataFrame:
     """``docs`` (with a column ``text``) as stored rows ``(chunk, rows)`` of about ``megabytes`` of text each."""
     shipped(docs.sparkSession)
 
@@ -119,9 +121,9 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
     ``finish(table, texts, units, removed)`` makes the columns of ``schema`` from a
     chunk's rows, the units of its texts and a flag for each unit.
     """
-    n = buckets(docs.sparkSession)
+    n = buckets(docs.sparkSession) * method.fold
     window, gram = method.window, method.gram
-    chunks = chunk_rows(docs)
+    chunks = chunk_rows(docs, method.chunk)
 
     def read(rows: bytes):
         table = chunk_table(rows)
@@ -156,10 +158,10 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
     def send(batches):
         for batch in batches:
             for chunk, rows, bits in zip(batch.column("chunk").to_pylist(), batch.column("rows"), batch.column("bits")):
-                for bucket, payload in segments(rows.as_py(), bits.as_py()):
-                    yield pa.RecordBatch.from_pydict({
-                        "bucket": pa.array([bucket], pa.int32()), "chunk": pa.array([chunk], pa.int64()),
-                        "payload": pa.array([payload], pa.binary())})
+                found = list(segments(rows.as_py(), bits.as_py()))
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([b for b, _ in found], pa.int32()), "chunk": pa.array([chunk] * len(found), pa.int64()),
+                    "payload": pa.array([p for _, p in found], pa.binary())})
 
     def segments(rows: bytes, bits: list):
         table, texts, (h, first, begin, end) = read(rows)
@@ -189,22 +191,23 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
         number = np.cumsum(fresh) - 1
         lead = order[fresh]
         many = np.bincount(number) > 1
-        yield -1, pack(number.astype(np.uint32), row[order].astype(np.uint32), start[order])
         a = at[lead] if begin is None else begin[at[lead]]
         z = at[lead] + units[lead] if end is None else end[at[lead] + units[lead] - 1]
         data = texts.data.tobytes()
         edges = np.searchsorted(bucket_of(key[lead], n), np.arange(n + 1))
+        spans = np.searchsorted(number, edges)
         for b in np.flatnonzero(np.diff(edges)):
-            s = slice(edges[b], edges[b + 1])
+            s, o = slice(edges[b], edges[b + 1]), slice(spans[b], spans[b + 1])
             own = lead[s]
-            yield b, pack(edges[b], key[own], content[own], size[own], doc[own], start[own], many[s],
+            places = (number[o] - edges[b]).astype(np.uint32), row[order[o]].astype(np.uint32), start[order[o]]
+            yield b, pack(places, key[own], content[own], size[own], doc[own], start[own], many[s],
                           z[s] - a[s], b"".join(data[x:y] for x, y in zip(a[s].tolist(), z[s].tolist())))
 
     def settle(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk").to_pylist()
         parts = [unpack(x.as_py()) for x in table.column("payload")]
         of = np.repeat(np.arange(len(parts)), [len(x[1]) for x in parts])
-        number = np.concatenate([x[0] + np.arange(len(x[1])) for x in parts])
+        base = np.cumsum([0, *(len(x[1]) for x in parts)])
         key, content, size, doc, start, many, length = (np.concatenate([x[i] for x in parts]) for i in range(1, 8))
         text = b"".join(x[8] for x in parts)
         place = np.cumsum(length) - length
@@ -232,11 +235,14 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
         # Nothing to say about a segment whose only occurrence is the first one.
         needed = np.flatnonzero(hard[kind] | many | (doc != doc[lead[kind]]) | (start != start[lead[kind]]))
         out = []
-        for p in range(len(parts)):
+        for p, part in enumerate(parts):
             mine = needed[slice(*np.searchsorted(of[needed], [p, p + 1]))]
             count = span[kind[mine] + 1] - span[kind[mine]]
             pick = np.repeat(span[kind[mine]] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            out.append(pack(np.repeat(number[mine], count), *(x[pick] for x in runs[1:])))
+            asked = np.zeros(base[p + 1] - base[p], bool)
+            asked[mine - base[p]] = True
+            there = asked[part[0][0]]
+            out.append(pack(np.repeat(mine - base[p], count), *(x[pick] for x in runs[1:]), *(x[there] for x in part[0])))
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "runs": pa.array(out, pa.binary())})
 
     def shards(hard, group, length):
@@ -249,20 +255,19 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
 
     def mark(batches):
         for batch in batches:
-            for rows, seen, runs in zip(batch.column("rows"), batch.column("payload"), batch.column("runs")):
+            for rows, runs in zip(batch.column("rows"), batch.column("runs")):
                 table, texts, units = read(rows.as_py())
                 h, first = units[0], units[1]
                 edge = np.zeros(len(h) + 1, np.int64)
-                if seen.is_valid and runs.is_valid:
-                    covered(edge, first, ids_of(table, id), unpack(seen.as_py()), [unpack(x) for x in runs.as_py()])
+                for part in runs.as_py() or ():
+                    cover(edge, first, ids_of(table, id), *unpack(part))
                 yield from finish(table, texts, units, np.cumsum(edge[:-1]) > 0).to_batches()
 
-    def covered(edge, first, ids, seen, parts):
-        number, row, start = seen
-        runs = [np.concatenate(x) for x in zip(*parts)]
-        by = np.argsort(runs[0], kind="stable")
-        which, low, high, doc, origin = (x[by] for x in runs)
-        span = np.searchsorted(which, np.arange(number[-1] + 2))
+    def cover(edge, first, ids, which, low, high, doc, origin, number, row, start):
+        """Adds the windows of a bucket's runs at the places of their segments."""
+        if not len(number):
+            return
+        span = np.searchsorted(which, np.arange(number.max() + 2))
         count = (span[1:] - span[:-1])[number]
         pick = np.repeat(span[:-1][number] - np.cumsum(count) + count, count) + np.arange(count.sum())
         row, start = np.repeat(row, count), np.repeat(start, count)
@@ -279,14 +284,14 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
         .applyInArrow(answer, "chunk long, bucket int, bits binary")
         .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits"))
     )
-    sent = stored(chunks.join(bits, "chunk").mapInArrow(send, "bucket int, chunk long, payload binary"), "segments")
+    # One query from here: the chunks' exchange serves both joins.
+    sent = chunks.join(bits, "chunk").mapInArrow(send, "bucket int, chunk long, payload binary")
     runs = (
-        sent.where("bucket >= 0").groupBy("bucket").applyInArrow(settle, "chunk long, runs binary")
+        sent.groupBy("bucket").applyInArrow(settle, "chunk long, runs binary")
         .groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
     )
-    places = sent.where("bucket < 0").select("chunk", "payload")
-    return chunks.join(runs.join(places, "chunk"), "chunk", "left").mapInArrow(mark, schema)
+    return chunks.join(runs, "chunk", "left").mapInArrow(mark, schema)
 
 
 def ids_of(table: pa.Table, id: str) -> np.ndarray:
-    return table.column(id).fill_null(NO_ID).to_numpy().astype(np.int64)
+    return table.column(id).cast(pa.int64()).fill_null(NO_ID).to_numpy()

@@ -169,6 +169,6 @@ def without_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "tex
                          "n_removed": sum_rows(removed.astype(np.int64), texts.at), "n_spans": np.diff(spans),
                          "spans": pa.ListArray.from_arrays(pa.array(spans, pa.int32()), pairs), "kept": kept})
 
-    out = marked(rows, Method(WINDOW, GRAM, _units, _solve, within=True, shard=SHARD), "doc_id", finish,
+    out = marked(rows, Method(WINDOW, GRAM, _units, _solve, within=True, shard=SHARD, fold=4, chunk=1), "doc_id", finish,
                  "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<begin: long, end: long>>, kept binary")
     return out.withColumnRenamed("doc_id", id)
