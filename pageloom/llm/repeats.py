@@ -108,7 +108,8 @@ def anchored(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[
     fresh = np.ones(len(at), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
     begin = np.flatnonzero(fresh)
-    return at[begin], np.diff(np.append(begin, len(at))), grams[place[begin]]
+    # A least hash is a small one: mixed anew, anchors spread evenly over the buckets.
+    return at[begin], np.diff(np.append(begin, len(at))), mixed(grams[place[begin]])
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
