@@ -68,7 +68,7 @@ def token_pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", path:
         part = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
         for batch in slices(batches):
-            ids, at = encode(Texts.of(batch.column("text")), path)
+            ids, at = encode(Texts.of(batch.column("text")), path, added=True)
             total = np.diff(at)
             count = -(-total // length)
             row = np.repeat(np.arange(len(total)), count)

@@ -34,7 +34,7 @@ LEVEL = 3
 
 def id_type(path: str) -> np.dtype:
     """Two bytes an id where the vocabulary allows."""
-    return np.dtype("<u2" if tokenizer(path)[0].get_vocab_size() <= 1 << 16 else "<u4")
+    return np.dtype("<u2" if tokenizer(path, added=True)[0].get_vocab_size() <= 1 << 16 else "<u4")
 
 
 def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, size: int = DICTIONARY) -> bytes:
@@ -45,7 +45,7 @@ def train_dictionary(docs: DataFrame, path: str, sample: int = SAMPLE, chars: in
     )
     if not rows.num_rows:
         return b""
-    ids, at = encode(Texts.of(rows.column("text")), path)
+    ids, at = encode(Texts.of(rows.column("text")), path, added=True)
     kind = id_type(path)
     try:
         return zstandard.train_dictionary(size, [ids[a:b].astype(kind).tobytes() for a, b in zip(at, at[1:])]).as_bytes()
@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, out: str, id: str = "doc_id", text: str =
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(dictionary))
         part, block = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            ids, at = encode(Texts.of(batch.column("text")), path)
+            ids, at = encode(Texts.of(batch.column("text")), path, added=True)
             keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data = write_block(keys, ids, at, compressor, kind, crc(dictionary))
             yield pa.RecordBatch.from_pydict({

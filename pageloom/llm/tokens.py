@@ -3,12 +3,14 @@
 The pre-tokenizer never joins a letter, digit or mark with white space after it, nor a letter or digit with
 an ASCII mark after it, and looks only ahead, so a text may be cut there and its pieces
 encoded alone.  A batch is cut by array operations; the tokenizer sees only pieces
-that a Python worker has not met yet.
+that a Python worker has not met yet.  Added tokens of the file, if wanted, are found first and are pieces of their own,
+as the tokenizer splits a text at them before all else.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import public_tokenizers
@@ -27,25 +29,46 @@ _word[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _print = np.zeros(256, bool)
 _print[0x21:0x7F] = True
 _mark = _print & ~_word
-_known: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
+_known: dict[tuple[str, bool], tuple[Tokenizer, dict[bytes, bytes], re.Pattern | None]] = {}
 
 
-def tokenizer(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
-    """The tokenizer of a file with this worker's memory of pieces; the names of special tokens in a text are ordinary text."""
-    if path not in _known:
+def tokenizer(path: str, added: bool = False) -> tuple[Tokenizer, dict[bytes, bytes], re.Pattern | None]:
+    """The tokenizer of a file, this worker's memory of pieces and a pattern of its added tokens.
+
+    Unless ``added``, the names of special tokens in a text are ordinary text.
+    """
+    if (path, added) not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        _known[path] = made, {}
-    return _known[path]
+        made.encode_special_tokens = not added
+        names = made.get_added_tokens_decoder().values() if added else ()
+        if any(t.lstrip or t.rstrip or t.single_word for t in names):
+            raise ValueError("added tokens that take in white space or need a word's bounds cannot be cut out")
+        # The leftmost counts, and of those the longest.
+        names = sorted((t.content.encode() for t in names), key=len, reverse=True)
+        _known[path, added] = made, {}, re.compile(b"|".join(map(re.escape, names))) if names else None
+    return _known[path, added]
 
 
 def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def pieces(texts: Texts) -> np.ndarray:
-    """Byte places where pieces begin; every row begins one."""
+def named(texts: Texts, data: bytes, names: re.Pattern | None) -> list[tuple[int, int]]:
+    """Byte ranges of added tokens; none reaches over the end of a row."""
+    found, at = [], 0
+    while names and (match := names.search(data, at)):
+        stop = int(texts.at[np.searchsorted(texts.at, match.start(), "right")])
+        if match.end() > stop and not (match := names.search(data, at, stop)):
+            at = stop
+            continue
+        found.append(match.span())
+        at = match.end()
+    return found
+
+
+def pieces(texts: Texts, whole: list[tuple[int, int]] = []) -> np.ndarray:
+    """Byte places where pieces begin; every row begins one, and each range of ``whole`` is one."""
     d = texts.data
     cut = np.zeros(len(d) + 1, bool)
     if len(d) > 1:
@@ -55,19 +78,26 @@ def pieces(texts: Texts) -> np.ndarray:
         before = _word[d] | latin
         cut[1:-1] = (_SPACE[d[1:]] & (before | _mark[d])[:-1]) | (_mark[d[1:]] & before[:-1])
     cut[texts.at] = True
+    for a, b in whole:
+        cut[a + 1:b] = False
+        cut[[a, b]] = True
     return np.flatnonzero(cut[:-1])
 
 
-def encode(texts: Texts, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, where each row's begin; one more at the end) with ``end`` after each row."""
-    made, memory = tokenizer(path)
-    start = pieces(texts)
+def encode(texts: Texts, path: str, end: int = END, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, where each row's begin; one more at the end) with ``end`` after each row.
+
+    With ``added``, ids are those of the tokenizer as loaded from its file, which gives an added token inside a text its
+    own id; without, such a name is ordinary text.
+    """
+    made, memory, names = tokenizer(path, added)
+    data = texts.data.tobytes()
+    start = pieces(texts, named(texts, data, names))
     ids, count, first = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inverse = np.zeros(0, np.int64)
     if len(start):
         stop = np.append(start[1:], len(texts.data))
         _, lead, inverse = np.unique(span_hashes(texts.data, start, stop), return_index=True, return_inverse=True)
-        data = texts.data.tobytes()
         distinct = [data[a:b] for a, b in zip(start[lead].tolist(), stop[lead].tolist())]
         fresh = [x for x in distinct if x not in memory]
         if len(memory) + len(fresh) > MEMORY:

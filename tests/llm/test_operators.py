@@ -43,6 +43,26 @@ def test_pieces_encode_as_the_whole_text(plain_tokenizer):
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain_tokenizer(t) for t in texts]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    """As the tokenizer of the file says, without any setting."""
+    made = Tokenizer.from_file(tokens.default_path())
+    plain = lambda text: [*made.encode(text or "", add_special_tokens=False).ids, 0]
+    rng = np.random.default_rng(5)
+    letters = [*"ab 9\n.é<|>中", "'s", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "  "]
+    texts = ["one document<|endoftext|>another one", "cut here <|endof", "text|> by a row's end", "", None,
+             *("".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(1500))]
+    ids, at = tokens.encode(Texts.of(pa.array(texts)), tokens.default_path(), added=True)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
+    assert ids[at[0]:at[1]].tolist() == [505, 3188, 50256, 29214, 530, 0]
+    rows = list(enumerate(texts[:20]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = scratch_dir(spark, "added")
+    tokenfiles.write_token_files(docs, out)
+    files = {r.doc_id: r.ids for r in tokenfiles.read_token_files(spark, out).collect()}
+    packs = {r.doc_id: r.ids for r in packing.packed(docs).collect()}
+    assert files == packs == {i: np.array(plain(t), "<u4").tobytes() for i, t in rows}
+
+
 def check_packs(rows, texts, plain):
     """Every document whole, sequences gapless and within their length; returns the share of padding."""
     by_doc, by_sequence = {}, {}
