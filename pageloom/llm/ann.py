@@ -55,11 +55,11 @@ def centres(x: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 7) -> n
     return c
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs that may be among a query's ``k`` nearest rows of ``x``; rows are rotated unit vectors.
+def adaptive_scan(q: np.ndarray, x: np.ndarray, asks: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) pairs that may be among a query's ``k`` nearest other ids; rows are rotated unit vectors, ``ids`` rise.
 
     Distances grow block of columns by block.  A query's bound is its ``k``-th distance among the
-    vectors that look nearest after the first block.  A candidate is given up as
+    ids that look nearest after the first block, each by the row that looks nearest and none the query's own.  A candidate is given up as
     soon as its partial distance, scaled to all columns, exceeds the bound by more
     than chance allows at that many columns; ties stay.
     """
@@ -67,13 +67,25 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.
     step = min(COLUMNS, size)
     part = lambda i, j, a, b: ((q[i, a:b] - x[j, a:b]) ** 2).sum(1)
     partial = np.maximum((q[:, :step] ** 2).sum(1)[:, None] + (x[:, :step] ** 2).sum(1) - 2 * q[:, :step] @ x[:, :step].T, 0)
-    probe = min(len(x), 4 * k)
-    near = np.argpartition(partial, probe - 1, axis=1)[:, :probe]
+    partial[asks[:, None] == ids] = np.inf
+    # One row an id: the least partial distance, and where it is.
+    every, first, group = np.unique(ids, return_index=True, return_inverse=True)
+    least, row = partial, None
+    if len(every) < len(ids):
+        least = np.minimum.reduceat(partial, first, axis=1)
+        row = np.maximum.reduceat(np.where(partial == least[:, group], np.arange(len(ids)), -1), first, axis=1)
+    probe = min(len(every), 4 * k)
+    near = np.argpartition(least, probe - 1, axis=1)[:, :probe]
+    own = np.isinf(np.take_along_axis(least, near, 1))
+    if row is not None:
+        near = np.take_along_axis(row, near, 1)
     full = part(np.repeat(np.arange(len(q)), probe), near.ravel(), 0, size).reshape(len(q), probe)
-    bound = np.sqrt(np.partition(full, min(k, probe) - 1, axis=1)[:, min(k, probe) - 1]) + 1e-9
+    full[own] = np.inf
+    # Fewer other ids than asked for: all stay.
+    bound = (np.sqrt(np.partition(full, k - 1, axis=1)[:, k - 1]) if probe >= k else np.full(len(q), np.inf)) + 1e-9
     # The slack is for rounding: equal vectors may differ by it.
     limit = lambda p: ((1 + DEVIATIONS / np.sqrt(p)) * bound) ** 2 * p / size + 1e-12
-    i, j = np.nonzero(partial <= limit(step)[:, None])
+    i, j = np.nonzero((partial <= limit(step)[:, None]) & (partial < np.inf))
     seen = partial[i, j]
     for a in range(step, size, step):
         b = min(a + step, size)
@@ -93,8 +105,8 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id: str = "vec_id", vect
     number of vectors up to 1024, and a query probes the share ``probed`` of them, more while those hold too few.
     Lists and the queries of a list are split into blocks, so a list with a third
     of all vectors is many blocks.  Vectors that are null, zero, of another length than most or that hold null or
-    non-finite components take no part, nor does a null id.  Rows of an id are one
-    vector with the best of their scores; a query never finds its own id.  Fewer candidates than ``k`` are all returned; no rows in, none out.
+    non-finite components take no part, nor does a null id.  Equal rows of an id are indexed once; its other rows are one
+    vector with the best of their scores, and bounds and answers count ids, not rows; a query never finds its own id.  Fewer candidates than ``k`` are all returned; no rows in, none out.
     """
     spark = shipped(vectors.sparkSession)
     rows = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
@@ -108,8 +120,8 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id: str = "vec_id", vect
             at, x = sound(batch, size)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "x"])
 
-    good = stored(rows.mapInArrow(clean, "vec_id long, x binary"), "vectors")
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    good = stored(rows.mapInArrow(clean, "vec_id long, x binary").distinct(), "vectors")
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).toArrow()
     total = good.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -126,16 +138,19 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id: str = "vec_id", vect
 
     index = stored(good.mapInArrow(assign, "list int, vec_id long, x binary"), "index")
     held = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
-    member = np.array([held.get(i, 0) for i in range(lists)])
+    # An id whose rows lie in several lists counts in one of them, so lists never seem to hold more ids than they do.
+    home = index.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count()
+    homes = {r["list"]: r["count"] for r in home.collect()}
+    filled, member = (np.array([n.get(i, 0) for i in range(lists)]) for n in (held, homes))
 
     def probe(batches):
         for batch in batches:
             if batch.num_rows:
                 close = np.argsort(-(unit(matrix(batch.column("x"))) @ turn @ middle.T), axis=1, kind="stable")
                 upto = np.cumsum(member[close], axis=1)
-                # The nearest lists, and on while those before hold no more than k and the query itself.
+                # The nearest lists, and on while those before hold no more ids than k and the query's own.
                 take = (np.arange(lists) < max(1, int(np.ceil(probed * lists)))) | (upto - member[close] <= k)
-                row, col = np.nonzero(take & (member[close] > 0))
+                row, col = np.nonzero(take & (filled[close] > 0))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(close[row, col], pa.int32()), batch.column("vec_id").take(pa.array(row)), batch.column("x").take(pa.array(row))],
                     ["list", "query_id", "q"])
@@ -156,18 +171,22 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id: str = "vec_id", vect
     )
 
     def scan(x_rows: pa.Table, q_rows: pa.Table) -> pa.Table:
+        x_rows = x_rows.sort_by("vec_id")
         x, q = matrix(x_rows.column("x")), matrix(q_rows.column("q"))
         ids, asks = x_rows.column("vec_id").to_numpy(), q_rows.column("query_id").to_numpy()
         out = [[], [], []]
         if len(x) and len(q):
             turned_x, turned_q = unit(x) @ turn, unit(q) @ turn
             for a in range(0, len(q), 128):
-                # One more than asked for: the query's own vector may be among them.
-                i, j = adaptive_scan(turned_q[a:a + 128], turned_x, k + 1)
+                i, j = adaptive_scan(turned_q[a:a + 128], turned_x, asks[a:a + 128], ids, k)
                 i = i + a
-                other = asks[i] != ids[j]
-                i, j = i[other], j[other]
                 score = _cosine(q, x, i, j)
+                # The best row of each id, then the best ids.
+                order = np.lexsort((-score, ids[j], i))
+                i, j, score = i[order], j[order], score[order]
+                best = np.ones(len(i), bool)
+                best[1:] = (i[1:] != i[:-1]) | (ids[j][1:] != ids[j][:-1])
+                i, j, score = i[best], j[best], score[best]
                 order = np.lexsort((ids[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 first = np.searchsorted(i, i)

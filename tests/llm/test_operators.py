@@ -317,6 +317,30 @@ def test_nearest(spark):
     assert ann.nearest(few.where("vec_id = 0"), 50).count() == 0
 
 
+def test_nearest_counts_ids_and_not_rows(spark):
+    """Ids with up to nine rows, equal ones and others: the best of them is the id's, and k other ids are found."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(300, 12))
+    rows = [(i, v + rng.normal(size=12) * 1e-3 * (c % 3 > 0)) for i, v in enumerate(centre) for c in range(9 if i % 10 == 0 else 1 + i % 8)]
+    want, ids = {}, np.array([i for i, _ in rows])
+    u = np.array([v / np.linalg.norm(v) for _, v in rows])
+    for q in range(0, 300, 10):
+        score = np.full(300, -9.0)
+        np.maximum.at(score, ids, (u @ u[ids == q].T).max(1))
+        score[q] = -9
+        want[q] = np.argsort(-score)[:5].tolist()
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in rows * 2], "vec_id long, embedding array<double>").repartition(3)
+    for lists in (1, 4):
+        got = {}
+        for r in ann.nearest(docs, 10, probed=1.0, lists=lists).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+    # A query's own rows fill its nearest list: the search goes on to others.
+    own = [(0, [1.0, 0.01 * c]) for c in range(20)] + [(i, [-1.0, 0.1 * i]) for i in range(1, 6)]
+    few = ann.nearest(spark.createDataFrame(own, "vec_id long, embedding array<double>"), 50, probed=0.1, lists=2)
+    assert sorted(r.vec_id for r in few.collect()) == [1, 2, 3, 4, 5]
+
+
 def test_near_duplicates(spark, given, messy, messy_rows, empty):
     for rows in (given, unique_ids([r for r in messy_rows if r[0] is not None])):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
