@@ -12,6 +12,7 @@ from pageloom.operators.select import (
 )
 from pageloom.operators.text import subtree_text, with_clean
 from pageloom.schema import INNER_LINK
+from pageloom.sources.htmltree import MAX_SPAN
 
 TABLE_KEY = ["page_id", "table_id"]
 
@@ -58,7 +59,8 @@ def _place_spans(rows: Column) -> Column:
     """Grid cells of a section's rows when cells reach into later rows.
 
     ``rows`` is an array, one entry per row, of arrays of (text, colspan,
-    rowspan).  Each row fills the columns that no cell from above still holds.
+    rowspan).  Each row fills the columns that no cell from above still holds.  A negative colspan
+    goes over so many columns less those held.
     """
     cell = "struct<row:int,col:int,text:string,left:int>"
     start = F.struct(
@@ -67,10 +69,11 @@ def _place_spans(rows: Column) -> Column:
     )
 
     def add(acc: Column, row: Column) -> Column:
-        wide = F.flatten(F.transform(
-            row, lambda c: F.array_repeat(F.struct(c["text"].alias("text"), c["rowspan"].alias("rowspan")), c["colspan"])
-        ))
         held = F.transform(acc["open"], lambda c: c["col"])
+        wide = F.flatten(F.transform(row, lambda c: F.array_repeat(
+            F.struct(c["text"].alias("text"), c["rowspan"].alias("rowspan")),
+            F.when(c["colspan"] < 0, F.greatest(F.lit(1), -c["colspan"] - F.size(held))).otherwise(c["colspan"]),
+        )))
         free = F.array_except(F.sequence(F.lit(0), F.size(wide) + F.size(held)), held)
         own = F.transform(wide, lambda c, i: F.struct(
             acc["row"].alias("row"), F.get(free, i).alias("col"), c["text"].alias("text"),
@@ -91,13 +94,35 @@ def _place_spans(rows: Column) -> Column:
 def _place_rows(rows: Column) -> Column:
     """Grid cells when no cell reaches into another row."""
     def flat(row: Column, r: Column) -> Column:
-        wide = F.flatten(F.transform(row, lambda c: F.array_repeat(c["text"], c["colspan"])))
+        wide = F.flatten(F.transform(row, lambda c: F.array_repeat(c["text"], F.abs(c["colspan"]))))
         return F.transform(wide, lambda t, i: F.struct(
             r.cast("int").alias("row"), i.cast("int").alias("col"), t.alias("text"), F.lit(0).alias("left")
         ))
     return F.flatten(F.transform(rows, flat))
 
 
+def _span(name: str) -> Column:
+    """A cell's span; a number too long for an int is over any bound."""
+    number = F.greatest(F.coalesce(F.expr(f"try_cast(attrs['{name}'] as int)"), F.lit(1)), F.lit(1))
+    return F.when(attr(name).rlike(r"^\s*0*[1-9][0-9]{9,}\s*$"), 2**31 - 1).otherwise(number)
+
+
+def _bounded(grid_rows: DataFrame) -> DataFrame:
+    """Columns over the bound go as far as the rows without such cells; a table that has no such row has no grid."""
+    over = lambda c: c["colspan"] > MAX_SPAN["colspan"]
+    by_table = Window.partitionBy(*TABLE_KEY)
+    own = F.aggregate("_cells", F.lit(0).cast("long"), lambda n, c: n + F.when(over(c), 0).otherwise(c["colspan"]))
+    rows = grid_rows.withColumns({"_own": own, "_over": F.size(F.filter("_cells", over))})
+    rows = rows.withColumn("_width", F.max(F.when(F.col("_over") == 0, F.col("_own"))).over(by_table))
+    rows = rows.withColumn("_any", F.max("_over").over(by_table)).where((F.col("_any") == 0) | F.col("_width").isNotNull())
+    # The first such cell of a row takes what the others leave.
+    first = F.array_position(F.transform("_cells", over), F.lit(True)) - 1
+    rest = F.greatest(F.lit(1), (F.col("_width") - F.col("_own") - F.col("_over") + 1).cast("int"))
+    bounded = F.transform("_cells", lambda c, i: c.withField(
+        "colspan", F.when(~over(c), c["colspan"]).when(i == first, -rest).otherwise(1)))
+    return rows.withColumn("_cells", F.when(F.col("_over") > 0, bounded).otherwise(F.col("_cells"))).drop("_own", "_over", "_width", "_any")
+
+
 def table_cells(nodes: DataFrame) -> DataFrame:
     """Cells of every table that holds no other table.
 
@@ -105,7 +130,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     is_header, text.  Spans repeat the text over the cells they cover; header
     labels carry the title of their link; first-column cells are named by link
     titles, image texts or link texts; other body cells lose hidden parts and
-    sort codes.
+    sort codes.  A cell over more than 1,000 columns goes as far as other rows do.
     """
     marked = contains_match(nodes, tag("#text"), "_filled")
     marked = contains_match(marked, tag("table"), "_outer_table")
@@ -117,8 +142,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     marked = with_clean(marked, abbr=has_attr("title"), img=False, br=False)
     marked = marked.withColumns({
         "title": attr("title"), "alt": attr("alt"), "href": attr("href"),
-        "colspan": F.greatest(F.coalesce(F.expr("try_cast(attrs['colspan'] as int)"), F.lit(1)), F.lit(1)),
-        "rowspan": F.greatest(F.coalesce(F.expr("try_cast(attrs['rowspan'] as int)"), F.lit(1)), F.lit(1)),
+        "colspan": _span("colspan"), "rowspan": _span("rowspan"),
         "first_cell": (F.col("cell.tag") == "td") & (F.col("cell.sib") == 0)
         & (F.coalesce(F.col("part.tag"), F.lit("tbody")) == "tbody"),
     })
@@ -160,6 +184,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
             F.min("_th").alias("_all_th"), F.max("rowspan").alias("_reach"),
         )
     )
+    grid_rows = _bounded(grid_rows)
     # Without a thead the leading rows made of th alone are the header.
     by_table = Window.partitionBy(*TABLE_KEY)
     has_head = F.max(F.col("_part") == "thead").over(by_table)

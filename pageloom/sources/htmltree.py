@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import accumulate, chain
@@ -41,8 +42,9 @@ PARAGRAPH = (frozenset(("p",)), frozenset(("table", "td", "th", "caption", "butt
 CELL_SCOPE = frozenset(("table",))
 
 ROWS_PER_BATCH = 8192
-# Every node lists the elements around it, and a cell is repeated over its span: a page beyond these is an
-# error of that page.  Browsers stop nesting at the same depth and spans at these values.
+# Nothing of a page is left out beyond these.  A node's ``path`` holds the nearest so many elements around it, intervals and
+# depths are exact; the first element beyond carries an ``error``.  So does a table that holds a cell over a span, which
+# ``table_cells`` then places by the other rows.
 MAX_DEPTH = 512
 MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
 NONE: tuple = ()
@@ -58,6 +60,8 @@ class _Nodes(HTMLParser):
         self.tag, self.id, self.classes, self.style = [], [], [], []
         self.attrs, self.text, self.path, self.brk, self.parent_tag = [], [], [], [], []
         self._open: list[tuple[str, int]] = []
+        self._opened = Counter()
+        self._deep = False
         self._children = [0]
         self._path: list[int] = []
         self._break = False
@@ -98,11 +102,14 @@ class _Nodes(HTMLParser):
         while len(self._open) > depth:
             tag, at = self._open.pop()
             self._children.pop()
+            self._opened[tag] -= 1
             self.end[at] = last
             self._break = self._break or tag in BLOCK
-        self._path = [at for _, at in self._open]
+        self._path = [at for _, at in self._open[-MAX_DEPTH:]]
 
     def _close_open(self, kinds, boundary) -> None:
+        if not any(self._opened[kind] for kind in kinds):
+            return
         for i in range(len(self._open) - 1, 0, -1):
             tag = self._open[i][0]
             if tag in kinds:
@@ -122,24 +129,39 @@ class _Nodes(HTMLParser):
         kept: dict[str, str] = {}
         for name, value in attrs:
             kept.setdefault(name, value or "")
-        for name, most in MAX_SPAN.items():
-            if kept.get(name, "").strip().isdigit() and int(kept[name]) > most:
-                raise ValueError(f"{name} is over {most}")
+        if tag in ("td", "th"):
+            for name, most in MAX_SPAN.items():
+                digits = kept.get(name, "").strip().lstrip("0")
+                if digits.isascii() and digits.isdigit() and (len(digits) > 9 or int(digits) > most):
+                    self._note_table(f"{name} is over {most}")
         self._enter(tag, kept)
 
+    def _note(self, at: int, error: str) -> None:
+        self.attrs[at] = [*((k, v) for k, v in self.attrs[at] if k != "error"), ("error", error)]
+
+    def _note_table(self, error: str) -> None:
+        for tag, at in reversed(self._open):
+            if tag == "table":
+                self._note(at, error)
+                return
+
     def _enter(self, tag, attrs) -> None:
         at = self._add(tag, attrs, None)
         if tag not in VOID:
-            if len(self._open) > MAX_DEPTH:
-                raise ValueError(f"page nests deeper than {MAX_DEPTH} elements")
+            if len(self._open) > MAX_DEPTH and not self._deep:
+                self._deep = True
+                self._note(at, f"page nests deeper than {MAX_DEPTH} elements")
             self._open.append((tag, at))
+            self._opened[tag] += 1
             self._children.append(0)
-            self._path = [*self._path, at]
+            self._path = [*self._path[1 - MAX_DEPTH:], at]
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag) -> None:
+        if not self._opened[tag]:
+            return
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i][0] == tag:
                 self._pop_to(i)

@@ -1,6 +1,7 @@
 """Pages and tables that must not end a job or lose a row."""
 
 from pageloom.operators.match import in_domain
+from pageloom.plans.documents import html_to_markdown
 from pageloom.plans.tables import table_cells
 from pageloom.sources import stores
 from pageloom.sources.htmltree import html_nodes
@@ -18,6 +19,28 @@ def test_hostile_pages_are_errors_of_their_own(spark):
     assert [(r.page_id, r.text) for r in table_cells(nodes).collect()] == [(1, "a")]
 
 
+def test_pages_beyond_bounds_are_whole(spark):
+    """Deep nesting and giant spans lose no text, no link and no cell."""
+    rows = '<tr><td>a</td><td>b</td><td>c</td></tr><tr><td colspan="{}">wide</td></tr><tr><td rowspan="99999">d</td><td colspan="9999">e</td></tr><tr><td colspan="9999">f</td></tr>'
+    spans = lambda n: f'<p>before</p><table>{rows.format(n)}</table><a href="/x">after</a><i colspan="9999">i</i>'
+    pages = [(1, spans(9999)), (2, spans("9" * 5000)), (3, "<font>" * 3000 + '<a href="/y"><b>deep</b></a>' + "</font>" * 3000 + "<p>end</p>")]
+    nodes = html_nodes(spark.createDataFrame(pages, "page_id long, html string")).cache()
+    text = {r.page_id: r.t for r in nodes.orderBy("start").groupBy("page_id").agg(
+        F.concat_ws(" ", F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("start", "text"))))["text"]).alias("t")).collect()}
+    assert text == {1: "before a b c wide d e f after i", 2: "before a b c wide d e f after i", 3: "deep end"}
+    link = nodes.where("page_id = 3 AND tag = 'a'").first()
+    assert link.depth == 3000 and link.attrs["href"] == "/y" and link.end == link.start + 2
+    cells = {}
+    for r in table_cells(nodes).collect():
+        cells.setdefault(r.page_id, {})[r.row, r.col] = r.text
+    grid = ["abc", ["wide"] * 3, "dee", "dff"]
+    assert cells == {p: {(i, j): t for i, row in enumerate(grid) for j, t in enumerate(row)} for p in (1, 2)}
+    errors = nodes.where("attrs['error'] IS NOT NULL").select("page_id", "tag").collect()
+    assert sorted(map(tuple, errors)) == [(1, "table"), (2, "table"), (3, "font")]
+    markdown = html_to_markdown(nodes).collect()
+    assert all(r.error is None and ("after" in r.markdown or "deep" in r.markdown) for r in markdown) and len(markdown) == 3
+
+
 def test_tall_table_with_row_spans(spark):
     rows = "".join(f'<tr><td rowspan="2">a{i}</td><td>b{i}</td></tr><tr><td>end {i}</td></tr>' for i in range(1500))
     nodes = html_nodes(spark.createDataFrame([(1, f"<table>{rows}</table>")], "page_id long, html string"))
