@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, classifier, language, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
+from pageloom.llm import ann, classifier, language, merkle, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
 from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,50 @@ def op7_nearest_neighbours(spark, folder):
 @query()
 def op9_lm_scoring(spark, folder):
     return language.scores(documents(spark, folder))
+
+
+@query(r"""
+    WITH RECURSIVE bits AS (SELECT b, k, v FROM (SELECT unnest(range(256)) AS b), (SELECT 0 AS k), LATERAL (SELECT b AS v)
+                            UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+    crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+    docs AS (
+        SELECT *, CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+                       lambda s, c: xor(s >> 8, t[(xor(s, c) & 255) + 1])), 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+        FROM documents, crc),
+    leaves AS (
+        SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+               sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf, sha256(concat(head, coalesce(strlen(changed) || ':' || changed, '-'))) AS bad
+        FROM (SELECT *, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                               coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head FROM docs)),
+    low AS (
+        SELECT source, n, 0 AS level, pos, leaf AS h FROM leaves
+        UNION ALL SELECT source, n, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 3 ** level GROUP BY source, n, level, pos // 3),
+    subroots AS (
+        SELECT source, subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+        FROM (SELECT source, arg_max(h, level) AS subroot FROM low GROUP BY source)),
+    high AS (
+        SELECT n, 0 AS level, pos, subroot AS h FROM subroots
+        UNION ALL SELECT n, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 3 ** level GROUP BY n, level, pos // 3),
+    root AS (SELECT h AS root FROM high ORDER BY level DESC LIMIT 1),
+    nodes AS (SELECT source, false AS top, level, pos, h FROM low UNION ALL SELECT NULL, true, level, pos, h FROM high),
+    runs AS (SELECT source, top, level, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM nodes GROUP BY ALL),
+    climb AS (
+        SELECT doc_id, source, false AS top, 0 AS level, pos, n, bad AS h, '' AS proof FROM leaves
+        UNION ALL
+        SELECT c.doc_id, c.source, c.top OR c.n <= 3 ** c.level, CASE WHEN c.top OR c.n > 3 ** c.level THEN c.level + 1 ELSE 0 END,
+               CASE WHEN c.top OR c.n > 3 ** c.level THEN c.pos // 3 ELSE s.pos END, CASE WHEN c.top OR c.n > 3 ** c.level THEN c.n ELSE s.n END,
+               CASE WHEN c.n > 3 ** c.level THEN sha256(array_to_string(r.hs[:c.pos % 3], '') || c.h || array_to_string(r.hs[c.pos % 3 + 2:], '')) ELSE c.h END,
+               c.proof || CASE WHEN c.n > 3 ** c.level THEN array_to_string(r.hs[:c.pos % 3], '') || array_to_string(r.hs[c.pos % 3 + 2:], '') ELSE '' END
+        FROM climb c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source
+        JOIN runs r ON r.top = c.top AND (c.top OR r.source IS NOT DISTINCT FROM c.source) AND r.level = c.level AND r.run = c.pos // 3
+        WHERE NOT c.top OR c.n > 3 ** c.level),
+    done AS (SELECT * FROM climb WHERE top AND n <= 3 ** level)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+    FROM leaves JOIN subroots s ON s.source IS NOT DISTINCT FROM leaves.source JOIN done USING (doc_id), root
+""")
+def op13_merkle_manifest(spark, folder):
+    cut = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    even = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    made = merkle.manifest(documents(spark, folder), tampered={"text": F.when(even, cut).otherwise(F.col("text"))})
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.text_of(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+                       "folded_root", "verified")
