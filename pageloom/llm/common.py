@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,6 +220,30 @@ def per_batch(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 
 
+def matrix_sum(rows: DataFrame, value: Callable, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices ``value(batch)`` over all batches: in each task, then row by row in the order of the tasks."""
+    def add(batches):
+        total, some = np.zeros(shape), False
+        for batch in batches:
+            if batch.num_rows:
+                total, some = total + value(batch), True
+        if some:
+            yield pa.RecordBatch.from_pydict({
+                "i": pa.array(range(len(total)), pa.int32()), "part": pa.array([TaskContext.get().partitionId()] * len(total), pa.int32()),
+                "row": pa.array([r.tobytes() for r in total], pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        table, total = table.sort_by("part"), np.zeros(shape[1])
+        for r in table.column("row"):
+            total += np.frombuffer(r.as_py())
+        return pa.table({"i": table.column("i")[:1], "row": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(shape)
+    for r in rows.mapInArrow(add, "i int, part int, row binary").groupBy("i").applyInArrow(meet, "i int, row binary").collect():
+        out[r["i"]] = np.frombuffer(r["row"])
+    return out
+
+
 def _array(x) -> pa.Array:
     return x if isinstance(x, pa.Array) else pa.array(x)
 

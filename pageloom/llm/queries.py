@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, classifier, language, merkle, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles
+from pageloom.llm import ann, classifier, language, merkle, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles, whitening
 from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,8 @@ def op13_merkle_manifest(spark, folder):
     made = merkle.manifest(documents(spark, folder), tampered={"text": F.when(even, cut).otherwise(F.col("text"))})
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.text_of(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
                        "folded_root", "verified")
+
+
+@query()
+def op11_whitening(spark, folder):
+    return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
