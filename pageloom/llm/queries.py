@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import ann, classifier, language, merkle, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles, whitening
+from pageloom.llm import ann, classifier, language, merkle, mixing, neardup, packing, quality, substrings, suffixes, tokenfiles, toxicity, whitening
 from pageloom.llm.common import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,10 @@ def op13_merkle_manifest(spark, folder):
 @query()
 def op11_whitening(spark, folder):
     return whitening.whitened(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query()
+def op12_toxicity(spark, folder):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    scored = toxicity.toxicity_scores(documents(spark, folder), labels)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
