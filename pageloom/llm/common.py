@@ -26,25 +26,38 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_MB = 4
 
 
+_written: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of the session's ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in local tests, gets a folder of this machine.
+    Only a session of this machine alone, as in tests, may do without that setting: on a cluster nothing else is shared for sure.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='pageloom-llm-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, no executor is needed again."""
     path = scratch_dir(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Removes what ``stored`` has written in this process; for when results are written, as they read from it."""
+    while _written:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Lets Python workers of a local session import this package from where it lies."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -85,7 +98,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _ODD)
-_WORD_BYTE = np.where(_SPACE, np.uint64(0), _BYTE)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -161,7 +173,7 @@ class Words:
         """A 64-bit value of each word's bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        return span_hashes(self.texts.data, self.start, self.end, _WORD_BYTE)
+        return span_hashes(self.texts.data, self.start, self.end)
 
     def windows(self, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of all ``n`` consecutive words of one row, in order."""
@@ -172,13 +184,47 @@ class Words:
         return at, grams[at]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """Hashes of the byte ranges; they rise and, apart from bytes that ``table`` maps to 0, fill ``data``."""
-    up, down = powers(len(data))
-    h = np.add.reduceat(table[data] * up[:len(data)], start)
-    h *= down[start]
-    h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed(h)
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte ranges in steps of eight bytes: (value, number within its range, where each range's begin; one more at the end).
+
+    Bytes beyond a range count as zero; ranges may overlap and be empty.
+    """
+    count = (end - start + 7) >> 3
+    at = np.append(0, np.cumsum(count))
+    number = np.arange(at[-1]) - np.repeat(at[:-1], count)
+    place = np.repeat(start, count) + 8 * number
+    padded = np.append(data, np.zeros(8, np.uint8))
+    every = np.ndarray(len(data) + 1, "<u8", padded.tobytes(), strides=(1,))
+    value = every[place]
+    short = np.flatnonzero(np.repeat(end, count) - place < 8)
+    left = (np.repeat(end, count)[short] - place[short]).astype(np.uint64)
+    value[short] &= (np.uint64(1) << (left * np.uint64(8))) - np.uint64(1)
+    return value, number, at
+
+
+def sequence_hashes(values: np.ndarray, number: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit value of each run of ``values`` and its ``size``; each value is spread with its number before the sum."""
+    out = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] += np.add.reduceat(mixed(values + (number.astype(np.uint64) + np.uint64(1)) * _ODD), at[:-1][full])
+    return mixed(out)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit values of byte ranges."""
+    return sequence_hashes(*lanes(data, start, end), end - start)
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each byte range equals that of the number ``other``, byte by byte."""
+    same = (end - start) == (end - start)[other]
+    rows = np.flatnonzero(same & (other != np.arange(len(start))))
+    left, _, at = lanes(data, start[rows], end[rows])
+    right, _, _ = lanes(data, start[other[rows]], end[other[rows]])
+    wrong = np.append(0, np.cumsum(left != right))
+    same[rows] = wrong[at[1:]] == wrong[at[:-1]]
+    return same
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import NO_ID, Texts, buckets, gram_hashes, mixed, powers, shipped, slices, stored
+from pageloom.llm.common import NO_ID, Texts, buckets, gram_hashes, mixed, same_spans, shipped, slices, span_hashes, stored
 
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -112,6 +112,26 @@ def anchored(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[
     return at[begin], np.diff(np.append(begin, len(at))), mixed(grams[place[begin]])
 
 
+def contents(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, content: np.ndarray | None = None) -> np.ndarray:
+    """A value of each segment's bytes, the same for two of one key only if their bytes are.
+
+    Hashes tell candidates; every segment is then compared with the first of its key and value, and where they
+    differ it takes another value.
+    """
+    content = span_hashes(data, start, end) if content is None else content.copy()
+    while len(content):
+        order = np.lexsort((content, key))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
+        first = np.empty(len(order), np.int64)
+        first[order] = order[fresh][np.cumsum(fresh) - 1]
+        apart = np.flatnonzero(~same_spans(data, start, end, first))
+        if not len(apart):
+            break
+        content[apart] = mixed(content[apart] + np.uint64(1))
+    return content
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> _32) * np.uint64(n)) >> _32).astype(np.int64)
 
@@ -179,10 +199,9 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
             return
         at, size, key = at[hit], size[hit], key[hit]
         units = size + window - 1
-        up, down = powers(len(h) + 1)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * up[:len(h)], out=sums[1:])
-        content = mixed((sums[at + units] - sums[at]) * down[at] + units.astype(np.uint64))
+        a = at if begin is None else begin[at]
+        z = at + units if end is None else end[at + units - 1]
+        content = contents(texts.data, a, z, key)
         row = np.searchsorted(first, at, "right") - 1
         doc = ids_of(table, id)[row]
         start = at - first[row]
@@ -193,8 +212,7 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
         number = np.cumsum(fresh) - 1
         lead = order[fresh]
         many = np.bincount(number) > 1
-        a = at[lead] if begin is None else begin[at[lead]]
-        z = at[lead] + units[lead] if end is None else end[at[lead] + units[lead] - 1]
+        a, z = a[lead], z[lead]
         data = texts.data.tobytes()
         edges = np.searchsorted(bucket_of(key[lead], n), np.arange(n + 1))
         spans = np.searchsorted(number, edges)
@@ -213,6 +231,7 @@ def marked(docs: DataFrame, method: Method, id: str, finish: Callable, schema: s
         key, content, size, doc, start, many, length = (np.concatenate([x[i] for x in parts]) for i in range(1, 8))
         text = b"".join(x[8] for x in parts)
         place = np.cumsum(length) - length
+        content = contents(np.frombuffer(text, np.uint8), place, place + length, key, content)
         order = np.lexsort((start, doc, content, key))
         new_key = np.ones(len(order), bool)
         new_key[1:] = key[order][1:] != key[order][:-1]

@@ -17,7 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from pageloom.llm.common import _SPACE, Texts, span_hashes
+from pageloom.llm.common import _SPACE, Texts, same_spans, span_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -98,6 +98,10 @@ def encode(texts: Texts, path: str, end: int = END, added: bool = False) -> tupl
     if len(start):
         stop = np.append(start[1:], len(texts.data))
         _, lead, inverse = np.unique(span_hashes(texts.data, start, stop), return_index=True, return_inverse=True)
+        # Pieces that share a hash without being one stand for themselves.
+        apart = np.flatnonzero(~same_spans(texts.data, start, stop, lead[inverse]))
+        inverse[apart] = len(lead) + np.arange(len(apart))
+        lead = np.append(lead, apart)
         distinct = [data[a:b] for a, b in zip(start[lead].tolist(), stop[lead].tolist())]
         fresh = [x for x in distinct if x not in memory]
         if len(memory) + len(fresh) > MEMORY:
