@@ -274,7 +274,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     made = stored(per_batch(rows, lambda b: {"doc_id": b.column("doc_id"), **signatures(Texts.of(b.column("text")), size)},
                             "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     nodes = made.where("doc_id IS NOT NULL AND sig IS NOT NULL")
-    leads = nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead"))
+    # Stored, so that the join deals the rows anew and a set that many hold can be split there.
+    leads = stored(nodes.groupBy("h1", "h2").agg(F.min("doc_id").alias("lead")), "leads")
     members = stored(nodes.join(leads, ["h1", "h2"]).select("doc_id", "lead", F.expr("CASE WHEN doc_id = lead THEN sig END AS sig")), "members")
     sets = members.where("sig IS NOT NULL").select(F.col("doc_id").alias("id"), "sig").distinct()
     trees = forest(sets)
