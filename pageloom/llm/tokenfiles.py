@@ -3,12 +3,13 @@
 A file set is a folder of two Parquet tables, so that any store Spark reaches can hold it:
 
 * ``dictionary``: one row ``(hash, dictionary)``;
-* ``blocks``: rows ``(part, block, rows, tokens, data)`` in ascending order of the ids.
+* ``blocks``: rows ``(part, block, low, high, rows, tokens, data)`` in ascending order of the ids, ``low`` and ``high`` being a
+  block's least and greatest id.
 
 ``data`` is one block of documents: the header ``MAGIC``, version, bytes of an id, dictionary hash and
 number of documents, then three arrays (document ids, ids of each document, byte
 offsets of the frames, one more at the end) and the frames.  A document is read by its
-offset alone; the other frames of its block are not touched.
+offset alone; the other frames of its block are not decompressed, and ``read_documents`` passes blocks over by their ids.
 """
 
 from __future__ import annotations
@@ -107,14 +108,15 @@ def write_token_files(docs: DataFrame, out: str, id: str = "doc_id", text: str =
             keys = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data = write_block(keys, ids, at, compressor, kind, crc(dictionary))
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "rows": pa.array([len(keys)], pa.int64()),
+                "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()),
+                "low": pa.array(keys[:1], pa.int64()), "high": pa.array(keys[-1:], pa.int64()), "rows": pa.array([len(keys)], pa.int64()),
                 "tokens": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
             block += 1
 
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     (
         rows.repartitionByRange(buckets(spark), *order).sortWithinPartitions(*order)
-        .mapInArrow(encode_blocks, "part int, block int, rows long, tokens long, data binary")
+        .mapInArrow(encode_blocks, "part int, block int, low long, high long, rows long, tokens long, data binary")
         .write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     )
 
@@ -143,3 +145,30 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
 
     return blocks.join(starts, ["part", "block"]).select("start", "data").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_documents(spark: SparkSession, out: str, wanted: list[int | None]) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` of some documents, every row of their ids; ids that are not there give none.
+
+    The ids' ranges go to the scan, which passes over blocks without them, and of the others only these documents' frames are
+    decompressed.  ``wanted`` is a short list; None asks for documents without an id.
+    """
+    shipped(spark)
+    dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()["dictionary"])
+    keys = sorted({NO_ID if k is None else int(k) for k in wanted})
+    blocks = spark.read.parquet(f"{out}/blocks")
+    # A block that holds a key is not wholly below the least nor above the greatest, and some key lies in its range.
+    held = F.exists(F.array(*map(F.lit, keys)).cast("array<long>"), lambda k: (F.col("low") <= k) & (F.col("high") >= k))
+    found = blocks.where((F.col("low") <= keys[-1]) & (F.col("high") >= keys[0]) & held) if keys else blocks.limit(0)
+
+    def decode(batches):
+        for batch in batches:
+            for data in batch.column("data"):
+                block = Block(data.as_py(), dictionary)
+                rows = np.flatnonzero(np.isin(block.keys, keys))
+                ids = [block.ids(i).tobytes() for i in rows.tolist()]
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array(block.keys[rows], pa.int64(), mask=block.keys[rows] == NO_ID),
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+
+    return found.select("data").mapInArrow(decode, "doc_id long, n_tokens long, ids binary")

@@ -277,8 +277,16 @@ def test_token_files(spark, given, messy, messy_rows, empty, plain_tokenizer):
     with pytest.raises(ValueError):
         tokenfiles.Block(bytes(one["data"]), b"another")
 
+    some = [int(block.keys[1]), 7, 10**12, 7]
+    assert {r.doc_id: r.ids for r in tokenfiles.read_documents(spark, out, some).collect()} == {
+        i: np.array(plain_tokenizer(dict(given)[i]), "<u4").tobytes() for i in some if i in dict(given)}
+    assert tokenfiles.read_documents(spark, out, []).count() == 0
+
     out = scratch_dir(spark, "files")
     tokenfiles.write_token_files(messy, out)
+    asked = tokenfiles.read_documents(spark, out, [10, None]).collect()
+    assert sorted((r.doc_id or -1, zlib.crc32(r.ids)) for r in asked) == sorted(
+        (r[0] or -1, crc(plain_tokenizer(r[1]))) for r in messy_rows if r[0] in (10, None))
     got = tokenfiles.read_token_files(spark, out).orderBy("start").collect()
     ids = [r.doc_id for r in got]
     assert ids == sorted(ids, key=lambda i: (i is None, i)) and len(ids) == len(messy_rows)
@@ -288,6 +296,28 @@ def test_token_files(spark, given, messy, messy_rows, empty, plain_tokenizer):
     assert tokenfiles.read_token_files(spark, out).count() == 0
 
 
+def test_scores_of_tiny_and_huge_vectors():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 9))
+    size = 10.0 ** rng.choice([-200, -150, 0, 150, 200], (40, 1))
+    i, j = np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40)
+    got = ann._cosine(x * size, x * size, i, j)
+    want = (x[i] * x[j]).sum(1) / (np.linalg.norm(x[i], axis=1) * np.linalg.norm(x[j], axis=1))
+    np.testing.assert_allclose(got, want, atol=1e-14)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    made = lambda master, base: SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: base), sparkContext=SimpleNamespace(master=master))
+    assert scratch_dir(made("yarn", "hdfs://x/shared/"), "a").startswith("hdfs://x/shared/a-")
+    assert scratch_dir(made("local[2]", None), "a").startswith("file:///")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch_dir(made(master, None), "a")
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
