@@ -7,6 +7,7 @@ is SQL over the same tables.  Every query reads whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,19 +19,20 @@ from pageloom.functions.urls import resolve_url
 from pageloom.operators.match import (
     distinct_ordered, first_per, frontier, in_domain, lookup, pending, prefix_semi, zip_rows,
 )
-from pageloom.operators.order import after_heading, children, with_section
+from pageloom.operators.order import after_heading, children, take_while, until, with_section
 from pageloom.operators.select import (
     ad_counts, attr_is, class_attr_starts, drop_ads, drop_boilerplate, drop_hidden, drop_subtrees,
     first_in, has_attr, has_class, has_id, href_starts, innermost, outermost, scope, style_has, tag, within,
 )
+from pageloom.operators import selector
 from pageloom.operators.text import subtree_text, with_clean
 from pageloom.plans import cards as cd
-from pageloom.plans import chat, documents, infobox, records, tables
+from pageloom.plans import chat, conform, documents, infobox, records, tables
 from pageloom.plans.catalog import link_texts, shop_catalog, tier_catalog, titles_to_fetch, topic_catalog
-from pageloom.schema import ENTITY_NAMES, PROMPT_SYSTEM, STAT_TYPES
+from pageloom.schema import ENTITY_NAMES, STAT_TYPES
 from pageloom.sources import stores
 from pageloom.sources.htmltree import html_nodes
-from pageloom.sources.pages import read_pages, read_table
+from pageloom.sources.pages import newest, read_pages, read_table
 from pageloom.streaming import messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,6 +352,24 @@ def work_list(spark, folder):
     return both.groupBy("category", "name").agg(F.count("*").alias("n"))
 
 
+@query("""
+    SELECT p_partkey AS page_id, CASE WHEN p_size % 3 = 0 THEN 'late ' || p_brand WHEN p_size % 2 = 0 THEN 'second ' || p_size ELSE 'first ' || p_name END AS title
+    FROM part
+""")
+def page_versions(spark, folder):
+    rows = table(spark, folder, "part", "p_partkey")
+    version = lambda at, only, *said: rows.where(only).select(
+        F.col("p_partkey").cast("long").alias("page_id"), F.lit("u").alias("url"), markup.html("<h1>", *said, "</h1>").alias("html"),
+        F.lit(at).cast("timestamp").alias("fetched_at"))
+    size = F.col("p_size")
+    every = [
+        version("2024-01-02", size % 2 == 0, "second ", size), version(None, F.lit(True), "undated"), version("2024-01-03", size % 3 == 0, "late ", F.col("p_brand")),
+        version("2024-01-01", F.lit(True), "first ", F.col("p_name")), version("2024-01-03", size % 3 == 0, "late ", F.col("p_brand")),
+    ]
+    nodes = html_nodes(newest(reduce(DataFrame.unionByName, every)))
+    return subtree_text(nodes, tag("h1"), title="raw").select("page_id", "title")
+
+
 # ---- Choosing and removing -----------------------------------------------------
 
 @query("""
@@ -361,35 +381,62 @@ def noise_removed(spark, folder):
 
 
 @query("""
-    SELECT p_partkey AS page_id, kind, n FROM part, (VALUES ('iframe', 2), ('class sponsored', 2), ('id top-ad', 1)) t(kind, n)
+    SELECT p_partkey AS page_id, kind, n::BIGINT AS n
+    FROM part, LATERAL (VALUES ('iframe', p_size % 3), ('class sponsored', p_partkey % 4), ('id top-ad', 1), ('class ad-wrapper', p_size % 2)) t(kind, n)
+    WHERE n > 0
 """)
 def part_ads(spark, folder):
-    return ad_counts(part_nodes(spark, folder, markup.noisy_page()))
+    return ad_counts(part_nodes(spark, folder, markup.ad_page()))
 
 
 @query("""
-    SELECT p_partkey AS page_id, 2 AS by_class_and_tag, 1 AS by_id, 1 AS by_attribute, 1 AS by_value, 1 AS by_style,
-           1 AS by_prefix, 3 AS by_href, 'Reward ' || CASE WHEN p_type = 'PROMO' THEN 'none' ELSE p_name END AS first_heading
+    SELECT p_partkey AS page_id, (p_partkey % 3 + p_size % 2 + 1)::INT AS by_class_and_tag, (p_size % 3 = 1)::INT AS by_id,
+           (p_size % 4 + 1)::INT AS by_attribute, (p_size % 2)::INT AS by_value, 1 AS by_style, 1 AS by_prefix, (p_partkey % 2 + 1)::INT AS by_href,
+           'On ' || p_name AS first_heading
     FROM part
-""".replace("'Reward ' || CASE WHEN p_type = 'PROMO' THEN 'none' ELSE p_name END", "'Aghanim''s upgrades'"))
+""")
 def selectors(spark, folder):
-    nodes = part_nodes(spark, folder, markup.entity_page())
+    nodes = part_nodes(spark, folder, markup.selector_page())
     counts = nodes.groupBy("page_id").agg(
-        F.count_if(tag("table") & has_class("wikitable")).cast("int").alias("by_class_and_tag"),
-        F.count_if(has_id("primaryAttribute")).cast("int").alias("by_id"),
+        F.count_if((tag("div") & has_class("card")) | (tag("table") & has_class("wikitable"))).cast("int").alias("by_class_and_tag"),
+        F.count_if(has_id("t1")).cast("int").alias("by_id"),
         F.count_if(has_attr("colspan")).cast("int").alias("by_attribute"),
-        F.count_if(attr_is("title", "Armor")).cast("int").alias("by_value"),
+        F.count_if(attr_is("title", "Other")).cast("int").alias("by_value"),
         F.count_if(style_has("float:right;", "border:1px solid grey;")).cast("int").alias("by_style"),
-        F.count_if(class_attr_starts("table-resp")).cast("int").alias("by_prefix"),
+        F.count_if(class_attr_starts("table-t")).cast("int").alias("by_prefix"),
         F.count_if(href_starts("#") & has_attr("title")).cast("int").alias("by_href"),
     )
     heads = first_in(subtree_text(nodes, tag("h2", "h3"), text="raw"), F.lit(True), ["page_id"], "text")
     return counts.join(heads.select("page_id", F.col("text").alias("first_heading")), "page_id")
 
 
+# Selectors, and in SQL how many elements of a part's page each picks.
+SELECTED = {
+    "ul.menu > li.it": "p_size % 5", "ul.menu li.it": "p_size % 5 + 1", "nav li": "p_size % 5 + 2", "ul ul > li, ul.big > li:not(.it)": "2",
+    "div.card span": "p_partkey % 3 + p_size % 2", "div.card > span": "p_size % 2", "div.card:not(.promo) p > *": "p_partkey % 3",
+    "span[title^='Armor']": "p_partkey % 3", "[title=Other]": "p_size % 2", "[title$=\"er\"]": "p_size % 2",
+    "span[title~='of']": "p_partkey % 3", "[title*='" + "PROMO" + "']": "CASE WHEN p_type LIKE '%PROMO%' THEN p_partkey % 3 ELSE 0 END",
+    "#t1 td[colspan]": "CASE WHEN p_size % 3 = 1 THEN p_size % 4 + 1 ELSE 0 END", "table td, li.it": "2 * (p_size % 4 + 1) + p_size % 5 + 1",
+    "tr > td[colspan='2']": "p_size % 4 + 1", "[lang|=en] > a[href^='#']": "p_partkey % 2 + 1", "td td": "0",
+}
+
+
+@query("SELECT p_partkey AS page_id, t.selector, t.n::BIGINT AS n FROM part, LATERAL (VALUES "
+       + ", ".join("('" + k.replace("'", "''") + f"', {n})" for k, n in SELECTED.items()) + ") t(selector, n)")
+def selected(spark, folder):
+    nodes = part_nodes(spark, folder, markup.selector_page())
+    names = {f"_pick{i}": text for i, text in enumerate(SELECTED)}
+    for name, text in names.items():
+        nodes = selector.selected(nodes, name, text)
+    counts = nodes.groupBy("page_id").agg(*[F.count_if(F.col(n)).alias(n) for n in names])
+    pairs = F.array(*[F.struct(F.lit(text).alias("selector"), F.col(n).alias("n")) for n, text in names.items()])
+    return counts.select("page_id", F.inline(pairs))
+
+
 @query("""
-    SELECT p_partkey AS page_id, 3 AS innermost_tables, 3 AS outermost_tables, 1 AS outer_lists, 2 AS listed_items,
-           CASE p_size % 4 WHEN 3 THEN 'inner ' || p_size ELSE 'second ' || p_partkey END AS chosen
+    SELECT p_partkey AS page_id, CASE WHEN p_size % 3 = 2 THEN 4 ELSE 3 END AS innermost_tables, 3 AS outermost_tables, (1 + p_partkey % 2)::INT AS outer_lists,
+           (2 + p_size % 4 + p_partkey % 2)::INT AS listed_items,
+           CASE WHEN p_size % 4 = 3 THEN CASE WHEN p_size % 3 = 0 THEN 'third' ELSE '' END || 'inner ' || p_size ELSE 'second ' || p_partkey END AS chosen
     FROM part
 """)
 def nested_choice(spark, folder):
@@ -567,15 +614,47 @@ def topic_documents(spark, folder):
     return docs.join(names, "page_id").select("page_id", documents.with_title("s_name", "markdown").alias("markdown"))
 
 
-@query(f"SELECT 'nation ' || s_nationkey AS category, s_name AS name, {SQL_TOPIC} AS markdown FROM supplier")
+@query(f"""
+    SELECT 'nation ' || s_nationkey AS category, s_name AS name,
+           CASE WHEN s_suppkey % 3 = 0 THEN 'first run ' || s_nationkey ELSE {SQL_TOPIC} END AS markdown
+    FROM supplier
+""")
 def document_store(spark, folder):
     docs = documents.topic_markdown(kept(documents.topic_body(supplier_nodes(spark, folder, markup.mechanics_page()))))
     names = plain(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"),
+        F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"), "s_nationkey",
         F.concat(F.lit("nation "), "s_nationkey").alias("category"))
     path = stores.scratch_dir(spark, "docs")
-    stores.write_docs(docs.join(names, "page_id").withColumn("markdown", documents.with_title("name", "markdown")), path)
-    return spark.read.parquet(path).select("category", "name", "markdown")
+    # Two runs: what the second one writes again is replaced, the rest stays, and an empty text writes nothing.
+    first = F.concat(F.lit("first run "), "s_nationkey")
+    stores.write_docs(names.select("category", "name", first.alias("markdown")), path)
+    again = docs.join(names, "page_id").withColumn("markdown", documents.with_title("name", "markdown"))
+    empty = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("markdown"))
+    stores.write_docs(again.select("category", "name", empty.alias("markdown")), path)
+    return stores.read_docs(spark, path)
+
+
+@query("""
+    SELECT s_suppkey AS page_id, '#### Card ' || s_suppkey || CASE WHEN s_suppkey % 5 <> 4
+           THEN concat(chr(10), chr(10), '**Show All**', chr(10), chr(10), '- item ', s_nationkey) ELSE '' END AS markdown
+    FROM supplier
+""")
+def paired_tabs(spark, folder):
+    nodes = kept(supplier_nodes(spark, folder, markup.pairing_page()))
+    return cd.card_markdown(cd.card_props(nodes), cd.tab_blocks(nodes)).select("page_id", "markdown")
+
+
+@query("""
+    SELECT s_suppkey AS page_id, (s_suppkey % 4)::BIGINT AS ahead, least(s_suppkey % 4, 2)::BIGINT AS taken, (s_nationkey % 3 + s_suppkey % 4 + 1)::BIGINT AS rows
+    FROM supplier
+""")
+def leading_rows(spark, folder):
+    rows = kept(children(supplier_nodes(spark, folder, markup.leading_page()), tag("main")))
+    count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
+    ahead = count(until(rows, F.col("tag") == "h2", ["page_id"]), "ahead")
+    taken = count(take_while(rows, F.col("tag") == "p", 2, ["page_id"]), "taken")
+    out = count(rows, "rows").join(ahead, "page_id", "left").join(taken, "page_id", "left")
+    return out.select("page_id", F.coalesce("ahead", F.lit(0)).alias("ahead"), F.coalesce("taken", F.lit(0)).alias("taken"), "rows")
 
 
 # ---- Entity records ---------------------------------------------------------------
@@ -677,6 +756,27 @@ def records_typed(spark, folder):
     return r.select("page_id", "name", *[F.col(f"basic_stats.{n}").alias(n) for n in TYPED], F.array_join("type_errors", ";").alias("type_errors"))
 
 
+SQL_CONFORMED = """
+    SELECT p_partkey AS page_id, CASE WHEN p_size % 4 <> 0 THEN '2' END AS num_legs,
+           CASE WHEN p_size % 5 <> 0 THEN try_cast(p_size || '7' AS INT) END AS base_mana,
+           p_size::VARCHAR AS base_attribute, CASE WHEN p_size % 4 <> 2 THEN '2.8' END AS attribute_gain,
+           concat_ws(';', CASE p_size % 4 WHEN 0 THEN 'summary_info is missing' WHEN 1 THEN 'summary_info.roles is missing'
+                          WHEN 2 THEN 'basic_stats.attributes[0].attribute_gain is missing' END,
+                     CASE WHEN p_size % 5 = 0 THEN 'basic_stats.base_mana is not int' END,
+                     CASE WHEN p_size % 3 = 0 THEN 'basic_stats.bound_radius is not int' END) AS type_errors
+    FROM part
+"""
+
+
+@query(SQL_CONFORMED)
+def records_conformed(spark, folder):
+    r = conform.conformed(records.entity_records(kept(part_nodes(spark, folder, markup.conform_page()))), conform.RECORD)
+    first = F.get("basic_stats.attributes", F.lit(0))
+    return r.select(
+        "page_id", "summary_info.num_legs", "basic_stats.base_mana", first["base_attribute"].alias("base_attribute"),
+        first["attribute_gain"].alias("attribute_gain"), F.array_join("type_errors", ";").alias("type_errors"))
+
+
 @query("""
     SELECT p_name || ' ' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'run 1: ' END || '6' || p_size AS base_health,
            2 AS n_abilities, p_type || ',Durable' AS roles,
@@ -822,7 +922,7 @@ def history_append(spark, folder):
 
 
 @query(f"""
-    SELECT conv_id, 'System: {PROMPT_SYSTEM.replace("'", "''")}' || chr(10) || 'Human: User message: '
+    SELECT conv_id, 'System: You answer questions about game characters. Look up facts with the tools before you answer, and write Markdown.' || chr(10) || 'Human: User message: '
         || coalesce(max_by(text, turn) FILTER (kind = 'human'), '') || ' ' || chr(10) || chr(10) || ' Chat History: '
         || string_agg(kind || ': ' || text, chr(10) ORDER BY turn) AS prompt
     FROM ({SQL_HISTORY}) GROUP BY conv_id
@@ -944,8 +1044,8 @@ def _event_stream(spark, folder):
 def stream_messages(spark, folder):
     out = stores.scratch_dir(spark, "messages")
     events = _event_stream(spark, folder)
-    messages.land_events(events, f"{out}/table", f"{out}/checkpoint")
-    return messages.read_messages(spark, f"{out}/table", events.schema, tuple(_registry(spark, folder)))
+    messages.land_events(events, f"{out}/table", f"{out}/checkpoint", tuple(_registry(spark, folder)))
+    return messages.read_messages(spark, f"{out}/table")
 
 
 @query(SQL_RESPONSES)

@@ -182,11 +182,63 @@ def choice_page() -> Column:
     head = F.when(kind == 2, "<thead><tr><th>h</th></tr></thead>").otherwise("")
     return content(
         '<table><tr><td>first</td></tr></table><table class="', cls, '">', head, "<tbody><tr><td>second ", PART.key,
-        "</td></tr></tbody></table><table><tr><td>third<table><tr><td>inner ", PART.size, "</td></tr></table></td></tr></table>",
-        "<ul><li>a<ul><li>b</li></ul></li></ul>",
+        "</td></tr></tbody></table><table><tr><td>third", F.repeat(F.lit("<table><tr><td>more</td></tr></table>"), (PART.size % 3).cast("int") - 1),
+        F.when(PART.size % 3 > 0, html("<table><tr><td>inner ", PART.size, "</td></tr></table>")).otherwise(html("inner ", PART.size)), "</td></tr></table>",
+        "<ul><li>a<ul>", F.repeat(F.lit("<li>b</li>"), (PART.size % 4 + 1).cast("int")), "</ul></li></ul>",
+        F.repeat(F.lit("<ul><li>c</li></ul>"), (PART.key % 2).cast("int")),
     )
 
 
+def ad_page() -> Column:
+    """A page of a part with as many ads of each kind as its key and size say."""
+    many = lambda n, text: F.repeat(F.lit(text), n.cast("int"))
+    return content(
+        "<p>", PART.name, "</p>", many(PART.size % 3, "<iframe></iframe>"), many(PART.key % 4, '<div class="x sponsored">ad</div>'),
+        '<div id="top-ad">ad</div>', many(PART.size % 2, '<div class="ad-wrapper"><p class="adsense">no</p></div>'),
+    )
+
+
+def selector_page() -> Column:
+    """A page of a part whose lists, cards and table rows are as many as its key and size say."""
+    many = lambda n, *parts: F.repeat(html(*parts), n.cast("int"))
+    return content(
+        '<nav><ul class="menu big">', many(PART.size % 5, '<li class="it">i</li>'), '<li>last<ul><li class="it">deep</li></ul></li></ul></nav>',
+        many(PART.key % 3, '<div class="card"><p><span title="Armor of ', PART.type, '">s</span></p></div>'),
+        many(PART.size % 2, '<div class="card promo"><span title="Other">t</span></div>'),
+        '<table id="t', PART.size % 3, '" class="wikitable">', many(PART.size % 4 + 1, '<tr><td colspan="2">x</td><td>y</td></tr>'),
+        '</table><div style="float:right;border:1px solid grey;" lang="en-GB">', many(PART.key % 2 + 1, '<a href="#', PART.key, '" title="go">g</a>'),
+        '</div><h2 class="table-top">On ', PART.name, "</h2>",
+    )
+
+
+def conform_page() -> Column:
+    """Entity page of a part on which, by its size, the summary, its roles or the gains of attributes are missing."""
+    page = entity_page()
+    return (
+        F.when(PART.size % 4 == 0, F.replace(page, F.lit("table-responsive"), F.lit("other")))
+        .when(PART.size % 4 == 1, F.replace(page, F.lit("<tr><td>Roles "), F.lit("<tr><td>Parts ")))
+        .when(PART.size % 4 == 2, F.replace(page, F.lit(" + 2.8</div>"), F.lit("</div>")))
+        .otherwise(page)
+    )
+
+
+def pairing_page() -> Column:
+    """Page of a supplier whose card has its tabs inside, beside, beside its parent, ahead of itself or not at all."""
+    kind = F.col("s_suppkey") % 5
+    tabs = html('<div class="tabs-dynamic"><div class="tabs-content"><ul><li>item ', F.col("s_nationkey"), "</li></ul></div></div>")
+    at = lambda n, *parts: F.when(kind == n, html(*parts)).otherwise("")
+    return content(
+        '<section><div class="cell">', at(3, tabs), '<div class="spellcard-wrapper" id="Card ', F.col("s_suppkey"), '"><div class="spellcard"><b>x</b>',
+        at(0, tabs), "</div></div>", at(1, "<p>between</p>", tabs), "</div>", at(2, "<div><i>", tabs, "</i></div>"), "</section>", at(4, tabs),
+    )
+
+
+def leading_page() -> Column:
+    """Page of a supplier with some paragraphs ahead of a heading and some after."""
+    return html("<main>", F.repeat(F.lit("<p>a</p>"), (F.col("s_suppkey") % 4).cast("int")), "<h2>h</h2>",
+                F.repeat(F.lit("<p>b</p>"), (F.col("s_nationkey") % 3).cast("int")), "</main>")
+
+
 def noisy_page() -> Column:
     """Hidden parts, ads and navigation blocks around the text of a part."""
     return content(

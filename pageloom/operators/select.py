@@ -116,8 +116,8 @@ CORE = ("page_id", "start", "end", "depth", "parent", "tag", "text", "brk")
 def narrow(nodes: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     """Nodes cut down to their place, text and the given columns.
 
-    Windows copy whole rows, so a plan takes what it needs from the attributes,
-    classes and paths once, up front, and leaves the rest behind.
+    Windows copy whole rows, so a plan takes what it needs from the attributes
+    and classes once, up front, and leaves the rest behind.
     """
     return nodes.select(*CORE, *keep, *[c.alias(n) for n, c in columns.items()])
 
@@ -293,19 +293,72 @@ def outermost(nodes: DataFrame, pred: Column) -> DataFrame:
     )
 
 
+def with_open(nodes: DataFrame, **preds: Column) -> DataFrame:
+    """Add how many matching elements are open around each row, itself apart, for each predicate.
+
+    A sweep over the page: a match opens at its row and closes behind the last row of its interval, so the count is
+    one running sum over rows and closings, whatever the depth of the page.
+    """
+    preds = {n: _sure(p).cast("int") for n, p in preds.items()}
+    marked = nodes.withColumns({f"_is_{n}": p for n, p in preds.items()})
+    any_match = reduce(lambda a, b: a | b, [F.col(f"_is_{n}") > 0 for n in preds])
+    step = F.when(any_match, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    events = marked.withColumn("_closes", F.explode(step)).withColumn(
+        "_at", F.when(F.col("_closes") == 1, F.col("end")).otherwise(F.col("start")))
+    so_far_ = Window.partitionBy("page_id").orderBy("_at", "_closes").rowsBetween(Window.unboundedPreceding, -1)
+    change = lambda n: F.when(F.col("_closes") == 1, -F.col(f"_is_{n}")).otherwise(F.col(f"_is_{n}"))
+    return (
+        events.withColumns({n: F.coalesce(F.sum(change(n)).over(so_far_), F.lit(0)).cast("int") for n in preds})
+        .where("_closes = 0").drop("_closes", "_at", *[f"_is_{n}" for n in preds])
+    )
+
+
+def nearest(nodes: DataFrame, pred: Column, name: str, *fields: str) -> DataFrame:
+    """Add ``name``: struct(start, end, fields) of the innermost matching element around each row, itself apart, or null.
+
+    Of the matches that as many others are open around, the last one before a row is the one that is open there.
+    """
+    own = F.when(_sure(pred), F.struct("start", "end", *fields))
+    opened = with_open(nodes.withColumn("_own", own), _level=pred)
+    # A match stands at its own level for others and asks one level up for itself.
+    both = opened.withColumn("_asks", F.explode(F.when(_sure(pred), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+    both = both.withColumn("_at_level", F.col("_level") - F.col("_asks").cast("int"))
+    level = Window.partitionBy("page_id", "_at_level").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    around = F.last(F.when(~F.col("_asks"), F.col("_own")), ignorenulls=True).over(level)
+    return both.withColumn(name, F.when(F.col("_level") > 0, around)).where("_asks").drop("_own", "_level", "_asks", "_at_level")
+
+
 def within(nodes: DataFrame, outer: Column, inner: Column, *fields: str) -> DataFrame:
     """One row per (matching ancestor, matching node), nested ancestors included.
 
-    Adds ``anc`` = struct(start, end, fields) of the ancestor.  The node's own
-    ancestor path names the candidates, so this is a grouping by
-    (page, ancestor) and not an interval join.
+    Adds ``anc`` = struct(start, end, fields) of the ancestor.  A node asks at every level of open ancestors; the last
+    match before it at that level is the one around it.  The work is that of the result, however deep the page.
     """
-    w = Window.partitionBy("page_id", "_anc")
-    owner = F.max(F.when((F.col("start") == F.col("_anc")) & outer, F.struct("start", "end", *fields)))
-    return (
-        nodes.where(outer | inner)
-        .withColumn("_anc", F.explode(F.concat(F.col("path"), F.array("start"))))
-        .withColumn("anc", owner.over(w))
-        .where(F.col("anc").isNotNull() & inner & (F.col("start") != F.col("_anc")))
-        .drop("_anc")
+    opened = with_open(nodes.where(outer | inner).withColumn("_own", F.when(_sure(outer), F.struct("start", "end", *fields))), _level=outer)
+    # A node asks at the levels 0 to _level - 1; a match stands at its own, _level.
+    asks = F.when(_sure(inner) & (F.col("_level") > 0), F.sequence(F.lit(0), F.col("_level") - 1)).otherwise(F.array().cast("array<int>"))
+    stands = F.when(F.col("_own").isNotNull(), F.array(F.struct(F.col("_level").alias("level"), F.lit(False).alias("asks")))).otherwise(
+        F.array().cast("array<struct<level:int,asks:boolean>>"))
+    both = opened.withColumn("_role", F.explode(F.concat(stands, F.transform(asks, lambda k: F.struct(k.alias("level"), F.lit(True).alias("asks"))))))
+    level = Window.partitionBy("page_id", "_role.level").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    around = F.last(F.when(~F.col("_role.asks"), F.col("_own")), ignorenulls=True).over(level)
+    return both.withColumn("anc", around).where("_role.asks").drop("_own", "_level", "_role")
+
+
+def ancestors(nodes: DataFrame, asks: Column, **steps: int) -> DataFrame:
+    """The elements so many steps above matching elements: page_id, start, and a struct(start, end) for each of ``steps``.
+
+    The element that is open at a row in a given depth is the last one of that depth before it.  Null where the
+    document ends, or where the ancestor is not among the rows.
+    """
+    kinds = "struct<step:string,depth:int>"
+    own = F.array(F.struct(F.lit(None).cast("string").alias("step"), F.col("depth").alias("depth")).cast(kinds))
+    up = F.array(*[F.struct(F.lit(n).alias("step"), (F.col("depth") - k).alias("depth")).cast(kinds) for n, k in steps.items()])
+    both = (
+        nodes.where(~tag("#text"))
+        .select("page_id", "start", "end", F.explode(F.when(_sure(asks), F.concat(own, up)).otherwise(own)).alias("_role"))
     )
+    level = Window.partitionBy("page_id", "_role.depth").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    around = F.last(F.when(F.col("_role.step").isNull(), F.struct("start", "end")), ignorenulls=True).over(level)
+    found = both.withColumn("_up", around).where(F.col("_role.step").isNotNull())
+    return found.groupBy("page_id", "start").agg(*[F.max(F.when(F.col("_role.step") == n, F.col("_up"))).alias(n) for n in steps])

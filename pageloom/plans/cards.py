@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import (
@@ -11,7 +11,7 @@ from pageloom.functions.text import (
 from pageloom.operators.match import last_of_keys, let
 from pageloom.operators.order import pair_next
 from pageloom.operators.select import (
-    attr, first_inside, has_attr, has_class, inside, is_hidden, narrow, tag,
+    ancestors, attr, first_inside, has_attr, has_class, inside, is_hidden, narrow, nearest, tag, with_open,
 )
 from pageloom.operators.text import subtree_text, with_clean
 from pageloom.schema import SPELLCARD
@@ -70,10 +70,10 @@ def _elements(nodes: DataFrame, wrap: Column, more: Column | None = None) -> Dat
     A wrapper without a card is left out.
     """
     marked = narrow(
-        nodes, "id", "path", "classes", "style", _wrap=wrap, title=attr("title"), alt=attr("alt"), cls=attr("class"),
+        nodes, "id", "classes", "style", _wrap=wrap, title=attr("title"), alt=attr("alt"), cls=attr("class"),
         count=attr("data-count"), _hidden=is_hidden(),
     )
-    marked = inside(marked, F.col("_wrap"), "wrap", "id", "parent", "path").where(F.col("wrap").isNotNull())
+    marked = inside(marked, F.col("_wrap"), "wrap", "id").where(F.col("wrap").isNotNull())
     marked = first_inside(
         marked, has_class("spellcard") & (F.col("start") > F.col("wrap.start")), "card", "wrap"
     )
@@ -99,11 +99,16 @@ def _elements(nodes: DataFrame, wrap: Column, more: Column | None = None) -> Dat
         )
         .where(F.col("card").isNotNull())
         .select("page_id", F.col("wrap.start").alias("start"), F.col("wrap.end").alias("end"),
-                F.col("wrap.id").alias("wrap_id"), F.col("wrap.parent").alias("parent"),
-                F.col("wrap.path").alias("path"), "els", "all")
+                F.col("wrap.id").alias("wrap_id"), "els", "all")
     )
 
 
+def _kin(nodes: DataFrame, wrap: Column) -> DataFrame:
+    """Parents and grandparents of a page's wrappers, by their start: page_id, kin."""
+    up = ancestors(nodes, wrap, parent=1, grand=2)
+    return up.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("start", F.struct("parent", "grand")))).alias("kin"))
+
+
 # ---- The record form --------------------------------------------------------
 
 def spellcards(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
@@ -180,11 +185,12 @@ def spellcards(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
 def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     """Properties of every card.
 
-    Result: page_id, start, end, parent, path, title, description, badges,
+    Result: page_id, start, end, parent, grand (intervals of the elements around), title, description, badges,
     rows array<struct<label,value>>, notes.  Rows are the labelled data, then
     the traits (first of each label, case ignored), then the costs.
     """
-    cards = _elements(nodes, has_class("spellcard-wrapper") if wrap is None else wrap)
+    wrap = has_class("spellcard-wrapper") if wrap is None else wrap
+    cards = _elements(nodes, wrap).join(_kin(nodes, wrap), "page_id")
     els = F.col("els")
     bar = _first(els, lambda e: (e["tag"] == "div") & _styled(e, "border-bottom"))
     title = first_filled(
@@ -242,7 +248,8 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
         lambda n: n != "",
     )
     return cards.select(
-        "page_id", "start", "end", "parent", "path", title.alias("title"), description.alias("description"),
+        "page_id", "start", "end", F.col("kin")[F.col("start")]["parent"].alias("parent"),
+        F.col("kin")[F.col("start")]["grand"].alias("grand"), title.alias("title"), description.alias("description"),
         badges.alias("badges"), F.concat(tads, traits, costs).alias("rows"), notes.alias("notes"),
     )
 
@@ -255,41 +262,27 @@ def bullets(nodes: DataFrame, area: Column, *fields: str) -> DataFrame:
     Result: page_id, area struct(start, end, fields) of the element, start,
     level, line.  Only lists that lie in no other ``ul`` start at level 0, only lists directly
     in an item go deeper, and an item's text leaves out the lists in it.
+
+    Lists are followed by sweeps over the area: how many are open at a row tells its level, and whether one is open
+    that stands elsewhere than directly in an item tells if it is reached.  Nesting may have any depth.
     """
-    marked = inside(nodes, area, "area", *fields).where(F.col("area").isNotNull())
-    marked = with_clean(marked, "seen", span=has_attr("title"))
-    is_list = tag("ul", "ol", "li")
-    # One row per (row, list element around it): the path names the candidates.
-    up = (
-        marked.where(is_list | F.col("seen").isNotNull())
-        .select("page_id", "area", "start", "depth", "tag", "seen",
-                F.explode(F.concat(F.col("path"), F.array("start"))).alias("anc"))
-        .where(F.col("anc") > F.col("area.start"))
-    )
-    own = F.max(F.when((F.col("start") == F.col("anc")) & is_list, F.struct("tag", "depth")))
-    up = up.withColumn("_of", own.over(Window.partitionBy("page_id", "anc"))).where(F.col("_of").isNotNull())
-    above = F.when(F.col("anc") != F.col("start"), F.col("anc"))
-    above_is = lambda *tags: F.when(F.col("anc") != F.col("start"), F.col("_of.tag").isin(*tags))
-    rows = up.groupBy("page_id", "area", "start", "depth", "tag", "seen").agg(
-        F.max(above).alias("_near"),
-        F.min_by(F.struct(F.col("anc").alias("start"), F.col("_of.depth").alias("depth")),
-                 F.when(above_is("ul"), F.col("anc"))).alias("_top"),
-        F.collect_list(F.when(above.isNotNull(), F.struct(F.col("anc").alias("start"), F.col("_of.tag").alias("tag")))).alias("_up"),
-    )
-    chain = F.filter("_up", lambda a: a["start"] >= F.col("_top.start"))
-    lists = F.size(F.filter(chain, lambda a: a["tag"] != "li"))
-    # Unbroken chain: every level from the top list down is a list or an item, in turn.
-    unbroken = (F.size(chain) == F.col("depth") - F.col("_top.depth")) & (lists * 2 - 1 == F.size(chain))
-    item = F.when(F.col("tag") == "li", F.col("start")).otherwise(F.col("_near"))
+    marked = inside(nodes, area, "area", *fields).where(F.col("area").isNotNull() & (F.col("start") > F.col("area.start")))
+    marked = with_clean(marked, "seen", span=has_attr("title")).select("page_id", "area", "start", "end", "tag", "parent_tag", "seen")
+    marked = inside(marked.where(tag("ul", "ol", "li") | F.col("seen").isNotNull()), tag("ul"), "top").where(F.col("top").isNotNull())
+    below = F.col("start") > F.col("top.start")
+    is_list, is_item = tag("ul", "ol"), tag("li")
+    # Below the top list, lists stand in items and items in lists.
+    apart = below & ((is_list & (F.col("parent_tag") != "li")) | (is_item & ~F.col("parent_tag").isin("ul", "ol")))
+    marked = nearest(with_open(marked.withColumn("_apart", apart), _lists=is_list, _off=apart), is_list | is_item, "_in", "tag")
+    item = F.when(is_item, F.col("start")).when(F.col("_in.tag") == "li", F.col("_in.start"))
+    ok = is_item & ~F.col("_apart") & (F.col("_off") == 0)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.when(F.col("tag") != "li", F.struct("start", F.nullif(strip("seen"), F.lit("")).alias("t")))
+        F.when(~is_item, F.struct("start", F.nullif(strip("seen"), F.lit("")).alias("t")))
     )), lambda x: x["t"]), " ")
-    is_item = F.col("tag") == "li"
     return (
-        rows.withColumn("_item", item).withColumn("_ok", is_item & unbroken).withColumn("_level", lists - 1)
-        .where(~F.col("tag").isin("ul", "ol"))
+        marked.withColumn("_item", item).withColumn("_ok", ok).where(~is_list & F.col("_item").isNotNull())
         .groupBy("page_id", "area", F.col("_item").alias("start"))
-        .agg(F.max(F.when(F.col("_ok"), F.col("_level"))).alias("level"), clean_cell(text).alias("_text"))
+        .agg(F.max(F.when(F.col("_ok"), F.col("_lists") - 1)).alias("level"), clean_cell(text).alias("_text"))
         .where(F.col("level").isNotNull() & (F.col("_text") != ""))
         .select("page_id", "area", "start", "level",
                 F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("- "), F.col("_text")).alias("line"))
@@ -299,10 +292,10 @@ def bullets(nodes: DataFrame, area: Column, *fields: str) -> DataFrame:
 def tab_blocks(nodes: DataFrame) -> DataFrame:
     """Tab blocks with what their panels say.
 
-    Result: page_id, start, path, lines (bullets of all panels), effects
+    Result: page_id, start, lines (bullets of all panels), effects
     (distinct code and description of every box with a code, in order).
     """
-    marked = inside(nodes, has_class("tabs-dynamic"), "tabs", "path").where(F.col("tabs").isNotNull())
+    marked = inside(nodes, has_class("tabs-dynamic"), "tabs").where(F.col("tabs").isNotNull())
     marked = first_inside(marked, has_class("tabs-content"), "content", "tabs")
 
     lines = (
@@ -330,7 +323,7 @@ def tab_blocks(nodes: DataFrame) -> DataFrame:
     ))
     mine = F.filter("_lines", lambda x: x["of"] == F.col("tabs.start"))
     return blocks.join(lines, "page_id", "left").select(
-        "page_id", F.col("tabs.start").alias("start"), F.col("tabs.path").alias("path"),
+        "page_id", F.col("tabs.start").alias("start"),
         F.coalesce(F.transform(mine, lambda x: x["line"]), F.array().cast("array<string>")).alias("lines"),
         effects.alias("effects"),
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.schema import PROMPT_SYSTEM
+from pageloom.schema import PROMPT_HUMAN, PROMPT_SYSTEM
 
 # Step kind in the store -> message kind in a history; other steps are left out.
 KINDS = {"user": "human", "assistant": "ai"}
@@ -57,38 +58,58 @@ def _line() -> Column:
     return F.concat("kind", F.lit(": "), "text")
 
 
-def _head(said: Column, system: str) -> Column:
-    return F.concat(F.lit(f"System: {system}\nHuman: User message: "), F.coalesce(said, F.lit("")), F.lit(" \n\n Chat History: "))
+_SLOT = re.compile(r"\{(user_message|chat_history)\}")
 
 
-def prompts(history: DataFrame, system: str = PROMPT_SYSTEM) -> DataFrame:
+def _filled(template: str, said: Column, lines: Column | None) -> Column:
+    """The template with its slots filled; all of it up to the history where that comes as rows."""
+    parts = _SLOT.split(template)
+    if lines is None:
+        if parts[-2:] != ["chat_history", ""] or parts.count("chat_history") != 1:
+            raise ValueError("a template for lines must end with {chat_history}")
+        parts = parts[:-2]
+    slots = {"user_message": F.coalesce(said, F.lit("")), "chat_history": lines}
+    return F.concat(F.lit("Human: "), *[slots[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def _said() -> Column:
+    return F.max_by("text", F.when(F.col("kind") == "human", F.col("turn")))
+
+
+def prompts(history: DataFrame, system: str = PROMPT_SYSTEM, human: str = PROMPT_HUMAN) -> DataFrame:
     """Prompt of the latest user message of every thread: conv_id, prompt.
 
-    The history in the prompt already holds that message.  A prompt is one string, so it
-    is for threads that fit a model; ``prompt_lines`` serves threads of any length.
+    ``human`` has the slots ``{user_message}`` and ``{chat_history}``; the history already holds that message.  A prompt is one
+    string, so it is for threads that fit a model; ``prompt_lines`` serves threads of any length.
     """
-    said = F.max_by("text", F.when(F.col("kind") == "human", F.col("turn")))
-    return history.groupBy("conv_id").agg(
-        F.concat(_head(said, system), joined(_line(), "turn", sep="\n")).alias("prompt"))
+    said = _filled(human, _said(), joined(_line(), "turn", sep="\n"))
+    return history.groupBy("conv_id").agg(F.concat(F.lit(f"System: {system}\n"), said).alias("prompt"))
 
 
-def prompt_lines(history: DataFrame, system: str = PROMPT_SYSTEM) -> DataFrame:
+def prompt_lines(history: DataFrame, system: str = PROMPT_SYSTEM, human: str = PROMPT_HUMAN) -> DataFrame:
     """The same prompts as rows: conv_id, pos, line; the head has no ``pos`` and comes first.
 
-    The lines after the head, in order and joined by line breaks, follow it directly.
-    Nothing but the latest user message is gathered.
+    The lines after the head, in order and joined by line breaks, follow it directly, so ``human`` ends with the
+    history.  Nothing but the latest user message is gathered.
     """
-    said = F.max_by("text", F.when(F.col("kind") == "human", F.col("turn")))
-    heads = history.groupBy("conv_id").agg(_head(said, system).alias("line"))
+    head = F.concat(F.lit(f"System: {system}\n"), _filled(human, _said(), None))
+    heads = history.groupBy("conv_id").agg(head.alias("line"))
     return history.select("conv_id", F.col("turn").alias("pos"), _line().alias("line")).unionByName(
         heads.select("conv_id", F.lit(None).cast("long").alias("pos"), "line"))
 
 
 def latest_run(runs: DataFrame, by: str = "thread", tie: str = "run_id") -> DataFrame:
-    """Newest run of every thread; an aggregate, so long threads combine map-side."""
-    rest = [c for c in runs.columns if c != by]
-    newest = F.max_by(F.struct(*rest), F.struct("start_time", tie))
-    return runs.groupBy(by).agg(newest.alias("_run")).select(by, "_run.*")
+    """Newest run of every thread.
+
+    The newest of each thread is found on times and ids alone; only the winners' rows are joined, by thread, time and id, so a thread
+    of many runs spreads and no message sits in an aggregate.
+    """
+    newest = runs.select(by, "start_time", tie).groupBy(by).agg(F.max(F.struct("start_time", tie)).alias("_newest"))
+    newest = newest.select(F.col(by).alias("_by"), F.col("_newest.start_time").alias("_at"), F.col(f"_newest.{tie}").alias("_tie"))
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("start_time").eqNullSafe(F.col("_at")) & F.col(tie).eqNullSafe(F.col("_tie"))
+    # A run that is there twice counts once.
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(tie))
+    return runs.join(newest, same, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def thread_state(runs: DataFrame, by: str = "thread", tie: str = "run_id") -> DataFrame:

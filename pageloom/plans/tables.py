@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import collapse, dash, non_empty, strip, strip_sort_code
-from pageloom.operators.match import empty_columns, ordered_list
+from pageloom.functions.spans import placed
+from pageloom.operators.match import empty_columns, let, ordered_list
 from pageloom.operators.select import (
     attr, contains_match, has_attr, has_class, inside, tag,
 )
@@ -55,40 +56,19 @@ def _first_column_names(by_cell: Window) -> Column:
     return F.array_join(F.array_distinct(names), ", ")
 
 
-def _place_spans(rows: Column) -> Column:
-    """Grid cells of a section's rows when cells reach into later rows.
+def _place_spans(rows: Column, spanned: Column) -> Column:
+    """Grid cells of a section's rows when cells reach into later rows; null unless ``spanned``.
 
     ``rows`` is an array, one entry per row, of arrays of (text, colspan,
     rowspan).  Each row fills the columns that no cell from above still holds.  A negative colspan
     goes over so many columns less those held.
     """
-    cell = "struct<row:int,col:int,text:string,left:int>"
-    start = F.struct(
-        F.array().cast(f"array<{cell}>").alias("open"), F.array().cast(f"array<array<{cell}>>").alias("done"),
-        F.lit(0).alias("row"),
-    )
-
-    def add(acc: Column, row: Column) -> Column:
-        held = F.transform(acc["open"], lambda c: c["col"])
-        wide = F.flatten(F.transform(row, lambda c: F.array_repeat(
-            F.struct(c["text"].alias("text"), c["rowspan"].alias("rowspan")),
-            F.when(c["colspan"] < 0, F.greatest(F.lit(1), -c["colspan"] - F.size(held))).otherwise(c["colspan"]),
-        )))
-        free = F.array_except(F.sequence(F.lit(0), F.size(wide) + F.size(held)), held)
-        own = F.transform(wide, lambda c, i: F.struct(
-            acc["row"].alias("row"), F.get(free, i).alias("col"), c["text"].alias("text"),
-            (c["rowspan"] - 1).alias("left"),
-        ))
-        kept = F.transform(acc["open"], lambda c: F.struct(
-            acc["row"].alias("row"), c["col"].alias("col"), c["text"].alias("text"), (c["left"] - 1).alias("left"),
-        ))
-        cells = F.concat(own, kept)
-        return F.struct(
-            F.filter(cells, lambda c: c["left"] > 0).alias("open"),
-            F.concat(acc["done"], F.array(cells)).alias("done"), (acc["row"] + 1).alias("row"),
-        )
-
-    return F.aggregate(rows, start, add, lambda acc: F.flatten(acc["done"]))
+    cells = F.flatten(rows)
+    at = placed(*[F.when(spanned, c) for c in (
+        F.transform(rows, F.size), F.transform(cells, lambda c: c["colspan"]), F.transform(cells, lambda c: c["rowspan"]))])
+    return let(at, lambda at: let(cells, lambda cells: F.transform(
+        F.when(F.size(at) > 0, F.sequence(F.lit(0), F.size(at) - 3, F.lit(3))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.get(at, i).alias("row"), F.get(at, i + 1).alias("col"), F.get(cells, F.get(at, i + 2))["text"].alias("text")))))
 
 
 def _place_rows(rows: Column) -> Column:
@@ -96,7 +76,7 @@ def _place_rows(rows: Column) -> Column:
     def flat(row: Column, r: Column) -> Column:
         wide = F.flatten(F.transform(row, lambda c: F.array_repeat(c["text"], F.abs(c["colspan"]))))
         return F.transform(wide, lambda t, i: F.struct(
-            r.cast("int").alias("row"), i.cast("int").alias("col"), t.alias("text"), F.lit(0).alias("left")
+            r.cast("int").alias("row"), i.cast("int").alias("col"), t.alias("text")
         ))
     return F.flatten(F.transform(rows, flat))
 
@@ -108,19 +88,19 @@ def _span(name: str) -> Column:
 
 
 def _bounded(grid_rows: DataFrame) -> DataFrame:
-    """Columns over the bound go as far as the rows without such cells; a table that has no such row has no grid."""
+    """Columns over the bound go as far as the rows without such cells; as far as the bound where a table has no such row."""
     over = lambda c: c["colspan"] > MAX_SPAN["colspan"]
     by_table = Window.partitionBy(*TABLE_KEY)
     own = F.aggregate("_cells", F.lit(0).cast("long"), lambda n, c: n + F.when(over(c), 0).otherwise(c["colspan"]))
     rows = grid_rows.withColumns({"_own": own, "_over": F.size(F.filter("_cells", over))})
     rows = rows.withColumn("_width", F.max(F.when(F.col("_over") == 0, F.col("_own"))).over(by_table))
-    rows = rows.withColumn("_any", F.max("_over").over(by_table)).where((F.col("_any") == 0) | F.col("_width").isNotNull())
+    rows = rows.withColumn("_width", F.coalesce("_width", F.lit(MAX_SPAN["colspan"])))
     # The first such cell of a row takes what the others leave.
     first = F.array_position(F.transform("_cells", over), F.lit(True)) - 1
     rest = F.greatest(F.lit(1), (F.col("_width") - F.col("_own") - F.col("_over") + 1).cast("int"))
     bounded = F.transform("_cells", lambda c, i: c.withField(
         "colspan", F.when(~over(c), c["colspan"]).when(i == first, -rest).otherwise(1)))
-    return rows.withColumn("_cells", F.when(F.col("_over") > 0, bounded).otherwise(F.col("_cells"))).drop("_own", "_over", "_width", "_any")
+    return rows.withColumn("_cells", F.when(F.col("_over") > 0, bounded).otherwise(F.col("_cells"))).drop("_own", "_over", "_width")
 
 
 def table_cells(nodes: DataFrame) -> DataFrame:
@@ -130,7 +110,7 @@ def table_cells(nodes: DataFrame) -> DataFrame:
     is_header, text.  Spans repeat the text over the cells they cover; header
     labels carry the title of their link; first-column cells are named by link
     titles, image texts or link texts; other body cells lose hidden parts and
-    sort codes.  A cell over more than 1,000 columns goes as far as other rows do.
+    sort codes.  A cell over more than 1,000 columns goes as far as other rows do, or over 1,000.
     """
     marked = contains_match(nodes, tag("#text"), "_filled")
     marked = contains_match(marked, tag("table"), "_outer_table")
@@ -203,10 +183,11 @@ def table_cells(nodes: DataFrame) -> DataFrame:
                 by_table.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
             ), F.lit(0)))
     )
-    grid = F.when(F.col("_reach") > 1, _place_spans(F.col("_rows"))).otherwise(_place_rows(F.col("_rows")))
-    return sections.select(
+    reaches = F.col("_reach") > 1
+    grid = F.when(reaches, _place_spans(F.col("_rows"), reaches)).otherwise(_place_rows(F.col("_rows")))
+    return sections.withColumn("_grid", grid).select(
         "page_id", "table_id", "table_end", "_before", (F.col("_place") == 0).alias("is_header"),
-        F.inline(grid),
+        F.inline("_grid"),
     ).select(
         "page_id", "table_id", "table_end", (F.col("_before") + F.col("row")).cast("int").alias("row"),
         "col", "is_header", "text",

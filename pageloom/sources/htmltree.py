@@ -42,10 +42,8 @@ PARAGRAPH = (frozenset(("p",)), frozenset(("table", "td", "th", "caption", "butt
 CELL_SCOPE = frozenset(("table",))
 
 ROWS_PER_BATCH = 8192
-# Nothing of a page is left out beyond these.  A node's ``path`` holds the nearest so many elements around it, intervals and
-# depths are exact; the first element beyond carries an ``error``.  So does a table that holds a cell over a span, which
-# ``table_cells`` then places by the other rows.
-MAX_DEPTH = 512
+# Nothing of a page is left out beyond these: a table that holds a cell over such a span carries an ``error``, and
+# ``table_cells`` bounds the cell.
 MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
 NONE: tuple = ()
 
@@ -58,17 +56,14 @@ class _Nodes(HTMLParser):
         # Column lists in NODE_SCHEMA order after page_id.
         self.start, self.end, self.depth, self.parent, self.sib = [], [], [], [], []
         self.tag, self.id, self.classes, self.style = [], [], [], []
-        self.attrs, self.text, self.path, self.brk, self.parent_tag = [], [], [], [], []
+        self.attrs, self.text, self.brk, self.parent_tag = [], [], [], []
         self._open: list[tuple[str, int]] = []
         self._opened = Counter()
-        self._deep = False
         self._children = [0]
-        self._path: list[int] = []
         self._break = False
         self._split = False
         self._add("#document", None, None)
         self._open.append(("#document", 0))
-        self._path = [0]
 
     def _add(self, tag, attrs, text) -> int:
         n = len(self.start)
@@ -80,7 +75,6 @@ class _Nodes(HTMLParser):
         self.parent_tag.append(above)
         self.tag.append(tag)
         self.text.append(text)
-        self.path.append(self._path)
         if attrs is None:
             self.sib.append(None)
             self.id.append(None)
@@ -105,7 +99,6 @@ class _Nodes(HTMLParser):
             self._opened[tag] -= 1
             self.end[at] = last
             self._break = self._break or tag in BLOCK
-        self._path = [at for _, at in self._open[-MAX_DEPTH:]]
 
     def _close_open(self, kinds, boundary) -> None:
         if not any(self._opened[kind] for kind in kinds):
@@ -148,13 +141,9 @@ class _Nodes(HTMLParser):
     def _enter(self, tag, attrs) -> None:
         at = self._add(tag, attrs, None)
         if tag not in VOID:
-            if len(self._open) > MAX_DEPTH and not self._deep:
-                self._deep = True
-                self._note(at, f"page nests deeper than {MAX_DEPTH} elements")
             self._open.append((tag, at))
             self._opened[tag] += 1
             self._children.append(0)
-            self._path = [*self._path[1 - MAX_DEPTH:], at]
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -219,9 +208,8 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
         return pa.array(list(accumulate(map(len, values), initial=0)), pa.int32())
 
     columns = {name: pa.array(out[name], kind) for name, kind in FLAT.items()}
-    for name, kind in (("classes", pa.string()), ("path", pa.int32())):
-        values = pa.array(list(chain.from_iterable(out[name])), kind)
-        columns[name] = pa.ListArray.from_arrays(offsets(out[name]), values)
+    classes = pa.array(list(chain.from_iterable(out["classes"])), pa.string())
+    columns["classes"] = pa.ListArray.from_arrays(offsets(out["classes"]), classes)
     pairs = list(chain.from_iterable(out["attrs"]))
     columns["attrs"] = pa.MapArray.from_arrays(
         offsets(out["attrs"]), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def test_streams_equal_batch(spark, tmp_path):
     ev.write.parquet(f"{tmp_path}/events")
     stream = spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/events")
     land = lambda: messages.land_events(stream, f"{tmp_path}/landed", f"{tmp_path}/land-cp")
-    read = lambda: {r.run_id: r.text for r in messages.read_messages(spark, f"{tmp_path}/landed", ev.schema).collect()}
+    read = lambda: {r.run_id: r.text for r in messages.read_messages(spark, f"{tmp_path}/landed").collect()}
     land()
     assert read() == {"r1": "abcd", "r2": "x"} == {r.run_id: r.text for r in chat.answers(ev).collect()}
     # A run of years before that comes last is there all the same.
@@ -89,6 +90,34 @@ def test_streams_equal_batch(spark, tmp_path):
     assert back.exceptAll(batch).count() == 0 and back.count() == batch.count()
 
 
+def test_batches_rewrite_the_buckets_they_touch(spark, tmp_path):
+    """Late, split and repeated batches give what one batch gives, and other buckets' files stay as they are."""
+    rng = random.Random(5)
+    row = lambda run, seq, p: (run, f"r{run}", None, seq, p, chat.STREAM, f"{run}.{seq};", None)
+    rows = [row(run, seq, 1 + seq % 2) for run in range(40) for seq in range(6)]
+    rows += [(run, f"r{run}", None, 90, 1, chat.END, None, [("c", "get", "Axe")]) for run in range(0, 40, 2)]
+    rows += [(run, f"r{run}", None, 91, 1, "other", None, None) for run in range(50)]
+    rng.shuffle(rows)
+    late = [r for r in rows if r[0] in (3, 4)][:5]
+    early = [r for r in rows if r not in late]
+    path = f"{tmp_path}/t"
+    put = lambda part, batch: messages.assemble(spark.createDataFrame(part, EVENT), batch, path, ("get",), buckets=16)
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t/messages").rglob("*.parquet")}
+    put(early[:120], 0)
+    put(early[120:], 1)
+    before = files()
+    put(late, 2)
+    after = files()
+    touched = {f.parent.name for f in before if f not in after} | {f.parent.name for f in after if f not in before}
+    assert 1 <= len(touched) <= 2 and len({f.parent.name for f in after}) > 5
+    put(early[120:], 1)
+    put(late, 2)
+    put([r for r in rows if r[5] == "other"], 3)
+    got = {(r.conv_id, r.run_id): r.text for r in messages.read_messages(spark, path).collect()}
+    want = {(r.conv_id, r.run_id): r.text for r in chat.answers(spark.createDataFrame(rows, EVENT), ("get",)).collect()}
+    assert got == {k: v for k, v in want.items() if k[0] < 40} and len(got) == 40
+
+
 def test_session_history_is_written_once(spark, tmp_path):
     schema = "conv_id long, turn long, role string, text string"
     step = lambda n: spark.createDataFrame([(1, n, "user", f"m{n}")], schema).write.mode("append").parquet(f"{tmp_path}/in")

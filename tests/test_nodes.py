@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pageloom.operators import select as sel
@@ -23,6 +25,11 @@ def test_unclosed_tags(nodes_of):
     assert [r.raw for r in text.orderBy("start").collect()] == ["onebold", "two & three four", "a", "bc", "c", "x", "y", "z"]
 
 
+def chain(page, r):
+    """Starts of the elements around a node, by its parents."""
+    return [] if r.parent is None else [*chain(page, page[r.parent]), r.parent]
+
+
 def test_intervals_hold_for_every_node(nodes_of):
     got = nodes_of(MESSY, content("<i>x</i>"), None).collect()
     by_page = {}
@@ -30,10 +37,10 @@ def test_intervals_hold_for_every_node(nodes_of):
         by_page.setdefault(r.page_id, {})[r.start] = r
     for page in by_page.values():
         for r in page.values():
-            inside = [x.start for x in page.values() if r.start in x.path]
+            path = chain(page, r)
+            inside = [x.start for x in page.values() if r.start in chain(page, x)]
             assert r.end == max([r.start, *inside])
-            assert r.parent == (r.path[-1] if r.path else None)
-            assert r.depth == len(r.path) - 1
+            assert r.depth == len(path) - 1
             assert r.parent is None or r.parent_tag == page[r.parent].tag
 
 
@@ -79,6 +86,37 @@ def test_nesting(nodes_of):
     assert rows(pairs, "anc.id") == [("1",), ("1",), ("2",)]
 
 
+def test_open_elements_match_brute_force(nodes_of):
+    """Sweeps against the chains of parents, on random trees of two pages."""
+    rng = random.Random(9)
+
+    def tree(depth):
+        return "".join(
+            f'<{t}>{tree(depth - 1) if depth else "x"}</{t}>' for t in rng.choices(["div", "span", "b"], k=rng.randint(0, 4)))
+
+    nodes = nodes_of(tree(6), "<div>" * 700 + tree(4) + "</div>" * 700, "").persist()
+    pages = {}
+    for r in nodes.collect():
+        pages.setdefault(r.page_id, {})[r.start] = r
+    around = {(p, r.start): [] for p, page in pages.items() for r in page.values()}
+    for p, page in pages.items():
+        for r in page.values():
+            above = around[p, r.parent] + [r.parent] if r.parent is not None else []
+            around[p, r.start] = above
+    div = lambda p, starts: [s for s in starts if pages[p][s].tag == "div"]
+    for r in sel.with_open(nodes, n=tag("div"), m=tag("b")).collect():
+        mine = around[r.page_id, r.start]
+        assert r.n == len(div(r.page_id, mine)) and r.m == sum(pages[r.page_id][s].tag == "b" for s in mine)
+    for r in sel.nearest(nodes, tag("div"), "near", "tag").collect():
+        mine = div(r.page_id, around[r.page_id, r.start])
+        assert (r.near.start, r.near.end, r.near.tag) == (mine[-1], pages[r.page_id][mine[-1]].end, "div") if mine else r.near is None
+    got = rows(sel.within(nodes, tag("div"), tag("b")), "page_id", "start", "anc.start", "anc.end")
+    assert got == sorted((p, s, a, pages[p][a].end) for (p, s), up in around.items() if pages[p][s].tag == "b" for a in div(p, up))
+    up = {(r.page_id, r.start): (r.one, r.three) for r in sel.ancestors(nodes, tag("b"), one=1, three=3).collect()}
+    want = lambda p, up, k: (up[-k], pages[p][up[-k]].end) if len(up) >= k else None
+    assert up == {(p, s): (want(p, a, 1), want(p, a, 3)) for (p, s), a in around.items() if pages[p][s].tag == "b"}
+
+
 def test_inside_matches_brute_force(nodes_of):
     page = "<div>a<p>b</p><div>c<p>d</p></div></div><p>e</p><div>f</div>"
     got = sel.inside(nodes_of(page), tag("div"), "box").collect()

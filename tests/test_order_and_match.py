@@ -71,15 +71,15 @@ def test_after_heading_first_and_last(spark):
 
 
 def test_pairing_order(spark):
-    # (start, end, parent, path) of cards; (start, path) of blocks.
+    # Cards with the intervals of their parents and grandparents; starts of blocks.
+    card = lambda page, parent=(5, 50), grand=(0, 90): (page, 10, 20, parent, grand)
     cards = spark.createDataFrame(
-        [(1, 10, 20, 5, [0, 5]), (2, 10, 20, 5, [0, 5]), (3, 10, 20, 5, [0, 5]), (4, 10, 20, 5, [0, 5]), (5, 10, 20, 5, [0, 5])],
-        "page_id int, start int, end int, parent int, path array<int>")
+        [card(1), card(2), card(3), card(4), card(5), card(6, None, None), card(7, (5, 50), None)],
+        "page_id int, start int, end int, parent struct<start:int,end:int>, grand struct<start:int,end:int>")
     blocks = spark.createDataFrame(
-        [(1, 12, [0, 5, 10]), (1, 30, [0, 5]), (2, 30, [0, 5, 29]), (2, 40, [0]), (3, 40, [0, 39]), (4, 7, [0, 5])],
-        "page_id int, start int, path array<int>")
+        [(1, 12), (1, 30), (2, 30), (2, 60), (3, 60), (4, 7), (5, 95), (6, 3), (6, 70), (7, 70)], "page_id int, start int")
     got = {r.page_id: r.tab.start if r.tab else None for r in order.pair_next(cards, blocks).collect()}
-    assert got == {1: 12, 2: 30, 3: 40, 4: 7, 5: None}
+    assert got == {1: 12, 2: 30, 3: 60, 4: 7, 5: None, 6: 70, 7: 70}
 
 
 def test_first_and_last_per_key(spark):
