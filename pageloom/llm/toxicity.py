@@ -15,6 +15,8 @@ from pageloom.llm.common import Texts, crc_mod, matrix_sum, mixed, shipped, slic
 ORDER, SPAN, DECAY = 4, 7, 0.75
 #: Places at which the subsequences of a window begin.
 WINDOW = 8
+#: Labelled rows that teach and calibrate at most, those of the least id hashes.
+SAMPLE = 24_000
 #: Landmarks, and windows of each label that they are chosen from.
 LANDMARKS, CHOICE = 256, 800
 #: Windows of a toxic text at most, and their share of the worst one's suspicion at least; other windows of a clean text.
@@ -364,7 +366,7 @@ def machine(windows: DataFrame, landmarks: Landmarks) -> tuple[np.ndarray, float
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic",
-                    folds: int = 3, held_out: int = 1) -> DataFrame:
+                    folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> DataFrame:
     """Calibrated probability of label 1 for each document: the id, ``held_out``, ``score`` and ``margin``.
 
     A text's margin is that of its worst window of ``WINDOW`` places.  Windows compare by the gap-weighted subsequence
@@ -376,9 +378,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     Labels belong to documents.  Of one labelled 1 the most suspicious windows are positives; of another the worst is a
     negative, besides some at hashed places; copies with characters put in teach alike.  Suspicion is first that of counted
     subsequences, then the machine's own.
-    Rows whose id's crc32 is ``held_out`` modulo ``folds`` teach nothing; of the others a quarter calibrates and the rest
-    fits, all of them.  Only the landmarks are chosen among a bounded sample (``CHOICE`` windows of each label, those of
-    the least id hashes).  Whole texts are scored.
+    Rows whose id's crc32 is ``held_out`` modulo ``folds`` teach nothing; of the others at most ``sample`` labelled rows
+    are learnt from, those of the least id hashes, a quarter of which calibrates and the rest fits.  So the labels that are joined have a
+    size bound, and no text but those of the sample moves.  Landmarks are chosen among ``CHOICE`` windows.  All texts are scored, whole.
     Null and empty texts have the margin of an empty window and a score like any other; rows without a label or with a null one only
     get scores; repeated labels all count; a null id's crc is that of the empty text.  Without labels of both kinds
     the score is the share of label 1, 0.5 without any.  Extra columns are ignored.
@@ -388,8 +390,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     kind = dict(rows.dtypes)["doc_id"]
     known = labels.select(F.col(id).alias("doc_id"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL")
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    some = stored(known.where("doc_id IS NOT NULL").where(crc_mod("doc_id", folds) != held_out).orderBy(hashed, "doc_id", "y").limit(sample), "sample")
     labelled = stored(
-        rows.join(known.where(crc_mod("doc_id", folds) != held_out), "doc_id")
+        rows.join(F.broadcast(some), "doc_id")
         .select("text", "y", hashed.alias("h"), (F.pmod(hashed, F.lit(4)) == 0).alias("calibrates")), "labelled")
     taught = labelled.where("NOT calibrates").select("text", "y", "h")
     counts = {r["y"]: r["n"] for r in labelled.groupBy((F.col("y") > 0).alias("y"), "calibrates").agg(F.count(F.lit(1)).alias("n")).groupBy("y").agg(F.sum("n").alias("n")).collect()}
