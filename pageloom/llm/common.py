@@ -216,14 +216,17 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return sequence_hashes(*lanes(data, start, end), end - start)
 
 
-def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether each byte range equals that of the number ``other``, byte by byte."""
-    same = (end - start) == (end - start)[other]
-    rows = np.flatnonzero(same & (other != np.arange(len(start))))
-    left, _, at = lanes(data, start[rows], end[rows])
-    right, _, _ = lanes(data, start[other[rows]], end[other[rows]])
+def same_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Whether each byte range, or each of ``rows``, equals that of the number ``other``, byte by byte."""
+    rows = np.arange(len(start)) if rows is None else rows
+    with_ = other[rows]
+    same = (end - start)[rows] == (end - start)[with_]
+    at = np.flatnonzero(same & (with_ != rows))
+    one, two = rows[at], with_[at]
+    left, _, first = lanes(data, start[one], end[one])
+    right, _, _ = lanes(data, start[two], end[two])
     wrong = np.append(0, np.cumsum(left != right))
-    same[rows] = wrong[at[1:]] == wrong[at[:-1]]
+    same[at] = wrong[first[1:]] == wrong[first[:-1]]
     return same
 
 

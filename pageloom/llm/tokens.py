@@ -84,6 +84,22 @@ def pieces(texts: Texts, whole: list[tuple[int, int]] = []) -> np.ndarray:
     return np.flatnonzero(cut[:-1])
 
 
+def piece_keys(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit key of each piece, numbers of those of over seven bytes).
+
+    A key of up to seven bytes is the bytes and their count, so it is exact; the others are hashes with the highest bit set.
+    """
+    size = stop - start
+    padded = np.append(data, np.zeros(8, np.uint8)).tobytes()
+    keys = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[start]
+    short = np.minimum(size, 7).astype(np.uint64)
+    keys &= (np.uint64(1) << (short * np.uint64(8))) - np.uint64(1)
+    keys |= short << np.uint64(56)
+    long = np.flatnonzero(size > 7)
+    keys[long] = span_hashes(data, start[long], stop[long]) | np.uint64(1 << 63)
+    return keys, long
+
+
 def encode(texts: Texts, path: str, end: int = END, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(ids, where each row's begin; one more at the end) with ``end`` after each row.
 
@@ -97,9 +113,10 @@ def encode(texts: Texts, path: str, end: int = END, added: bool = False) -> tupl
     inverse = np.zeros(0, np.int64)
     if len(start):
         stop = np.append(start[1:], len(texts.data))
-        _, lead, inverse = np.unique(span_hashes(texts.data, start, stop), return_index=True, return_inverse=True)
-        # Pieces that share a hash without being one stand for themselves.
-        apart = np.flatnonzero(~same_spans(texts.data, start, stop, lead[inverse]))
+        keys, long = piece_keys(texts.data, start, stop)
+        _, lead, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # Long pieces that share a hash without being one stand for themselves.
+        apart = long[~same_spans(texts.data, start, stop, lead[inverse], long)]
         inverse[apart] = len(lead) + np.arange(len(apart))
         lead = np.append(lead, apart)
         distinct = [data[a:b] for a, b in zip(start[lead].tolist(), stop[lead].tolist())]
