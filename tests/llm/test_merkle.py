@@ -29,7 +29,7 @@ def test_messy_rows(spark, messy, messy_rows, empty):
     assert proved(empty) == []
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 4, 27, 28])
+@pytest.mark.parametrize("size", [1, 3, 28])
 def test_sizes(spark, size):
     rows = [(i, "s", None, i, "a\nb") for i in range(size)]
     assert ordered(proved(spark.createDataFrame(rows, COLUMNS))) == ordered(brute.merkle(rows))
