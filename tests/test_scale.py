@@ -27,3 +27,9 @@ def test_one_box_needs_few_windows_and_says_the_same(spark, parts):
         assert plan(alone).count("Window [") <= 5
         assert sorted(map(str, alone.collect())) == sorted(map(str, whole.select("page_id", *columns).collect()))
     assert plan(bindings.QUERIES["attributes"](spark, parts)).count("Window [") <= 5
+
+
+def test_large_pages_that_are_read_twice_are_not_kept_whole(spark, parts):
+    for name in ("ability_headings", "abilities", "records_typed", "records_conformed", "zipped_costs"):
+        physical = bindings.QUERIES[name](spark, parts)._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" not in physical, name
