@@ -74,3 +74,8 @@ def test_text_of_whole_blocks_is_not_read(spark, parts):
     assert {r.text for r in rows if r.tag == "#document"} == {None}
     assert all(r.text is None for r in rows if r.is_child and r.tag == "div" and not r.classes and not r.is_lore)
     assert [r.text for r in sorted(rows, key=lambda r: r.start) if r.is_child and r.tag == "h2"] == ["Talents", "Bio[edit]", "Innate", "Abilities"]
+
+
+def test_infoboxes_need_fewer_windows(spark, parts):
+    plan = bindings.QUERIES["infobox_rows"](spark, parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 11
