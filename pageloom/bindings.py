@@ -31,7 +31,7 @@ from pageloom.plans import chat, conform, documents, infobox, records, tables
 from pageloom.plans.catalog import link_texts, shop_catalog, tier_catalog, titles_to_fetch, topic_catalog
 from pageloom.schema import ENTITY_NAMES, STAT_TYPES
 from pageloom.sources import stores
-from pageloom.sources.htmltree import html_nodes
+from pageloom.sources.htmltree import html_nodes, html_pages
 from pageloom.sources.pages import newest, read_pages, read_table
 from pageloom.streaming import messages
 
@@ -78,6 +78,12 @@ def built_nodes(spark: SparkSession, folder: str, name: str, key: str, page: Col
     return html_nodes(markup.pages_from(read_table(spark, path, key, tasks), key, page), tasks)
 
 
+def part_pages(spark: SparkSession, folder: str, page: Column) -> DataFrame:
+    """The pages that Spark builds from ``part``, their nodes in one array each: parsed where the rows were dealt, so nodes are not exchanged."""
+    path = f"{folder}/part.parquet"
+    return html_pages(markup.pages_from(read_table(spark, path, "p_partkey", spread(spark, path)), "p_partkey", page))
+
+
 def plain(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as it lies; only tables that feed the parse are worth spreading."""
     return read_table(spark, f"{folder}/{name}.parquet")
@@ -562,7 +568,7 @@ SQL_CARD_ROWS = """
            'note ' || p_partkey AS notes, t.* FROM part, LATERAL (VALUES {SQL_CARD_ROWS}) t(pos, label, value)
 """)
 def card_props(spark, folder):
-    props = cd.card_props(part_nodes(spark, folder, markup.content(*markup.card())))
+    props = cd.card_props(part_pages(spark, folder, markup.content(*markup.card())))
     return props.select(
         "page_id", "title", "description", F.array_join("badges", ",").alias("badges"), F.array_join("notes", ",").alias("notes"),
         F.posexplode("rows").alias("pos", "r"),
@@ -587,7 +593,7 @@ SQL_CARD = """'Default Hotkey=Q' || p_size % 9 AS hotkeys, 'Ability=' || p_type
 
 @query(f"SELECT p_partkey AS page_id, p_name AS name, {SQL_CARD}, 'Details=' || p_brand || chr(10) || 'deep ' || p_size AS tabs FROM part")
 def card_struct(spark, folder):
-    cards = cd.spellcards(part_nodes(spark, folder, markup.content(*markup.card())))
+    cards = cd.spellcards(part_pages(spark, folder, markup.content(*markup.card())))
     return cards.select("page_id", *_flat_card(F.col("card")))
 
 

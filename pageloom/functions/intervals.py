@@ -80,6 +80,22 @@ class Pages:
     def end_of(self, of: np.ndarray) -> np.ndarray:
         return np.where(of >= 0, (self.end - self.start + self.places)[of], -1)
 
+    def size_of(self, of: np.ndarray) -> np.ndarray:
+        """On the row of each element that is found for some, the number of rows it is found for; -1 elsewhere."""
+        size = np.bincount(of[of >= 0], minlength=len(of))
+        return np.where((size > 0) & (of == self.row), size, -1)
+
+    def above(self, asks: np.ndarray, steps: int, among: np.ndarray) -> np.ndarray:
+        """The last row ahead of each asking one that is so many steps less deep; the one around it, where that is among the rows."""
+        deep = self.depth + steps + 2
+        kind, rows = self.first * (deep.max(initial=0) + 1) + deep, len(deep) + 1
+        known = np.sort((kind * rows + self.row)[among])
+        at, out = np.flatnonzero(asks), np.full(len(deep), -1)
+        wanted = kind[at] - steps
+        last = known[np.searchsorted(known, wanted * rows + at) - 1] if len(known) else np.full(len(at), -1)
+        out[at] = np.where((last >= 0) & (last // rows == wanted) & (last % rows < at), last % rows, -1)
+        return out
+
     def nth_next(self, hit: np.ndarray, n: int) -> np.ndarray:
         """For each match, the ``n``-th match of its page behind it."""
         at, out = np.flatnonzero(hit), np.full(len(hit), -1)

@@ -141,6 +141,44 @@ def swept(nodes: DataFrame, sweep, kind: str, *fields: str, **flags: Column) ->
     )
 
 
+class _Columns:
+    """The fields of a node where nodes are rows."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def page_rows(nodes: DataFrame, row) -> DataFrame:
+    """The rows of every page in one array: page_id, _rows.
+
+    ``row`` makes a struct, ``start`` first, of a node's fields.  ``nodes`` are rows, or pages of ``html_pages``, whose arrays
+    are already there and need neither a grouping nor an exchange.
+    """
+    if "nodes" in nodes.columns:
+        return nodes.select("page_id", F.transform("nodes", row).alias("_rows"))
+    rows = nodes.select("page_id", row(_Columns()).alias("_row"))
+    return rows.groupBy("page_id").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+
+
+def flag_bits(**flags: Column) -> Column:
+    """Flags as one number, which ``swept_blocks`` takes apart again."""
+    return reduce(lambda a, b: a + b, [F.when(f, F.lit(1 << i)).otherwise(0).cast("long") for i, f in enumerate(flags.values())])
+
+
+def swept_blocks(pages: DataFrame, names: list[str], sweep, kind: str, use) -> DataFrame:
+    """One row for each block that ``sweep`` finds in the pages of ``page_rows``: page_id and the fields of ``use``.
+
+    Rows carry start, end, depth and ``_bits``, the flags of ``names``.  ``sweep`` gives the columns ``kind`` and ``_size``,
+    the number of rows of the block that starts at a row.  ``use`` makes a struct of a block's own row and its rows, each a
+    struct of ``r`` (the row) and ``f`` (what was found).  A block takes its slice of the page, so the work is that of the page.
+    """
+    found = sweeps(sweep, names, kind)("_rows.start", "_rows.end", "_rows.depth", "_rows._bits")
+    both = pages.withColumn("_found", found).select("page_id", F.arrays_zip(F.col("_rows").alias("r"), F.col("_found").alias("f")).alias("_both"))
+    at = F.filter(F.transform("_both", lambda x, i: F.when(x["f"]["_size"].isNotNull(), F.struct(
+        (i + 1).alias("i"), x["f"]["_size"].alias("n"), x.alias("own")))), lambda b: b.isNotNull())
+    return both.select("page_id", F.inline(F.transform(at, lambda b: use(b["own"], F.slice("_both", b["i"], b["n"])))))
+
+
 # ---- Intervals as running windows -------------------------------------------
 
 def _covering(pred: Column, fields: tuple[str, ...]) -> Column:

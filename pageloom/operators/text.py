@@ -46,17 +46,29 @@ FORMS = {
 }
 
 
-def _by_position(runs: Column, piece) -> Column:
-    """Pieces placed at index start + 1, with nulls in the gaps."""
+def _by_position(runs: Column, piece, first: Column | None = None) -> Column:
+    """Pieces placed at index start + 1, with nulls in the gaps; counted from ``first`` where it is given."""
     nothing = F.lit(None).cast("string")
+    ahead = F.lit(-1) if first is None else first - 1
 
     def placed(run: Column, i: Column) -> Column:
-        gap = run["at"] - F.coalesce(F.get(runs, i - 1)["at"], F.lit(-1)) - 1
+        gap = run["at"] - F.coalesce(F.get(runs, i - 1)["at"], ahead) - 1
         return F.concat(F.array_repeat(nothing, gap), F.array(piece(run)))
 
     return F.flatten(F.transform(runs, placed))
 
 
+def block_pieces(runs: Column, form: str, source: str, first: Column) -> Column:
+    """Pieces of a block's text runs (``at``, tag, brk and the sources), of which ``block_text`` takes what lies below an element."""
+    return _by_position(runs, lambda r: FORMS[form][0](r, r[source]), first)
+
+
+def block_text(pieces: Column, form: str, el: Column, first: Column) -> Column:
+    """Text below ``el``, worked out for the elements that are asked for only."""
+    _, sep, finish = FORMS[form]
+    return finish(F.array_join(F.slice(pieces, el["start"] - first + 2, el["end"] - el["start"]), sep))
+
+
 def subtree_text(nodes: DataFrame, target: Column, *fields: str, **texts: str) -> DataFrame:
     """Matching elements with the text below each of them.
 

@@ -11,9 +11,9 @@ from pageloom.functions.text import (
 from pageloom.operators.match import last_of_keys, let
 from pageloom.operators.order import pair_next
 from pageloom.operators.select import (
-    ancestors, attr, first_inside, has_attr, has_class, inside, is_hidden, narrow, nearest, tag, with_open,
+    first_inside, flag_bits, has_attr, has_class, inside, nearest, page_rows, swept_blocks, tag, with_open,
 )
-from pageloom.operators.text import subtree_text, with_clean
+from pageloom.operators.text import block_pieces, block_text, subtree_text, with_clean
 from pageloom.schema import SPELLCARD
 
 HOTKEYS = ("Default Hotkey", "Legacy Keys")
@@ -62,51 +62,88 @@ def _list(items: Column) -> Column:
     return F.when(F.size(items) > 0, items)
 
 
-def _elements(nodes: DataFrame, wrap: Column, more: Column | None = None) -> DataFrame:
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+FLAGS = ("wrap", "card", "hidden", "shown", "meant", "text", "target", "element")
+
+
+def _card_row(e, wrap: Column) -> Column:
+    """A node as ``_elements`` reads it: its place, what tests ask for, and flags."""
+    attr = lambda name: e["attrs"].getItem(name)
+    title = non_empty(strip(attr("title")))
+    # As ``with_clean`` shows a cell: the title of a span counts always, that of an abbreviation where it is meant.
+    plain = F.coalesce(F.when(e["tag"] == "br", F.lit(" · ")), F.when(e["tag"] == "img", attr("alt")), F.when(e["tag"] == "span", title))
+    meant = F.when(e["tag"] == "abbr", title)
+    hidden = _styled(e, "display:none") | _styled(e, "visibility:hidden") | ((e["tag"] == "span") & _is(e, "sortkey"))
+    target = e["tag"].isin(*MARKUP) | F.arrays_overlap(e["classes"], F.array(*map(F.lit, (*PARTS, "tabs-dynamic", "tabs-content", "nav-tabs"))))
+    flags = dict(zip(FLAGS, (
+        wrap, _is(e, "spellcard"), hidden, plain.isNotNull(), meant.isNotNull(), e["text"].isNotNull() | e["tag"].isin("br", "td", "th"),
+        target, e["tag"] != "#text")))
+    return F.struct(
+        *[e[n].alias(n) for n in ("start", "end", "depth", "parent", "tag", "id", "classes", "style", "text", "brk")],
+        attr("title").alias("title"), attr("alt").alias("alt"), attr("class").alias("cls"), attr("data-count").alias("count"),
+        plain.alias("plain"), meant.alias("meant"), flag_bits(**flags).alias("_bits"),
+    )
+
+
+def _card_places(p):
+    wrap = p.outermost(p["wrap"])
+    inner = wrap >= 0
+    card = p.first_inside(p["card"] & p.below(wrap), wrap)
+    hidden, own = p["hidden"] & inner, wrap == p.row
+    parent, grand = (p.above(own, steps, p["element"]) for steps in (1, 2))
+    return {
+        "_size": p.size_of(wrap), "parent": p.start_of(parent), "parent_end": p.end_of(parent),
+        "grand": p.start_of(grand), "grand_end": p.end_of(grand), "of_card": card >= 0, "in_card": p.below(card), "target": p["target"],
+        "text": p["text"], "no_seen": p.covered(hidden, inner & p["shown"]), "no_meant": p.covered(hidden, inner & (p["shown"] | p["meant"])),
+    }
+
+
+def _elements(nodes: DataFrame, wrap: Column | None, *forms: str) -> DataFrame:
     """Elements of every card in order.
 
-    Result: page_id, start, end, wrap_id, els, all; ``els`` are the elements
-    inside the first card of the wrapper, ``all`` those of the whole wrapper.
-    A wrapper without a card is left out.
+    Result: page_id, start, end, wrap_id, parent, grand (intervals of the elements around), els, all, and the pieces of
+    ``forms`` (lines, seen, meant) for ``_text``; ``els`` are the elements inside the first card of the wrapper, ``all`` those of
+    the whole wrapper.  A wrapper without a card is left out.  The page is swept once and its rows stay in their array, so
+    nodes are dealt once at most; texts are put together for those elements alone that a plan picks.
     """
-    marked = narrow(
-        nodes, "id", "classes", "style", _wrap=wrap, title=attr("title"), alt=attr("alt"), cls=attr("class"),
-        count=attr("data-count"), _hidden=is_hidden(),
-    )
-    marked = inside(marked, F.col("_wrap"), "wrap", "id").where(F.col("wrap").isNotNull())
-    marked = first_inside(
-        marked, has_class("spellcard") & (F.col("start") > F.col("wrap.start")), "card", "wrap"
-    )
-    shown = {"hidden": F.col("_hidden"), "title": F.col("title"), "alt": F.col("alt"), "span": F.lit(True)}
-    marked = with_clean(marked, "seen", **shown)
-    marked = with_clean(marked, "meant", abbr=F.lit(True), **shown)
-    marked = marked.withColumn("in_card", F.coalesce(F.col("start") > F.col("card.start"), F.lit(False)))
-    target = tag(*MARKUP) | has_class(*PARTS, "tabs-dynamic", "tabs-content", "nav-tabs")
-    rows = subtree_text(
-        marked, target, "parent", "tag", "classes", "style", "wrap", "card", "title", "alt", "cls", "count", "in_card",
-        lines="lines", seen="spaced:seen", meant="spaced:meant",
-    )
-    el = F.struct(
-        "start", "end", "parent", "tag", "classes", "style", "title", "alt", "cls", "count", "lines",
-        clean_cell("seen").alias("seen"), clean_cell("meant").alias("meant"),
-    )
-    return (
-        rows.groupBy("page_id", "wrap")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("in_card"), el))).alias("els"),
-            F.array_sort(F.collect_list(el)).alias("all"),
-            F.max("card").alias("card"),
-        )
-        .where(F.col("card").isNotNull())
-        .select("page_id", F.col("wrap.start").alias("start"), F.col("wrap.end").alias("end"),
-                F.col("wrap.id").alias("wrap_id"), "els", "all")
-    )
+    if wrap is not None and "nodes" not in nodes.columns:
+        nodes = nodes.withColumn("_wrap", wrap)
+    pages = page_rows(nodes, lambda e: _card_row(e, _sure(_is(e, "spellcard-wrapper")) if wrap is None else _sure(e["_wrap"])))
+    numbers, booleans = ("_size", "parent", "parent_end", "grand", "grand_end"), ("of_card", "in_card", "target", "text", "no_seen", "no_meant")
+    kind = ", ".join([f"{n} int" for n in numbers] + [f"{n} boolean" for n in booleans])
+    kept = ("start", "end", "parent", "tag", "classes", "style", "title", "alt", "cls", "count")
+
+    def block(own: Column, rows: Column) -> Column:
+        r, f, first = own["r"], own["f"], own["r"]["start"]
+        seen = lambda x: F.when(~x["f"]["no_seen"], F.coalesce(x["r"]["plain"], x["r"]["text"]))
+        meant = lambda x: F.when(~x["f"]["no_meant"], F.coalesce(x["r"]["plain"], x["r"]["meant"], x["r"]["text"]))
+        run = lambda x: F.struct(
+            x["r"]["start"].alias("at"), x["r"]["tag"].alias("tag"), x["r"]["brk"].alias("brk"), x["r"]["text"].alias("lines"),
+            seen(x).alias("seen"), meant(x).alias("meant"))
+        runs = F.transform(F.filter(rows, lambda x: x["f"]["text"] | seen(x).isNotNull() | meant(x).isNotNull()), run)
+        el = lambda x: F.struct(*[x["r"][n].alias(n) for n in kept])
+        # A card without a target inside it is none.
+        carded = F.exists(rows, lambda x: x["f"]["target"] & x["f"]["of_card"])
+        around = lambda n: F.when(f[n].isNotNull(), F.struct(f[n].alias("start"), f[f"{n}_end"].alias("end"))).alias(n)
+        piece = lambda runs, form: block_pieces(runs, "lines" if form == "lines" else "spaced", form, first).alias(f"_{form}")
+        return let(runs, lambda runs: F.struct(
+            first.alias("start"), r["end"].alias("end"), r["id"].alias("wrap_id"), around("parent"), around("grand"), carded.alias("_carded"),
+            F.transform(F.filter(rows, lambda x: x["f"]["target"] & x["f"]["in_card"]), el).alias("els"),
+            F.transform(F.filter(rows, lambda x: x["f"]["target"]), el).alias("all"),
+            *[piece(runs, form) for form in forms],
+        ))
+
+    return swept_blocks(pages, list(FLAGS), _card_places, kind, block).where("_carded").drop("_carded")
 
 
-def _kin(nodes: DataFrame, wrap: Column) -> DataFrame:
-    """Parents and grandparents of a page's wrappers, by their start: page_id, kin."""
-    up = ancestors(nodes, wrap, parent=1, grand=2)
-    return up.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("start", F.struct("parent", "grand")))).alias("kin"))
+def _text(e: Column, form: str) -> Column:
+    """Text below an element of ``_elements``: ``lines`` as shown, ``seen`` and ``meant`` as a cell; null for no element."""
+    if form == "lines":
+        return F.when(e.isNotNull(), block_text(F.col("_lines"), "lines", e, F.col("start")))
+    return F.when(e.isNotNull(), clean_cell(block_text(F.col(f"_{form}"), "spaced", e, F.col("start"))))
 
 
 # ---- The record form --------------------------------------------------------
@@ -117,37 +154,38 @@ def spellcards(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     Groups without an entry are null; a key that comes up again keeps its last
     value; the tabs stop before the one that shows all.
     """
-    cards = _elements(nodes, has_class("spellcard-wrapper") if wrap is None else wrap)
+    cards = _elements(nodes, wrap, "lines")
+    lines = lambda e: _text(e, "lines")
     els, every = F.col("els"), F.col("all")
 
     bars = _pick(els, lambda e: (e["tag"] == "div") & _styled(e, "border-bottom"))
-    name = let(bars, lambda bars: _first(els, lambda s: (s["tag"] == "span") & _styled(s, "font-weight:bold")
-                                         & F.exists(bars, lambda b: b["start"] == s["parent"]))["lines"])
+    name = let(let(bars, lambda bars: _first(els, lambda s: (s["tag"] == "span") & _styled(s, "font-weight:bold")
+                                             & F.exists(bars, lambda b: b["start"] == s["parent"]))), lines)
     hotkeys = F.transform(
         _pick(els, lambda e: (e["tag"] == "div") & e["title"].isin(*HOTKEYS)),
         lambda h: F.struct(h["title"].alias("type"),
-                           _first(_below(els, h), lambda s: s["tag"] == "span")["lines"].alias("key")),
+                           let(_first(_below(els, h), lambda s: s["tag"] == "span"), lines).alias("key")),
     )
     metadata = _last_map(F.transform(
         _pick(els, lambda e: _is(e, "spelltad")),
-        lambda t: _pair(t["lines"], _first(els, lambda v: (v["parent"] == t["parent"]) & (v["start"] > t["start"])
-                                           & (v["cls"] == "spelltad_value"))["lines"]),
+        lambda t: _pair(lines(t), let(_first(els, lambda v: (v["parent"] == t["parent"]) & (v["start"] > t["start"])
+                                             & (v["cls"] == "spelltad_value")), lines)),
     ))
     flex = _pick(els, lambda e: (e["tag"] == "div") & _styled(e, "display:flex")
                  & F.exists(_below(els, e), lambda x: x["tag"] == "img"))
-    description = F.get(F.filter(
+    description = let(F.get(F.filter(
         F.transform(flex, lambda f: F.try_element_at(
             _pick(els, lambda d: (d["tag"] == "div") & (d["parent"] == f["start"])), F.lit(-1))),
         lambda d: d.isNotNull(),
-    ), F.lit(0))["lines"]
+    ), F.lit(0)), lines)
     traits = _last_map(F.transform(
         _pick(els, lambda e: _is(e, "spelltrait_value")),
-        lambda t: _pair(label_of(t["lines"]), value_of(t["lines"])),
+        lambda t: let(lines(t), lambda x: _pair(label_of(x), value_of(x))),
     ))
     extras = F.flatten(F.transform(
         _pick(els, lambda e: _is(e, "spelldesc")),
         lambda b: let(_pick(_below(els, b), lambda d: d["tag"] == "div"), lambda divs: F.when(
-            F.size(divs) >= 2, F.transform(F.filter(divs, lambda d: d["lines"] != ""), lambda d: d["lines"]),
+            F.size(divs) >= 2, F.filter(F.transform(divs, lines), lambda d: d != ""),
         ).otherwise(F.array().cast("array<string>"))),
     ))
     icons = _pick(els, lambda e: _is(e, "spellcost_icon"))
@@ -156,21 +194,21 @@ def spellcards(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
         _first(_below(els, i), lambda a: a["tag"] == "a").alias("a"), F.get(amounts, n).alias("amount"))))
     costs = _last_map(F.transform(
         F.filter(linked, lambda c: c["a"].isNotNull() & c["amount"].isNotNull()),
-        lambda c: _pair(F.coalesce(c["a"]["title"], F.lit("")), c["amount"]["lines"]),
+        lambda c: _pair(F.coalesce(c["a"]["title"], F.lit("")), lines(c["amount"])),
     ))
-    lore = _first(els, lambda e: _is(e, "spelllore"))["lines"]
+    lore = let(_first(els, lambda e: _is(e, "spelllore")), lines)
 
     within = lambda e, outer: F.exists(outer, lambda o: F.coalesce((e["start"] > o["start"]) & (e["start"] <= o["end"]), F.lit(False)))
     blocks = _pick(every, lambda e: _is(e, "tabs-dynamic"))
     navs = let(blocks, lambda blocks: _pick(every, lambda e: _is(e, "nav-tabs") & within(e, blocks)))
     heads = let(navs, lambda navs: _pick(every, lambda e: (e["tag"] == "li") & within(e, navs)))
-    stop = lambda heads: F.array_position(F.transform(heads, lambda h: F.lower(h["lines"])), F.lit("show all"))
-    shown = let(heads, lambda heads: F.when(
-        stop(heads) > 0, F.slice(heads, F.lit(1), (stop(heads) - 1).cast("int"))).otherwise(heads))
+    stop = lambda heads: F.array_position(F.transform(heads, lambda h: F.lower(lines(h))), F.lit("show all"))
+    shown = let(heads, lambda heads: let(stop(heads), lambda at: F.when(
+        at > 0, F.slice(heads, F.lit(1), (at - 1).cast("int"))).otherwise(heads)))
     contents = _pick(every, lambda e: _is(e, "tabs-content"))
     panels = let(contents, lambda contents: _pick(every, lambda p: within(p, contents)))
     tabs = _last_map(let(panels, lambda panels: F.transform(shown, lambda h: _pair(
-        h["lines"], _first(panels, lambda p: F.array_contains(p["classes"], F.concat(F.lit("content"), h["count"])))["lines"]))))
+        lines(h), let(_first(panels, lambda p: F.array_contains(p["classes"], F.concat(F.lit("content"), h["count"]))), lines)))))
 
     card = F.struct(
         name.alias("name"), _list(hotkeys).alias("hotkeys"), metadata.alias("metadata"),
@@ -189,14 +227,15 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     rows array<struct<label,value>>, notes.  Rows are the labelled data, then
     the traits (first of each label, case ignored), then the costs.
     """
-    wrap = has_class("spellcard-wrapper") if wrap is None else wrap
-    cards = _elements(nodes, wrap).join(_kin(nodes, wrap), "page_id")
+    # A page without an id has no place among documents.
+    cards = _elements(nodes, wrap, "seen", "meant").where(F.col("page_id").isNotNull())
     els = F.col("els")
+    seen, meant = (lambda e: _text(e, "seen")), (lambda e: _text(e, "meant"))
     bar = _first(els, lambda e: (e["tag"] == "div") & _styled(e, "border-bottom"))
     title = first_filled(
         strip("wrap_id"),
-        let(bar, lambda bar: _first(_below(els, bar), lambda s: s["tag"] == "span")["seen"]),
-        _first(els, lambda b: b["tag"].isin("b", "strong"))["seen"],
+        let(let(bar, lambda bar: _first(_below(els, bar), lambda s: s["tag"] == "span")), seen),
+        let(_first(els, lambda b: b["tag"].isin("b", "strong")), seen),
     )
     badges = F.array_distinct(F.filter(
         F.transform(let(bar, lambda bar: _pick(_below(els, bar), lambda i: i["tag"] == "img")), lambda i: strip(i["alt"])),
@@ -211,21 +250,21 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
         lambda f: F.get(_pick(_below(els, f), lambda d: d["tag"] == "div"), F.lit(1)),
     )
     second = F.get(F.filter(flex, lambda d: d.isNotNull()), F.lit(0))
-    description = F.coalesce(beside["seen"], second["seen"], F.lit(""))
+    description = F.coalesce(let(beside, seen), let(second, seen), F.lit(""))
 
-    tads = F.transform(
-        _pick(els, lambda e: _is(e, "spelltad") & (e["seen"] != "")),
-        lambda t: F.struct(t["seen"].alias("label"), F.coalesce(
-            _first(els, lambda v: (v["parent"] == t["parent"]) & (v["start"] > t["start"])
-                   & _is(v, "spelltad_value"))["meant"], F.lit("")).alias("value")),
-    )
+    tads = F.filter(F.transform(
+        _pick(els, lambda e: _is(e, "spelltad")),
+        lambda t: F.struct(seen(t).alias("label"), F.coalesce(
+            let(_first(els, lambda v: (v["parent"] == t["parent"]) & (v["start"] > t["start"])
+                       & _is(v, "spelltad_value")), meant), F.lit("")).alias("value")),
+    ), lambda p: p["label"] != "")
 
     def trait(t: Column) -> Column:
-        bold = _first(_below(els, t), lambda b: b["tag"] == "b")
-        label = F.regexp_replace(bold["seen"], ":+$", "")
-        full = t["meant"]
-        return F.when(bold.isNotNull(), F.struct(label.alias("label"), after_label(full, label).alias("value"))) \
-            .otherwise(F.struct(label_of(full).alias("label"), value_of(full).alias("value")))
+        # Without a bold element inside, its text is null.
+        bold = let(_first(_below(els, t), lambda b: b["tag"] == "b"), seen)
+        return let(F.struct(F.regexp_replace(bold, ":+$", "").alias("label"), meant(t).alias("full")), lambda x: F.when(
+            x["label"].isNotNull(), F.struct(x["label"].alias("label"), after_label(x["full"], x["label"]).alias("value")),
+        ).otherwise(F.struct(label_of(x["full"]).alias("label"), value_of(x["full"]).alias("value"))))
 
     traits = F.filter(F.transform(_pick(els, lambda e: _is(e, "spelltrait_value")), trait),
                       lambda p: F.coalesce(p["label"] != "", F.lit(False)))
@@ -236,20 +275,19 @@ def card_props(nodes: DataFrame, wrap: Column | None = None) -> DataFrame:
     amounts = _pick(els, lambda e: _is(e, "spellcost_value"))
     costs = let(amounts, lambda amounts: F.transform(_pick(els, lambda e: _is(e, "spellcost_icon")), lambda i, n: F.struct(
         cost_label(first_filled(
-            strip(_first(_below(els, i), lambda a: (a["tag"] == "a") & a["title"].isNotNull())["title"]), i["meant"]
+            strip(_first(_below(els, i), lambda a: (a["tag"] == "a") & a["title"].isNotNull())["title"]), meant(i)
         )).alias("label"),
-        F.get(amounts, n)["meant"].alias("value"),
+        let(F.get(amounts, n), meant).alias("value"),
     )))
     costs = F.filter(costs, lambda c: c["value"].isNotNull() & (c["label"] != ""))
 
     notes = F.filter(
         F.transform(_pick(els, lambda e: _is(e, "spelldesc")), lambda d: F.coalesce(
-            F.try_element_at(_pick(_below(els, d), lambda x: x["tag"] == "div"), F.lit(-1))["seen"], d["seen"])),
+            let(F.try_element_at(_pick(_below(els, d), lambda x: x["tag"] == "div"), F.lit(-1)), seen), seen(d))),
         lambda n: n != "",
     )
     return cards.select(
-        "page_id", "start", "end", F.col("kin")[F.col("start")]["parent"].alias("parent"),
-        F.col("kin")[F.col("start")]["grand"].alias("grand"), title.alias("title"), description.alias("description"),
+        "page_id", "start", "end", "parent", "grand", title.alias("title"), description.alias("description"),
         badges.alias("badges"), F.concat(tads, traits, costs).alias("rows"), notes.alias("notes"),
     )
 
