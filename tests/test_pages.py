@@ -1,6 +1,9 @@
 """Pages as one row each, and card plans over them."""
 
+from pyspark.sql import functions as F
+
 from pageloom import bindings
+from pageloom.operators.select import first_inside, has_class, inside
 from pageloom.plans import cards
 from pageloom.sources.htmltree import html_nodes, html_pages
 from samples import CARD, TABS, content
@@ -23,6 +26,27 @@ def test_cards_of_pages_are_those_of_nodes(spark):
         assert one == many and len(one) >= 5
 
 
+LISTS = [
+    "<ul><li>a<ul><li>b</li></ul>tail</li><li>c<ol><li>d<div><ul><li>apart</li></ul></div></li></ol></li></ul>",
+    "<ul><p>loose</p><ul><li>in a list</li></ul><li><span title=T>x</span><img alt=I><br>e</li></ul><ol><li>no top</li></ol>",
+    "<ol><li>x<ul><li>own top</li><li style='display:none'>gone</li></ul></li></ol><ul><li></li><li>two<li>three</ul>",
+]
+
+
+def test_tab_lines_are_the_bullets_of_their_content(spark):
+    pages = [f'<div class="tabs-dynamic">{x}<div class="tabs-content">{x}</div><div class="tabs-content"><ul><li>no</li></ul></div></div>' for x in LISTS]
+    pages.append("".join(pages) + '<div class="tabs-dynamic"><div><tt>c</tt><div>no content</div></div></div>')
+    given = spark.createDataFrame([*enumerate(pages)], "page_id long, html string")
+    nodes = html_nodes(given).persist()
+    marked = first_inside(inside(nodes, has_class("tabs-dynamic"), "tabs"), has_class("tabs-content"), "content", "tabs")
+    want = {}
+    for r in cards.bullets(marked, F.col("start") == F.col("content.start"), "tabs").orderBy("page_id", "start").collect():
+        want.setdefault((r.page_id, r.area.tabs.start), []).append(r.line)
+    for form in (nodes, html_pages(given)):
+        got = cards.tab_blocks(form).collect()
+        assert len(got) == 7 and {(r.page_id, r.start): r.lines for r in got if r.lines} == want
+
+
 def test_rows_of_one_id_are_one_page(spark):
     pages = html_pages(spark.createDataFrame([(1, "<p>a</p>"), (1, "<p>a</p>"), (2, "x")], "page_id long, html string"))
     got = {r.page_id: [n.start for n in r.nodes] for r in pages.collect()}
@@ -33,8 +57,8 @@ def test_card_queries_exchange_no_nodes(spark, tmp_path):
     """Only the rows that pages are built from are dealt: nodes are some hundred times their size."""
     spark.createDataFrame([(i, f"n{i}", "b", "t", 5) for i in range(8)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int") \
         .write.parquet(f"{tmp_path}/part.parquet")
-    for name in ("card_props", "card_struct"):
+    for name in ("card_props", "card_struct", "card_markdown"):
         found = bindings.QUERIES[name](spark, str(tmp_path))
         plan = found._jdf.queryExecution().optimizedPlan().toString()
-        assert found.count() > 0 and plan.count("RepartitionByExpression") == 1
+        assert found.count() > 0 and plan.count("RepartitionByExpression") == plan.count("MapInArrow")
         assert "RepartitionByExpression" not in plan[:plan.index("MapInArrow")]
