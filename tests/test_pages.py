@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pageloom import bindings
 from pageloom.operators.select import first_inside, has_class, inside
-from pageloom.plans import cards
+from pageloom.plans import cards, documents
 from pageloom.sources.htmltree import html_nodes, html_pages
 from samples import CARD, TABS, content
 
@@ -62,3 +62,31 @@ def test_card_queries_exchange_no_nodes(spark, tmp_path):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert found.count() > 0 and plan.count("RepartitionByExpression") == plan.count("MapInArrow")
         assert "RepartitionByExpression" not in plan[:plan.index("MapInArrow")]
+
+
+def test_item_documents_exchange_and_keep_no_nodes(spark, tmp_path):
+    spark.createDataFrame([(i, f"n{i}", "b", "t", 5) for i in range(8)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int") \
+        .write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("item_documents", "infobox_rows"):
+        plan = bindings.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "Window [" not in plan and "InMemoryTableScan" not in plan, name
+
+
+def test_items_of_pages_are_those_of_nodes(spark):
+    both, one = ('<table class="%s">' % c for c in ("fo-nttax-infobox-wrapper fo-nttax-infobox", "fo-nttax-infobox"))
+    rows = '<tr><td><table style="text-align:left"><tr><th>A</th><td>1</td></tr><tr><td>2</td></tr></table></td></tr></table>'
+    pages = [
+        # An empty card hides nothing, a block in a heading stands behind it, the outer one of two blocks wins.
+        content('<div class="spellcard-wrapper"><div class="spellcard"><i></i></div>in', both, rows, "</div>tail"),
+        content("<h2>H", both, rows, "</h2>between", both, CARD, TABS, "</div>", rows, one, rows, "end"),
+        'out<div class="toc">' + content('<div id="toc">x</div>a<div class="navigation-not-searchable">b', TABS, '</div><div class="navigation-not-searchable">c</div>'),
+        "<p>none</p>", None,
+    ]
+    given = spark.createDataFrame([*enumerate(pages), (None, "x")], "page_id long, html string")
+    many, one_row = (sorted(map(tuple, documents.item_markdown(documents.item_body(form(given))).collect()), key=str) for form in (html_nodes, html_pages))
+    got = {r[0]: r[1:] for r in one_row}
+    table = "| Property | Value |\n|---|---|\n| A | 1 · 2 |\n\n"
+    assert many == one_row and len(got) == 6
+    assert got[0][0].endswith("in" + table + "tail") and got[1][0].startswith("\n\n## HA12\n\n" + table + "between") and got[1][0].endswith("end")
+    assert "#### " not in got[1][0] and got[2][0].startswith("a") and got[2][0].count("c") <= TABS.count("c") and "x" not in got[2][0][:2]
+    assert got[3] == (None, documents.NO_CONTENT) and got[None] == (None, documents.NO_CONTENT) and "no html" in got[4][1]
